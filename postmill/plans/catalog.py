@@ -8,10 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, Callable[[], str]] = {}
 
 
-def query(name: str, oracle: str | None = None):
+def query(name: str, oracle: Callable[[], str] | None = None):
     """Register ``fn(spark, sf_dir)``; the clock of every query is UTC."""
 
     def wrap(fn):
@@ -26,3 +26,7 @@ def query(name: str, oracle: str | None = None):
         return run
 
     return wrap
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: build() for name, build in ORACLE.items()}

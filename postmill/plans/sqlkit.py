@@ -143,18 +143,22 @@ def cte(name: str, deps: str, body: str) -> None:
     CTES[name] = (tuple(deps.split()), body)
 
 
-def sql(needs: str, body: str) -> str:
-    """SELECT with the named definitions, and what they need, in front."""
-    done: list[str] = []
-
-    def visit(name: str) -> None:
-        if name in done:
-            return
-        for d in CTES[name][0]:
-            visit(d)
-        done.append(name)
-
-    for n in needs.split():
-        visit(n)
-    head = ",\n".join(f"{n} AS ({CTES[n][1]})" for n in done)
-    return f"WITH {head}\n{body}" if head else body
+def sql(needs: str, body: str):
+    """SELECT with the named definitions, and what they need, in front; put together on call."""
+
+    def build() -> str:
+        done: list[str] = []
+
+        def visit(name: str) -> None:
+            if name in done:
+                return
+            for d in CTES[name][0]:
+                visit(d)
+            done.append(name)
+
+        for n in needs.split():
+            visit(n)
+        head = ",\n".join(f"{n} AS ({CTES[n][1]})" for n in done)
+        return f"WITH {head}\n{body}" if head else body
+
+    return build
