@@ -42,13 +42,15 @@ k.cte("b_facts", "b_posting", ss.facts("b_posting", AS_OF))
 for _name, _c in CRITERIA.items():
     k.cte(f"b_score_{_name}", "b_facts", ss.criteria(_c, "b_facts"))
 # Stored evaluations: what the views join to.
-k.cte("b_eval", "b_score_all_fields", "SELECT id AS job_id, score, bucket, summary, reasons, confidence, freshness_days, hard_filtered FROM b_score_all_fields")
+k.cte("b_eval", "b_score_all_fields", "SELECT id AS job_id, score, bucket, summary, reasons, confidence, freshness_days, hard_filtered FROM b_score_all_fields WHERE num % 13 <> 0")
 k.cte("b_profile", "b_facts", ss.profile(PROFILE, "b_facts"))
 k.cte("b_joined", "b_posting b_status", "SELECT p.*, coalesce(s.status, 'new') AS status FROM b_posting p LEFT JOIN b_status s ON s.job_id = p.id")
 
 
 def b_eval(spark, sf):
-    scored = scoring.score_criteria(b.b_posting(spark, sf), CRITERIA["all_fields"], b.ts(AS_OF))
+    # Some postings have no evaluation yet.
+    known = b.b_posting(spark, sf).filter("num % 13 <> 0")
+    scored = scoring.score_criteria(known, CRITERIA["all_fields"], b.ts(AS_OF))
     return scored.select(
         F.col("id").alias("job_id"), "score", "bucket", "summary", "reasons", "confidence",
         "freshness_days", "hard_filtered",
@@ -119,8 +121,8 @@ def q_score_fallback(spark, sf):
 
 
 _MULTI = " UNION ALL ".join(
-    f"""SELECT '{n}' AS criteria_id, count_if(score >= 70) AS high_signal, count_if(score BETWEEN 40 AND 69) AS review_later,
- count_if(score < 40) AS reject, CAST(floor(sum(score) / count(*) + 0.5) AS BIGINT) AS mean_score FROM b_score_{n}"""
+    f"""SELECT '{n}' AS criteria_id, CAST(count_if(score >= 70) AS BIGINT) AS high_signal, CAST(count_if(score BETWEEN 40 AND 69) AS BIGINT) AS review_later,
+ CAST(count_if(score < 40) AS BIGINT) AS reject, CAST(floor(sum(score) / count(*) + 0.5) AS BIGINT) AS mean_score FROM b_score_{n}"""
     for n in CRITERIA
 )
 

@@ -20,6 +20,12 @@ TABLES = (
 ).split()
 
 
+SAME = {
+    "string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE",
+    "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "date": "DATE",
+}
+
+
 def norm(v):
     if isinstance(v, bool):
         return int(v)
@@ -66,7 +72,8 @@ def compare(spark, con, fn, sql, sf):
             f"rows {len(rows)} vs {len(orows)}, differ {sum((a - b).values())}\n   {cols}\n"
             f"   spark  {only_s}\n   oracle {only_o}"
         )
-    return True, f"rows {len(rows)} ({t1 - t0:.1f}s) {list(zip(types, otypes))}"
+    odd = [(c, t, o) for c, t, o in zip(cols, types, otypes) if SAME.get(t) != o]
+    return not odd, f"rows {len(rows)} ({t1 - t0:.1f}s)" + (f" TYPES {odd}" if odd else "")
 
 
 def connect(sf):
