@@ -9,11 +9,11 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postmill.functions.core import B, collapse, word
+from postmill.functions.core import B, W, collapse, word
 
 # Word lists.
 AI_TERMS = ["ai", "ml", "llm", "genai"]
-AI_PATTERN = r"ai|a\.i\.|genai|gen ai|llm|ml|machine learning|artificial intelligence"
+AI_WORDS = ["ai", "genai", "gen ai", "llm", "ml", "machine learning", "artificial intelligence"]
 SENIORITY = [
     "intern", "associate", "junior", "mid", "senior", "staff", "lead",
     "principal", "group", "director", "head", "vp", "vice president", "chief",
@@ -27,9 +27,12 @@ WORK_TYPES = {
     "hybrid": ["hybrid", "flexible location"],
     "in-person": ["onsite", "on-site", "in office", "in-office", "office"],
 }
-TITLE_WORDS = (
-    "manager|engineer|designer|analyst|scientist|developer|owner|director|head|lead|chief|vp"
-)
+TITLE_WORDS = [
+    "manager", "engineer", "designer", "analyst", "scientist", "developer", "owner",
+    "director", "head", "lead", "chief", "vp",
+]
+# The dotted form ends in a full stop, so its boundary needs a word character behind it.
+AI_PATTERN = rf"{word(*AI_WORDS)}|(?<!{W})a\.i\.(?={W})"
 
 
 # ---- criteria text on the driver -------------------------------------------------
@@ -75,11 +78,11 @@ def comma_terms(c: Column) -> Column:
 # ---- matching ----------------------------------------------------------------------
 
 def ai_flag(haystack: Column) -> Column:
-    return haystack.rlike(word(AI_PATTERN))
+    return haystack.rlike(AI_PATTERN)
 
 
 def pm_flag(haystack: Column) -> Column:
-    return haystack.rlike(word("product manager|pm"))
+    return haystack.rlike(word("product manager", "pm"))
 
 
 def term_matches(term: str, haystack: Column) -> Column:
@@ -135,7 +138,7 @@ def all_of(conditions: list[Column]) -> Column:
 
 
 def is_title_term(term: Column) -> Column:
-    return term.rlike(word(TITLE_WORDS))
+    return term.rlike(word(*TITLE_WORDS))
 
 
 def work_types(haystack: Column) -> Column:
@@ -154,7 +157,7 @@ def work_model(hay: Column) -> Column:
     return (
         F.when(hay.rlike(word("hybrid")), "hybrid")
         .when(hay.rlike(word("remote")), "remote")
-        .when(hay.rlike(rf"{word(r'on[\s-]?site')}|{word(r'in[\s-]?office')}"), "on-site")
+        .when(hay.rlike(word(r"on[\s-]?site", r"in[\s-]?office")), "on-site")
     )
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from postmill.functions.core import lower_text, nonempty, text
 from postmill.functions.dates import in_posted_window
-from postmill.functions.terms import ai_flag, is_title_term, pm_flag, term_matches_col
+from postmill.functions.terms import AI_TERMS, ai_flag, is_title_term, pm_flag, term_matches_col
+from postmill.operators.skew import filter_here
 
 # Fields a source may search.
 SEARCH_FIELDS = ["title", "summary", "description", "company", "employmentType"]
@@ -25,6 +26,9 @@ def prepare_rules(rules: DataFrame) -> DataFrame:
 
     fields = F.array_distinct(F.filter("fields", known))
     default = F.array(*[F.lit(f) for f in DEFAULT_FIELDS])
+    names = F.array(*[F.lit(f) for f in SEARCH_FIELDS])
+    chosen = F.when(F.size(fields) > 0, fields).otherwise(default)
+    every = F.concat("required", "required_any", "exclude_any")
     return rules.select(
         "source_id",
         F.filter("required", is_title_term).alias("all_title"),
@@ -32,8 +36,10 @@ def prepare_rules(rules: DataFrame) -> DataFrame:
         F.filter("required_any", is_title_term).alias("any_title"),
         F.filter("required_any", lambda t: ~is_title_term(t)).alias("any_content"),
         F.col("exclude_any"),
-        F.when(F.size(fields) > 0, fields).otherwise(default).alias("fields"),
+        F.transform(chosen, lambda f: (F.array_position(names, f) - 1).cast("int")).alias("slots"),
         F.coalesce("enforce", F.lit(False)).alias("enforce"),
+        F.arrays_overlap(every, F.array(*[F.lit(t) for t in AI_TERMS])).alias("wants_ai"),
+        F.array_contains(every, "product manager").alias("wants_pm"),
     )
 
 
@@ -49,31 +55,18 @@ def hard_filter(postings: DataFrame, rules: DataFrame) -> DataFrame:
             postings = postings.withColumn(c, F.lit(None).cast("string"))
     j = postings.join(prepare_rules(rules), "source_id", "left")
 
-    def field(name: str) -> Column:
-        c = nonempty(F.trim(F.col(FIELD_COLUMN.get(name, name))))
-        return F.when(F.array_contains("fields", name), c)
-
-    in_order = F.transform(
-        "fields",
-        lambda f: F.element_at(
-            F.create_map(
-                *[x for n in SEARCH_FIELDS for x in (F.lit(n), F.coalesce(field(n), F.lit("")))]
-            ),
-            f,
-        ),
-    )
-    lengths = j.withColumns(
+    searchable = [
+        nonempty(F.trim(F.col(FIELD_COLUMN.get(f, f)))) for f in SEARCH_FIELDS
+    ]
+    plain = F.concat_ws(" ", "title", "summary", "description")
+    staged = j.withColumns({"_fields": F.array(*searchable), "_all": text(plain)})
+    picked = F.array_join(F.transform("slots", lambda i: F.get("_fields", i)), " ")
+    lengths = staged.withColumns(
         {
             "_title": lower_text(F.col("title")),
-            "_text": lower_text(
-                F.coalesce(
-                    F.array_join(F.filter(in_order, lambda t: t != ""), " "),
-                    F.concat_ws(" ", "title", "summary", "description"),
-                )
-            ),
+            "_text": lower_text(F.coalesce(picked, F.col("_all"))),
             "_d": F.length(text(F.col("description"))),
             "_s": F.length(text(F.col("summary"))),
-            "_all": text(F.concat_ws(" ", "title", "summary", "description")),
         }
     )
     words = F.when(F.col("_all") == "", 0).otherwise(F.size(F.split("_all", " ")))
@@ -83,10 +76,11 @@ def hard_filter(postings: DataFrame, rules: DataFrame) -> DataFrame:
             | (F.col("_d") >= 260)
             | (F.col("_s") >= 180)
             | (words >= 60),
-            "_title_ai": ai_flag(F.col("_title")),
-            "_title_pm": pm_flag(F.col("_title")),
-            "_text_ai": ai_flag(F.col("_text")),
-            "_text_pm": pm_flag(F.col("_text")),
+            # Synonym patterns only run for rules that have such a term.
+            "_title_ai": F.when(F.col("wants_ai"), ai_flag(F.col("_title"))),
+            "_title_pm": F.when(F.col("wants_pm"), pm_flag(F.col("_title"))),
+            "_text_ai": F.when(F.col("wants_ai"), ai_flag(F.col("_text"))),
+            "_text_pm": F.when(F.col("wants_pm"), pm_flag(F.col("_text"))),
         }
     )
 
@@ -123,6 +117,12 @@ def hard_filter(postings: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
+def passing(postings: DataFrame, rules: DataFrame) -> DataFrame:
+    """The postings the hard filter keeps."""
+    out = filter_here(hard_filter(postings, rules), F.col("drop_reason").isNull())
+    return out.drop("drop_reason", "deferred_checks")
+
+
 # ---- views -------------------------------------------------------------------------
 
 ACTIVE = ["new", "viewed"]

@@ -67,13 +67,12 @@ def effective_criteria(
 
 def _infer(intent: Column) -> Column:
     t = lower_text(intent)
-    role = F.regexp_extract(t, word(r"(product|program)\s+(?:manager|management)"), 1)
+    product = word(r"product\s+manager", r"product\s+management")
+    program = word(r"program\s+manager", r"program\s+management")
     return F.array_compact(
         F.array(
-            F.when(t.rlike(word(r"product\s+(?:manager|management)")), "product manager").when(
-                role == "program", "program manager"
-            ),
-            F.when(t.rlike(word(AI_PATTERN)), "ai"),
+            F.when(t.rlike(product), "product manager").when(t.rlike(program), "program manager"),
+            F.when(t.rlike(AI_PATTERN), "ai"),
         )
     )
 

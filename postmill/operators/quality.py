@@ -15,7 +15,7 @@ from postmill.functions.core import (
     text,
 )
 from postmill.functions.url import is_http_url
-from postmill.operators.skew import first_per_key, top_n_per_key
+from postmill.operators.skew import filter_here, first_per_key, top_n_per_key
 from postmill.operators.views import AUTH_TYPES
 from postmill.params import HTTP_SOURCE_TYPES, Thresholds
 
@@ -195,12 +195,12 @@ def quarantine_artifacts(
 
 def rejects(normal: DataFrame) -> DataFrame:
     """Side table of records that lack a required field."""
-    return normal.filter(F.col("reject_reason").isNotNull())
+    return filter_here(normal, F.col("reject_reason").isNotNull())
 
 
 def gate_sources(normal: DataFrame, on_bad_record: str = "reject_source") -> DataFrame:
     """Valid rows; by default one bad record blocks its whole source run."""
-    good = normal.filter(F.col("reject_reason").isNull())
+    good = filter_here(normal, F.col("reject_reason").isNull())
     if on_bad_record == "drop":
         return good
     bad = normal.filter(F.col("reject_reason").isNotNull()).select("source_id").distinct()

@@ -35,6 +35,16 @@ def order_inputs(df: DataFrame) -> list[Column]:
     return [F.col(f"`{n}`") for n, t in df.dtypes if "map<" not in t and "variant" not in t]
 
 
+def filter_here(df: DataFrame, keep: Column) -> DataFrame:
+    """Filter on computed columns without having the optimizer copy them below the projection.
+
+    Pushing such a filter down would inline its whole expression tree a second time. Filter
+    on stored columns before calling, those should reach the scan.
+    """
+    marked = df.withColumns({"_keep": keep, "_here": F.spark_partition_id()})
+    return marked.filter(F.col("_keep") & (F.col("_here") >= 0)).drop("_keep", "_here")
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """One whole row per key, the smallest by ``order``; combined before the exchange."""
     rest = [c for c in df.columns if c not in keys]

@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from postmill.session import HUGE_METHOD
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, Callable[[], str]] = {}
 
@@ -18,6 +20,7 @@ def query(name: str, oracle: Callable[[], str] | None = None):
         @functools.wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            spark.conf.set("spark.sql.codegen.hugeMethodLimit", HUGE_METHOD)
             return fn(spark, sf_dir)
 
         QUERIES[name] = run

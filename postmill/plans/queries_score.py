@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postmill.functions.core import iso
-from postmill.operators import filters, profiles, scoring, views
+from postmill.operators import filters, profiles, quality, scoring, views
 from postmill.params import Criteria, Profile
 from postmill.plans import bindings as b
 from postmill.plans import sqlkit as k
@@ -303,8 +303,8 @@ def q_flagship(spark, sf):
     """Top 50 groups: identity -> hard filter -> score -> group by hash -> top-k."""
     from postmill.operators.identity import normalize_postings
 
-    kept = filters.hard_filter(b.b_raw(spark, sf), rules(spark)).filter("drop_reason IS NULL")
-    normal = normalize_postings(kept, b.ts(b.AS_OF_RAW)).filter("reject_reason IS NULL")
+    kept = filters.passing(b.b_raw(spark, sf), rules(spark))
+    normal = quality.gate_sources(normalize_postings(kept, b.ts(b.AS_OF_RAW)), "drop")
     scored = scoring.score_criteria(normal, _FLAG, b.ts(b.AS_OF_RAW))
     top = views.top_groups(scored, 50)
     return top.select(

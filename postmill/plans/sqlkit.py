@@ -124,7 +124,7 @@ FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "b_refresh": (
         (),
         f"""SELECT event_id, CAST(user_id AS VARCHAR) AS source_id,
-  {TYPE_LIST}[CAST(user_id % 8 + 1 AS INT)] AS source_type, CAST(ts AS TIMESTAMP) AS at,
+  {TYPE_LIST}[CAST(user_id % 8 + 1 AS INT)] AS source_type, CAST(ts AS TIMESTAMP) AS at_ts,
   CASE event_type WHEN 'error' THEN 'transient_error' WHEN 'purchase' THEN 'challenge' ELSE 'success' END AS outcome,
   CASE WHEN CAST(regexp_extract(props, '"k": *(\\d+)', 1) AS BIGINT) % 2 = 0 THEN 'manual' ELSE 'scheduled' END AS mode
 FROM events""",

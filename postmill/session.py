@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
+# HotSpot never compiles methods above 8000 bytes of bytecode; Spark then does better with
+# split projections than with one huge generated method.
+HUGE_METHOD = 8000
+
+
 def build_session(app: str = "postmill", master: str | None = None, **conf) -> SparkSession:
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
     settings = {
         "spark.sql.session.timeZone": "UTC",
+        "spark.sql.codegen.hugeMethodLimit": str(HUGE_METHOD),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",

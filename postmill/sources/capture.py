@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from postmill.functions.core import collapse, half_up, nonempty
-from postmill.operators.filters import hard_filter
+from postmill.operators.filters import passing
 from postmill.params import SOURCE_TYPES
 from postmill.schemas import CAPTURE_DDL, RAW_DDL
 
@@ -101,7 +101,7 @@ def collect_sources(frames: list[DataFrame], sources: DataFrame, rules: DataFram
         ),
     )
     mine = checked.join(sources.select("source_id"), "source_id", "left_semi")
-    return hard_filter(mine, rules).filter("drop_reason IS NULL").drop("drop_reason", "deferred_checks")
+    return passing(mine, rules)
 
 
 # ---- writers ------------------------------------------------------------------------------
