@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 # White space as a JavaScript regular expression sees it.
 WS_CLASS = r"\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
-WS = f"[{WS_CLASS}]+"
-# Only what changes plain ASCII text: other white space than single blanks.
-ASCII_WS = r"\s{2,}|[\t\n\x0B\f\r]"
+# The intersection lets printable ASCII fail on one range test. A single blank is left alone.
+_SPACE = rf"[[\x00-\x20\x7F-\x{{FFFF}}]&&[{WS_CLASS}]]"
+WS = rf"{_SPACE}{{2,}}|[{_SPACE}&&[^ ]]"
 
 # ASCII word boundary for java.util.regex.
 W = "[A-Za-z0-9_]"
@@ -60,13 +60,8 @@ def ratio_of(num: Column, den: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    """Runs of white space as one blank, none at the ends.
-
-    ASCII text, told by its byte length, takes the cheap pattern.
-    """
-    ascii_only = F.octet_length(c) == F.char_length(c)
-    pattern = F.when(ascii_only, F.lit(ASCII_WS)).otherwise(F.lit(WS))
-    return F.trim(F.regexp_replace(c, pattern, F.lit(" ")))
+    """Runs of white space as one blank, none at the ends."""
+    return F.trim(F.regexp_replace(c, WS, " "))
 
 
 def text(c: Column) -> Column:

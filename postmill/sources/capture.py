@@ -153,48 +153,75 @@ def latest_report(reports: DataFrame, keys: list[str]) -> DataFrame:
 
 # ---- accessibility snapshots --------------------------------------------------------------
 
-NOISE = r"(?i)^(?:save|apply|dismiss|promoted|viewed|easy apply|actively recruiting|be an early applicant|\.)$"
-
-
-def snapshot_blocks(files: DataFrame, source_button: str = r'^\s*- button "(?:Dismiss )?(.+?) job"') -> DataFrame:
+# Shapes of snapshot lines, and texts that are never part of a posting.
+BUTTON = r'^\s*- button "(.+)" \[ref=[^\]]+\] \[cursor=pointer\]:$'
+INLINE = r"^\s*- (?:(?:paragraph|generic) \[ref=[^\]]+\]|text): (.+)$"
+NOISE = [
+    "·", "Easy Apply", "Viewed", "Saved", "Applied", "Actively reviewing applicants",
+    "Be an early applicant",
+]
+NOISE_PATTERN = (
+    r"^(?:Dismiss |Posted on )|(?i:school alumni work here|connection works here|(?<![A-Za-z0-9_])benefits?(?![A-Za-z0-9_]))"
+)
+PAY_PATTERN = r"(?i)\$\d|(?<![A-Za-z0-9_])\d+/[hy]r(?![A-Za-z0-9_])"
+
+
+def snapshot_blocks(files: DataFrame) -> DataFrame:
     """Indented snapshot text -> one posting per button block.
 
-    ``files`` has file and text. A line that matches the button pattern opens a block; the
-    block ends at the first later line that is not indented deeper. The first distinct texts
-    are title, company and location.
+    ``files`` has file and text. A button line opens a block; the block ends at the first
+    later line that is not indented deeper. The first three texts that are not noise, with
+    adjacent repeats folded, are title, company and location. Work is split by file, which
+    is one captured screen.
     """
     lines = files.select("file", F.posexplode(F.split("text", r"\r?\n")).alias("pos", "line")).filter(
         F.trim("line") != ""
     )
-    by_file = W.partitionBy("file").orderBy("pos")
-    opened = lines.withColumns(
+    label = nonempty(F.regexp_extract("line", BUTTON, 1))
+    is_button = label.contains(" Dismiss ") & ~label.startswith("Dismiss ")
+    marked = lines.withColumns(
         {
             "indent": F.length(F.regexp_extract("line", r"^(\s*)", 1)),
-            "button": F.nullif(F.regexp_extract("line", source_button, 1), F.lit("")),
+            "label": F.when(is_button, label),
         }
-    ).withColumns(
+    )
+    by_file = W.partitionBy("file").orderBy("pos")
+    opens = F.col("label").isNotNull()
+    opened = marked.withColumns(
         {
-            "block": F.last(F.when(F.col("button").isNotNull(), F.col("pos")), True).over(by_file),
-            "depth": F.last(F.when(F.col("button").isNotNull(), F.col("indent")), True).over(by_file),
+            "block": F.last(F.when(opens, F.col("pos")), True).over(by_file),
+            "depth": F.last(F.when(opens, F.col("indent")), True).over(by_file),
         }
-    ).filter(F.col("block").isNotNull())
+    ).filter("block IS NOT NULL")
     by_block = W.partitionBy("file", "block").orderBy("pos")
-    ended = F.max(
+    closed = F.max(
         F.when((F.col("pos") > F.col("block")) & (F.col("indent") <= F.col("depth")), 1).otherwise(0)
     ).over(by_block)
-    inside = opened.withColumn("ended", ended).filter("ended = 0")
-    quoted = F.nullif(F.regexp_extract("line", r'"([^"]+)"', 1), F.lit(""))
-    plain = F.nullif(F.regexp_extract("line", r":\s*(.+)$", 1), F.lit(""))
-    texts = inside.withColumn(
-        "t", collapse(F.coalesce(F.col("button"), quoted, plain))
-    ).filter(F.col("t").isNotNull() & ~F.col("t").rlike(NOISE))
-    fresh = texts.withColumn("prev", F.lag("t").over(by_block)).filter(
+    inside = opened.withColumn("closed", closed).filter("closed = 0").withColumn(
+        "inline", nonempty(F.trim(F.regexp_extract("line", INLINE, 1)))
+    )
+    noise = F.col("inline").isin(NOISE) | F.col("inline").rlike(NOISE_PATTERN)
+    named = F.when(
+        ~noise, nonempty(collapse(F.regexp_replace("inline", r"(?i)\s*\(Verified job\)\s*", " ")))
+    )
+    texts = inside.withColumn("t", named)
+    useful = texts.filter("t IS NOT NULL").withColumn("prev", F.lag("t").over(by_block)).filter(
         F.col("prev").isNull() | (F.col("prev") != F.col("t"))
     )
-    first = fresh.groupBy("file", "block", "t").agg(F.min("pos").alias("pos"))
-    ranked = first.withColumn("n", F.row_number().over(by_block))
-    return ranked.filter("n <= 3").groupBy("file", "block").agg(
-        F.max(F.when(F.col("n") == 1, F.col("t"))).alias("title"),
-        F.max(F.when(F.col("n") == 2, F.col("t"))).alias("company"),
-        F.max(F.when(F.col("n") == 3, F.col("t"))).alias("location"),
+    n = F.row_number().over(by_block)
+    heads = useful.withColumn("n", n).filter("n <= 3").groupBy("file", "block").agg(
+        *[
+            F.max(F.when(F.col("n") == i + 1, F.col("t"))).alias(c)
+            for i, c in enumerate(("title", "company", "location"))
+        ]
+    )
+    inline = F.col("inline")
+    extras = inside.groupBy("file", "block").agg(
+        F.max("label").alias("summary"),
+        F.min_by(inline, F.when(inline.rlike(PAY_PATTERN), F.col("pos"))).alias("salary_text"),
+        F.min_by(
+            F.trim(F.substring(inline, 11, 200)), F.when(inline.startswith("Posted on "), F.col("pos"))
+        ).alias("posted_at"),
+        F.coalesce(F.bool_or(inline == "Easy Apply"), F.lit(False)).alias("easy_apply"),
     )
+    return heads.join(extras, ["file", "block"]).filter("title IS NOT NULL AND company IS NOT NULL")
