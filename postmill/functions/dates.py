@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.functions.core import text
+from postmill.functions.core import nonempty, text
 
 # Shape of the text -> format it is read with.
 DATE_FORMATS = [
@@ -31,7 +31,7 @@ def with_posted(
         {
             "_low": F.lower("_raw"),
             "_title": F.initcap("_abs"),
-            "_n": F.regexp_extract(F.lower("_raw"), RELATIVE, 1).try_cast("int"),
+            "_n": nonempty(F.regexp_extract(F.lower("_raw"), RELATIVE, 1)).try_cast("int"),
             "_unit": F.regexp_extract(F.lower("_raw"), RELATIVE, 2),
         }
     )

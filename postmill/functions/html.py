@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postmill.functions.core import W, text
+from postmill.functions.core import W, nonempty, text
 
 ANCHOR = r'(?i)<a[^>]*href="([^"]+)"[^>]*>([\s\S]*?)</a>'
 
@@ -113,7 +113,7 @@ def expected_total(t: Column) -> Column:
         r"(?i)([\d,]+)\s+results?",
     ]
     found = [
-        F.replace(F.regexp_extract(t, p, 1), F.lit(","), F.lit("")).try_cast("bigint")
+        nonempty(F.replace(F.regexp_extract(t, p, 1), F.lit(","), F.lit(""))).try_cast("bigint")
         for p in patterns
     ]
     return F.coalesce(*[F.when(n > 0, n) for n in found])

@@ -43,7 +43,8 @@ def salary_range(t: Column) -> Column:
 def salary_floor(c: Column) -> Column:
     """First two or three digit run, in thousands when it is below 1000."""
     digits = F.regexp_replace(F.regexp_extract(c, FLOOR_PATTERN, 0), r"[^0-9]", "")
-    value = digits.try_cast("bigint")
+    # A failed cast costs an exception, so text without digits goes in as null.
+    value = nonempty(digits).try_cast("bigint")
     return F.when(value < 1000, value * 1000).otherwise(value)
 
 
