@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions.core import half_up, nonempty
+from postmill.operators.settle import settle
 from postmill.operators.skew import first_per_key, join_one_per_key
 from postmill.params import RETENTION_DAYS, STATUSES
 
@@ -24,8 +25,8 @@ def resolve_incoming(base: DataFrame, incoming: DataFrame, pos: str = "pos") ->
     """Incoming rows folded to one per stored row, with ``surviving_id`` and ``matched``.
 
     A row matches by id, else by (source_id, source_url): two equi-joins instead of one
-    join on an OR. Copies inside the batch are folded before the joins: the last one wins,
-    and rows that are new under one URL take the id of the first.
+    join on an OR. Copies inside the batch are folded before the joins and the last one
+    wins; new rows that share an id or a URL become one.
     """
     rest = [c for c in incoming.columns if c not in ("id", "source_id", "source_url", pos)]
     folded = incoming.groupBy("id", "source_id", "source_url").agg(
@@ -33,19 +34,17 @@ def resolve_incoming(base: DataFrame, incoming: DataFrame, pos: str = "pos") ->
         F.min(pos).alias("_first"),
         F.max(pos).alias("_last"),
     )
+    # Read several times below, so both steps are written once.
+    folded = settle(folded)
+    url_key = F.to_json(F.struct("source_id", "source_url"))
     by_id = base.select("id", F.lit(True).alias("_by_id"))
-    by_url = base.select("source_id", "source_url", F.col("id").alias("_url_id"))
-    j = folded.join(by_id, "id", "left").join(by_url, ["source_id", "source_url"], "left")
-    stored = F.when(F.col("_by_id"), F.col("id")).otherwise(F.col("_url_id"))
-    j = j.withColumn("_stored", stored)
-    new_ids = (
-        j.filter("_stored IS NULL")
-        .groupBy("source_id", "source_url")
-        .agg(F.min_by("id", "_first").alias("_new_id"))
-    )
-    j = j.join(new_ids, ["source_id", "source_url"], "left").withColumn(
-        "surviving_id", F.coalesce("_stored", "_new_id")
+    by_url = base.select(url_key.alias("_uk"), F.col("id").alias("_url_id"))
+    j = join_one_per_key(
+        folded.join(by_id, "id", "left").withColumn("_uk", url_key), by_url, "_uk"
     )
+    stored = F.when(F.col("_by_id"), F.col("id")).otherwise(F.col("_url_id"))
+    j = settle(j.withColumn("_stored", stored).drop("_by_id", "_url_id"))
+    j = _resolve_new(j).withColumn("surviving_id", F.coalesce("_stored", "_new_id"))
     head = F.struct("source_id", "source_url")
     one = j.groupBy("surviving_id").agg(
         F.max_by("_v", "_last").alias("_v"),
@@ -55,6 +54,25 @@ def resolve_incoming(base: DataFrame, incoming: DataFrame, pos: str = "pos") ->
     return one.select("surviving_id", "matched", "_h.*", *[F.col("_v")[c].alias(c) for c in rest])
 
 
+def _resolve_new(rows: DataFrame) -> DataFrame:
+    """Add ``_new_id``: the id under which a row that is not stored yet survives.
+
+    A row creates a stored one when both its id and its URL occur for the first time. Later
+    rows follow the creator of their id, else the creator of their URL, else stay themselves.
+    """
+    new = rows.filter("_stored IS NULL").select("id", "_uk", "_first")
+    first_url = new.groupBy("_uk").agg(F.min(F.struct("_first", "id")).alias("u"))
+    first_id = new.groupBy("id").agg(F.min(F.struct("_first", "_uk")).alias("i"))
+    makers = first_url.select("_uk", F.col("u.id").alias("id"), "u._first").join(
+        first_id.select("id", F.col("i._uk").alias("_uk"), F.col("i._first").alias("_f")), ["id", "_uk"]
+    ).filter("_first = _f").select("id", "_uk")
+    by_id = makers.select("id", F.lit(True).alias("_made"))
+    by_url = makers.select("_uk", F.col("id").alias("_maker"))
+    j = join_one_per_key(rows.join(by_id, "id", "left"), by_url, "_uk")
+    follow = F.coalesce(F.when(F.col("_made"), F.col("id")), F.col("_maker"), F.col("id"))
+    return j.withColumn("_new_id", follow).drop("_made", "_maker")
+
+
 def upsert_postings(base: DataFrame, incoming: DataFrame, pos: str = "pos") -> DataFrame:
     """New snapshot of the store; ``change`` tells inserted, updated and kept rows apart."""
     new = resolve_incoming(base, incoming, pos)
@@ -238,12 +256,10 @@ def classify_delta(base: DataFrame, incoming: DataFrame, pos: str = "pos") -> Da
     )
     b = base.select("id", "source_id", "source_url", sig.alias("_sig"))
     by_id = b.select("id", F.col("_sig").alias("_id_sig"))
-    by_url = b.select("source_id", "source_url", F.col("_sig").alias("_url_sig"))
-    j = (
-        once.withColumn("_mine", mine)
-        .join(by_id, "id", "left")
-        .join(by_url, ["source_id", "source_url"], "left")
-    )
+    url_key = F.to_json(F.struct("source_id", "source_url"))
+    by_url = b.select(url_key.alias("_uk"), F.col("_sig").alias("_url_sig"))
+    keyed = once.withColumns({"_mine": mine, "_uk": url_key}).join(by_id, "id", "left")
+    j = join_one_per_key(keyed, by_url, "_uk")
     old = F.coalesce("_id_sig", "_url_sig")
     delta = F.when(old.isNull(), "new").when(old == F.col("_mine"), "unchanged").otherwise("updated")
     return j.select("id", "source_id", delta.alias("delta"))
