@@ -454,6 +454,28 @@ def first_wins(rows: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
     return first_per_key(keyed, [*keys, "_k"], F.col(pos)).drop("_k")
 
 
+def first_wins_two_keys(rows: DataFrame, page_keys: list[str], pos: str = "pos") -> DataFrame:
+    """Rows of a page whose id and role key no kept row before them has.
+
+    A dropped row must not block later ones, so the order matters and one page is read in
+    sequence; ``page_keys`` name a single captured page, which bounds the group.
+    """
+    role = F.lower(F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in ("title", "company", "location")]))
+    keyed = rows.withColumns({"_id": F.coalesce("external_id", F.lit("")), "_role": role})
+
+    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+        seen: set[tuple[str, str]] = set()
+        kept = []
+        for i, a, b in pdf.sort_values(pos)[["_id", "_role"]].itertuples():
+            marks = {("role", b)} | ({("id", a)} if a else set())
+            if not marks & seen:
+                seen |= marks
+                kept.append(i)
+        return pdf.loc[kept]
+
+    return keyed.groupBy(*page_keys).applyInPandas(keep, keyed.schema).drop("_id", "_role")
+
+
 def page_growth(rows: DataFrame, keys: list[str], page: str = "page") -> DataFrame:
     """New identity keys each page adds, and the page at which growth ends.
 

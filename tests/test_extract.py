@@ -97,6 +97,13 @@ def test_merge_later_wins_but_text_stays(rows):
     assert (r.title, r.location, r.description, r.summary) == ("z", None, "first", "s")
 
 
+def test_two_key_first_wins_lets_dropped_rows_block_nothing(rows):
+    ddl = "page int, pos int, external_id string, title string, company string, location string"
+    data = [("1", "a"), ("1", "b"), ("2", "b"), (None, "a"), (None, "c")]
+    df = rows([{"page": 1, "pos": i, "external_id": e, "title": t} for i, (e, t) in enumerate(data)], ddl)
+    assert sorted(r.pos for r in extract.first_wins_two_keys(df, ["page"]).collect()) == [0, 2, 4]
+
+
 SNAP = """- main [ref=e0]:
   - button "PM Dismiss PM job" [ref=e1] [cursor=pointer]:
     - generic [ref=e2]: Product Manager (Verified job)
