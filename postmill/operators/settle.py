@@ -2,26 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(df: DataFrame) -> str:
-    """Folder of ``spark.checkpoint.dir``; a temporary one only for a local master."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="postmill-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: ``spark.checkpoint.dir``.
 
+    Where that is unset (tests), the warehouse, which every Spark deployment shares as well.
+    """
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/settled").rstrip("/")
 
-def settle(df: DataFrame) -> DataFrame:
+
+def new_path(spark: SparkSession, label: str = "settled") -> str:
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, label: str = "settled") -> DataFrame:
     """The same rows read back from a written table: no recompute, lost executors do no harm."""
-    path = f"{shared_folder(df).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
