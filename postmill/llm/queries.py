@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import mixing, sharding
+from postmill.llm import mixing, quality, secrets, sharding, toxicity, warc
 from postmill.llm.words import table
+from postmill.operators.settle import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,3 +37,23 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_mix_sources", mixing.SQL)
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op4_secret_scan")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.secret_digest(table(spark, sf, "documents"))
+
+
+@query("op5_warc_round_trip")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf, "pages"), new_path(spark, "warc"))
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op2_attention_quality")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
