@@ -110,16 +110,14 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share=1.5, most=2, seed="mix", doc_i
     )
 
 
-def read_mix(docs: DataFrame, **how) -> DataFrame:
+def read_mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", **how) -> DataFrame:
     """The mixed corpus itself: each row as often as the mix reads it, in the input's columns.
 
     The row at which a budget ends is read whole. Rows without words are in no mix.
     """
-    kept = docs.columns
-    lost = [c for c in kept if c.lower() in OUT]
-    if lost:
-        raise ValueError(f"rename {lost}: the mix adds columns of these names")
-    return mix(docs, **how).filter("epochs > 0").withColumn("_time", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("epochs")))).select(*kept)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.col(source).alias("_from"))
+    times = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("epochs")))
+    return mix(rows, doc_id="_id", text="_text", source="_from", **how).filter("epochs > 0").withColumn("_time", times).select("_row.*")
 
 
 SQL = r"""

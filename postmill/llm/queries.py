@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import mixing, quality, secrets, sharding, toxicity, warc
-from postmill.llm.words import table
+from postmill.llm import decontaminate, embeddings, minhash, mixing, quality, secrets, sharding, suffixes, toxicity, warc
+from postmill.llm.words import configured, table
 from postmill.operators.settle import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,10 +18,10 @@ ORACLE: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def wrap(fn):
-        QUERIES[name] = fn
+        QUERIES[name] = configured(fn)
         if sql:
             ORACLE[name] = sql
-        return fn
+        return QUERIES[name]
 
     return wrap
 
@@ -57,3 +58,29 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 @query("op2_attention_quality")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op1_minhash")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf, "documents"), percent=85)
+
+
+@query("op8_spaced_seed_decontamination", decontaminate.SQL)
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.withColumn("items", F.array_join(F.transform("items", lambda i: i.cast("string")), ","))
+
+
+@query("op6_spherical_cells")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf, "embeddings"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf)
+
+
+@query("op9_suffix_repeats")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return suffixes.repeat_digest(table(spark, sf, "documents"))

@@ -35,6 +35,7 @@ LEAST_WEIGHT = 1.5  # log odds
 MOST_ENTRIES = 50_000
 SAMPLE = 12_000  # labelled documents a model is fitted on, at most
 FEATURES = 5
+THRESHOLD = 0.7  # least score that is predicted toxic
 
 
 def _fold_table() -> dict[int, str]:
@@ -191,7 +192,7 @@ def scorer(model: Model):
     return score
 
 
-def score_toxicity(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Input columns plus score (0 to 1) and predicted (1 from ``threshold`` on).
 
     The whole text counts. Null and empty texts score like a text without any entry of the lexicon. Repeated

@@ -2,11 +2,31 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-GAP = r"[\x20\x09-\x0D]+"
+
+# Shuffle files go when the query that made them ends: results of several steps are written in between.
+# Batches to Python are bounded by bytes, as texts can be long.
+SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+}
+
+
+def configured(fn):
+    """A function of a session (and more) that runs under the settings above."""
+
+    @functools.wraps(fn)
+    def run(spark: SparkSession, *more):
+        for k, v in SETTINGS.items():
+            spark.conf.set(k, v)
+        return fn(spark, *more)
+
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
