@@ -16,13 +16,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Edges with a null end or equal ends are ignored; repeated edges count once.
     """
     e = edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    e, before = settle(e, "edges"), None
-    while True:
-        # Checksum of the edge set: unchanged edges are stars.
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").bitwiseAND((1 << 40) - 1)).alias("sum")).first()
-        if now == before:
-            break
-        before = now
+    e = settle(e, "edges")
+    while not _all_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -31,3 +26,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = settle(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def _all_stars(e: DataFrame) -> bool:
+    """Whether each larger end has one edge and is no smaller end: then the edges are the components."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up = 1 AND down = 1").isEmpty()

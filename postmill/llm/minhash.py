@@ -4,8 +4,8 @@ One hash of each shingle serves all bins: its range names the bin, and a bin kee
 empty bin takes the value of a bin that a universal hash of (bin, attempt) points to, trying on until one
 is filled, which keeps the chance of agreement at the Jaccard similarity. Texts that share all bins of a
 band meet in a bucket. There, members are compared with centres instead of with each other: in a first round
-with the smallest id, then, only where a bucket still holds several components, with four times as
-many further centres a round, until every pair of a bucket is in one component or has been compared. Links are confirmed
+with the smallest id, then, only where the members left are of several components, with 16 times as many
+further centres a round, until every pair of a bucket is in one component or has been compared. Links are confirmed
 on the full sets.
 """
 
@@ -26,6 +26,7 @@ from postmill.operators.settle import settle
 ROWS = 5  # bins per band
 MISS = 1e-6  # chance that a pair at the threshold meets in no band
 ATTEMPTS = 1024
+GROWTH = 16  # times as many centres in each further round
 
 
 def bands_for(percent: int) -> int:
@@ -99,14 +100,14 @@ def links(reps: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFra
     """Components (id, component) of distinct sets: ``reps`` has id, n and bands."""
     members = reps.select("id", "n", F.explode("bands").alias("bucket"))
     size = members.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1").drop("k")
-    open_ = settle(members.join(size, "bucket"), "buckets").withColumn("centre", F.lit(False)).withColumn("component", F.col("id"))
+    open_ = settle(members.join(size, "bucket"), "buckets").withColumn("component", F.col("id"))
     compared: list[DataFrame] = []
     confirmed: list[DataFrame] = []
     found, centres = None, 1
     while True:
-        # Centres: the smallest id that was none yet, in each of so many parts of the bucket.
-        part = F.pmod(F.xxhash64("id", F.lit(centres)), F.lit(centres)) if centres > 1 else F.lit(0).cast("bigint")
-        chosen = open_.filter("NOT centre").groupBy("bucket", part.alias("part")).agg(F.min_by(F.struct("id", "n", "component"), "id").alias("c"))
+        # Centres: the smallest id in each of so many parts of the bucket.
+        part = F.pmod(F.xxhash64("id"), F.lit(centres)) if centres > 1 else F.lit(0).cast("bigint")
+        chosen = open_.groupBy("bucket", part.alias("part")).agg(F.min_by(F.struct("id", "n", "component"), "id").alias("c"))
         chosen = settle(chosen.select("bucket", F.col("c.id").alias("b"), F.col("c.n").alias("m"), F.col("c.component").alias("of")), "centres")
         pairs = (
             open_.join(chosen, "bucket").filter((F.col("id") != F.col("b")) & (F.col("component") != F.col("of")))
@@ -120,16 +121,16 @@ def links(reps: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFra
             compared.append(pairs)
             confirmed.append(settle(_confirm(pairs, docs, percent, width), "links"))
             found = settle(connected_components(reduce(DataFrame.unionByName, confirmed)), "components")
-        done = chosen.select("bucket", F.col("b").alias("id"), F.lit(True).alias("now"))
-        rows = open_.join(done, ["bucket", "id"], "left").withColumn("centre", F.col("centre") | F.coalesce("now", F.lit(False))).drop("now")
+        # A centre has met its whole bucket. Left are members that were none, where they are of several components.
+        rows = open_.join(chosen.select("bucket", F.col("b").alias("id")), ["bucket", "id"], "left_anti")
         if found is not None:
             rows = rows.drop("component").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        rows = settle(rows.select("id", "n", "bucket", "centre", "component"), "buckets")
-        several = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("centre").alias("all_done")).filter("x <> y AND NOT all_done")
+        rows = settle(rows.select("id", "n", "bucket", "component"), "buckets")
+        several = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
         open_ = settle(rows.join(several.select("bucket"), "bucket"), "buckets")
         if open_.isEmpty():
             return found
-        centres *= 4
+        centres *= GROWTH
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
