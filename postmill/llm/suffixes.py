@@ -34,8 +34,8 @@ GRAM = 30  # bytes of an anchor
 PLACES = LENGTH - GRAM + 1
 # Modulo sampling: the least of the small grams of a window chooses the anchor, at its place modulo PLACES.
 SMALL = 4 + (GRAM - 4) % PLACES
-PIECE = 3 << 20  # bytes worked on at once
-BUCKET_BYTES = 16 << 20  # text per bucket
+PIECE = 1 << 20  # bytes worked on at once
+BUCKET_BYTES = 8 << 20  # text per bucket
 SAMPLE_BYTES = 4 << 20  # text from which splitters are taken
 _PLACE_BITS = np.uint64(23)  # pieces are shorter than 8 MB
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -391,3 +391,15 @@ def repeat_digest(docs: DataFrame) -> DataFrame:
     return out.select(
         "doc_id", (F.octet_length("kept") + F.col("n_removed")).cast("bigint").alias("n_bytes"), "n_removed", F.size("starts").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+SQL = """
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS x FROM documents),
+w AS (SELECT doc_id, p, hex(array_slice(x, p + 1, p + 1)) AS byte, CASE WHEN p + 50 <= octet_length(x) THEN md5(array_slice(x, p + 1, p + 50)) END AS s
+  FROM (SELECT doc_id, x, unnest(range(octet_length(x))) AS p FROM b)),
+f AS (SELECT s, min(doc_id) AS first FROM w WHERE s IS NOT NULL GROUP BY 1),
+c AS (SELECT w.doc_id, p, byte, coalesce(max((f.first < w.doc_id)::INT) OVER (PARTITION BY w.doc_id ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS gone FROM w LEFT JOIN f USING (s)),
+g AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), 0) = 0 AS begins FROM c),
+a AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, count(*) FILTER (WHERE begins) AS n_spans, coalesce(string_agg(byte, '' ORDER BY p) FILTER (WHERE gone = 0), '') AS kept FROM g GROUP BY 1)
+SELECT b.doc_id, octet_length(x)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM b LEFT JOIN a USING (doc_id)
+"""

@@ -13,7 +13,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 # Batches to Python are bounded by bytes, as texts can be long.
 SETTINGS = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
 }
 
 

@@ -45,7 +45,7 @@ def passages(seed):
     return texts + texts[:5]
 
 
-@pytest.mark.parametrize("bucket", [16 << 20, 4000])
+@pytest.mark.parametrize("bucket", [8 << 20, 4000])
 def test_repeats_as_plain_search(spark, monkeypatch, bucket):
     monkeypatch.setattr(suffixes, "BUCKET_BYTES", bucket)
     rows = rows_of(passages(3))
