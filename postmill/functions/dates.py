@@ -31,20 +31,25 @@ def with_posted(
         {
             "_low": F.lower("_raw"),
             "_title": F.initcap("_abs"),
-            "_n": nonempty(F.regexp_extract(F.lower("_raw"), RELATIVE, 1)).try_cast("int"),
+            "_n": nonempty(F.regexp_extract(F.lower("_raw"), RELATIVE, 1)).try_cast("bigint"),
             "_unit": F.regexp_extract(F.lower("_raw"), RELATIVE, 2),
         }
     )
     low, n, unit = F.col("_low"), F.col("_n"), F.col("_unit")
+    # Counts of more than nine digits are no ages.
+    n = F.when(n < 1_000_000_000, n)
+    per_day = F.when(unit == "year", 365).when(unit == "month", 30).when(unit == "week", 7).otherwise(1).cast("bigint")
     read = F.when(F.col("_abs").rlike(ISO_SHAPE), F.col("_abs").try_cast("timestamp"))
     for shape, fmt in DATE_FORMATS:
         read = read.when(F.col("_abs").rlike(shape), F.try_to_timestamp("_title", F.lit(fmt)))
+    # Ages beyond the calendar (before the year 100 or so) keep their days and have no timestamp.
+    near = F.when(n * per_day <= 1900 * 365, n).cast("int")
     back = F.make_interval(
-        years=F.when(unit == "year", n).otherwise(0),
-        months=F.when(unit == "month", n).otherwise(0),
-        weeks=F.when(unit == "week", n).otherwise(0),
-        days=F.when(unit == "day", n).when(low == "yesterday", 1).otherwise(0),
-        hours=F.when(unit == "hour", n).otherwise(0),
+        years=F.when(unit == "year", near).otherwise(0),
+        months=F.when(unit == "month", near).otherwise(0),
+        weeks=F.when(unit == "week", near).otherwise(0),
+        days=F.when(unit == "day", near).when(low == "yesterday", 1).otherwise(0),
+        hours=F.when(unit == "hour", near).otherwise(0),
     )
     relative = (unit != "") | low.isin("today", "yesterday")
     per_unit = (

@@ -14,6 +14,25 @@ def _code_point(n: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
 
 
+# Numbers of the two halves of a character beyond the first plane.
+_PAIRS = (
+    (r"&#0*(55(?:29[6-9]|[3-9]\d{2})|56(?:[0-2]\d{2}|30\d|31\d));&#0*(56(?:3[2-9]\d|[4-9]\d{2})|57(?:[0-2]\d{2}|3[0-3]\d|34[0-3]));", 10),
+    (r"&#[xX]0*([dD][89abAB][0-9a-fA-F]{2});&#[xX]0*([dD][c-fC-F][0-9a-fA-F]{2});", 16),
+)
+
+
+def _join_pairs(c: Column) -> Column:
+    """Two entities that are the halves of one character become that character."""
+    for pattern, base in _PAIRS:
+        half = lambda e, i: F.conv(F.regexp_extract(e, pattern, i), base, 10).cast("bigint")  # noqa: E731, B023
+        c = F.aggregate(
+            F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), F.lit(0))),
+            c,
+            lambda acc, e: F.replace(acc, e, _code_point((half(e, 1) - 55296) * 1024 + half(e, 2) - 56320 + 65536)),  # noqa: B023
+        )
+    return c
+
+
 def _decode_numeric(c: Column, pattern: str, base: int) -> Column:
     """Replace each distinct numeric entity of the text by its character."""
     found = F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)))
@@ -27,8 +46,13 @@ def _decode_numeric(c: Column, pattern: str, base: int) -> Column:
 
 
 def decode_entities(c: Column) -> Column:
-    """Numeric entities, then the five named ones; plain text skips the numeric step."""
-    numeric = _decode_numeric(_decode_numeric(c, r"&#[xX]([0-9a-fA-F]+);", 16), r"&#(\d+);", 10)
+    """Numeric entities, then the named ones; plain text skips the numeric step.
+
+    Numbers with more digits than a code point can have stay as they are.
+    """
+    numeric = _decode_numeric(
+        _decode_numeric(_join_pairs(c), r"&#[xX]0*([0-9a-fA-F]{1,6});", 16), r"&#0*(\d{1,7});", 10
+    )
     out = F.when(F.contains(c, F.lit("&#")), numeric).otherwise(c)
     for entity, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')):
         out = F.replace(out, F.lit(entity), F.lit(char))

@@ -221,7 +221,7 @@ def _objects(payload: str | None, wanted) -> list[str]:
     """JSON objects at any depth that ``wanted`` accepts, breadth first, as JSON text."""
     try:
         queue = deque([json.loads(payload)] if payload else [])
-    except ValueError:
+    except (ValueError, RecursionError):  # unreadable, or nested deeper than the parser goes
         return []
     out = []
     while queue:
@@ -339,17 +339,45 @@ def location_of() -> Column:
     return F.coalesce(*[F.when(~c.rlike(heading), c) for c in found])
 
 
-def jsonld_postings(pages: DataFrame, keep: list[str]) -> DataFrame:
-    """JobPosting objects at any depth of the JSON-LD blocks of a page."""
+def _jsonld_objects(pages: DataFrame, keep: list[str]) -> DataFrame:
+    """JobPosting objects of the JSON-LD blocks: script ``_s``, place ``_i``, value ``_v`` and its paths."""
     scripts = pages.select(
-        "url", *keep, F.posexplode(F.regexp_extract_all("html", F.lit(LD_SCRIPT), F.lit(1))).alias("_s", "_p")
+        *keep, F.posexplode(F.regexp_extract_all("html", F.lit(LD_SCRIPT), F.lit(1))).alias("_s", "_p")
     )
     objects = scripts.withColumn("_o", posting_objects(decode_entities(F.trim("_p"))))
-    v = objects.select("url", *keep, "_s", F.posexplode("_o").alias("_i", "_j")).withColumn(
+    v = objects.select(*keep, "_s", F.posexplode("_o").alias("_i", "_j")).withColumn(
         "_v", F.try_parse_json("_j")
     )
+    return _with_paths(v, LD_PATHS)
+
+
+def detail_facts(pages: DataFrame, key: str) -> DataFrame:
+    """Five facts of each detail page: from the JSON-LD posting with the longest description, field by field
+    else from hints in the page's text. Only the facts are exchanged, not the pages."""
     kinds = F.try_variant_get("_v", "$.employmentType", "array<string>")
-    staged = _with_paths(v, LD_PATHS).withColumns(
+    found = _jsonld_objects(pages, [key]).select(
+        key, F.struct("_s", "_i").alias("_pos"),
+        _first("$.datePosted", "$.datePublished").alias("posted_at"),
+        salary_of("$.baseSalary").alias("salary_text"),
+        F.coalesce(
+            nonempty(F.array_join(F.filter(F.transform(kinds, lambda k: text(k)), lambda k: k != ""), " · ")), _get("$.employmentType")
+        ).alias("employment_type"),
+        location_of().alias("location"),
+        nonempty(plain_text(_flat("$.description"))).alias("description"),
+    )
+    best = first_per_key(found, [key], F.struct(-F.coalesce(F.length("description"), F.lit(0)), F.col("_pos")))
+    best = best.select(F.col(key).alias("_key"), F.struct(*ENRICHED).alias("_ld"))
+    texts = pages.select(key, "url", plain_text(F.col("html")).alias("_t"))
+    hints = texts.select(key, "url", F.struct(*[c.alias(n) for n, c in text_hints(F.col("_t")).items()], F.col("_t").alias("description")).alias("_h"))
+    joined = hints.join(best, F.col(key) == F.col("_key"), "left")
+    return joined.select(key, "url", *[F.coalesce(nonempty(F.col("_ld")[f]), nonempty(F.col("_h")[f]), F.lit("")).alias(f) for f in ENRICHED])
+
+
+def jsonld_postings(pages: DataFrame, keep: list[str]) -> DataFrame:
+    """JobPosting objects at any depth of the JSON-LD blocks of a page."""
+    staged = _jsonld_objects(pages, ["url", *keep])
+    kinds = F.try_variant_get("_v", "$.employmentType", "array<string>")
+    staged = staged.withColumns(
         {
             "title": _first("$.title", "$.name"),
             "company": _first("$.hiringOrganization.name", "$.organization.name", "$.company.name", "$.companyName"),
@@ -534,7 +562,7 @@ def enrich(cards_: DataFrame, details: DataFrame, limit: int | None = None) -> D
     """Fill missing card fields from detail pages, joined on the canonical URL.
 
     ``details``: url and the enriched fields. One detail row per canonical URL is kept, and
-    a URL that many cards share is joined by the bounded broadcast of ``join_one_per_key``.
+    a URL that many cards share is split by the adaptive skew join.
     ``limit`` restricts enrichment to the first rows of each source, as a fetch budget would.
     """
     def canonical(df: DataFrame) -> DataFrame:
@@ -545,7 +573,12 @@ def enrich(cards_: DataFrame, details: DataFrame, limit: int | None = None) -> D
 
     d = canonical(details).select("_key", "url", F.struct(*ENRICHED).alias("_d"))
     d = first_per_key(d, ["_key"], F.col("url")).select("_key", "_d")
-    c = canonical(cards_).withColumn("provenance", initial_provenance())
+    # What a card already says of its fields (such as a value inferred from the search) is kept.
+    own = initial_provenance()
+    if "provenance" in cards_.columns:
+        known = [x for f in ENRICHED for x in (F.lit(f), F.coalesce(F.col("provenance")[f], own[f]))]
+        own = F.create_map(*known)
+    c = canonical(cards_).withColumn("provenance", own)
     j = join_one_per_key(c, d, "_key")
     allowed = F.col("source_type").isin(DETAIL_TYPES)
     if limit:
@@ -566,7 +599,7 @@ def enrich(cards_: DataFrame, details: DataFrame, limit: int | None = None) -> D
         pairs += [F.lit(f), F.when(F.col(f"_use_{f}"), "detail").otherwise(F.col("provenance")[f])]
     filled = {f: F.when(F.col(f"_use_{f}"), F.col("_d")[f]).otherwise(F.col(f)) for f in ENRICHED}
     return marked.withColumns({**filled, "provenance": F.create_map(*pairs)}).select(
-        *cards_.columns, "provenance"
+        *[c for c in cards_.columns if c != "provenance"], "provenance"
     )
 
 
@@ -599,7 +632,10 @@ def search_limits(url: Column) -> tuple[Column, Column]:
 
 
 def infer_from_search(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """Missing dates and salaries that the search itself had constrained."""
+    """Missing dates and salaries that the search itself had constrained.
+
+    Adds ``inferred``, and where the rows have a ``provenance`` map, marks the fields there as well.
+    """
     days, pay = search_limits(F.col("search_url"))
     s = sources.select("source_id", days.alias("_days"), pay.alias("_pay"))
     j = rows.join(s, "source_id", "left")
@@ -621,8 +657,18 @@ def infer_from_search(rows: DataFrame, sources: DataFrame) -> DataFrame:
             )
         )
     )
+    merged = {}
+    if "provenance" in rows.columns:
+        here = {"posted_at": dated, "salary_text": paid}
+        entries = [
+            F.struct(F.lit(f), F.when(here[f], mark).otherwise(F.col("provenance")[f]) if f in here else F.col("provenance")[f])
+            for f in ENRICHED
+        ]
+        rest = F.map_filter("provenance", lambda k, _: ~k.isin(ENRICHED))
+        merged["provenance"] = F.map_concat(rest, F.map_filter(F.map_from_entries(F.array(*entries)), lambda _, v: v.isNotNull()))
     return j.withColumns(
         {
+            **merged,
             "inferred": added,
             "posted_at": F.when(
                 dated,

@@ -153,6 +153,16 @@ def upsert_status(base: DataFrame, updates: DataFrame, only_from: str | None = N
     )
 
 
+def restore_status(statuses: DataFrame, previous: DataFrame) -> DataFrame:
+    """Put back the status a posting had before it was opened; an unknown (null) one changes nothing.
+
+    ``previous``: job_id, previous_status - one row per posting.
+    """
+    p = previous.select("job_id", "previous_status")
+    j = statuses.join(p, "job_id", "left").withColumn("status", F.coalesce("previous_status", "status"))
+    return j.select(*statuses.columns)
+
+
 # ---- status across duplicates -----------------------------------------------------------------
 
 def inherited_status(postings: DataFrame, applications: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-HOT_SHARE = 1000
 SALTS = 64
 
 
@@ -52,48 +51,29 @@ def first_per_key(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     return picked.select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in rest])
 
 
-def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """Keys with more than 1/1000 of all rows: at most 1000 of them, so broadcast is safe."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col(key).isNotNull())
-    total = df.select((F.count(F.lit(1)) / HOT_SHARE).alias("t"))
-    return counts.filter(F.col("_n") > total.scalar()).select(F.col(key))
-
-
 def join_one_per_key(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Left join to a table with one row per key, hot keys taken by a bounded broadcast.
+    """Left join to a table with one row per key; each side is read once.
 
-    Rows with a hot key find their match in a broadcast of at most 1000 rows and take a
-    private key through the shuffle join, so they spread instead of meeting in one task.
+    A hot key is split by the adaptive skew join: its rows on the left are dealt out over several
+    tasks, and the single row on the right goes to each of them (``session`` forces it on).
     """
     payload = [c for c in right.columns if c != key]
-    hot = right.join(F.broadcast(hot_keys(left, key)), key, "left_semi")
-    hot = hot.select(F.col(key), F.struct(*payload).alias("_hot"))
-    cold = right.select(F.col(key).alias("_key"), F.struct(*payload).alias("_cold"))
-    tagged = left.join(F.broadcast(hot), key, "left")
-    spread = F.concat(F.lit("\u0000"), F.xxhash64(*order_inputs(left)).cast("string"))
-    routed = tagged.withColumn(
-        "_route", F.when(F.col("_hot").isNotNull(), spread).otherwise(F.col(key).cast("string"))
-    )
-    cold = cold.withColumn("_route", F.col("_key").cast("string")).drop("_key")
-    joined = routed.join(cold, "_route", "left")
-    return joined.select(
-        *left.columns,
-        *[F.coalesce(F.col("_hot")[c], F.col("_cold")[c]).alias(c) for c in payload],
-    )
+    one = right.select(F.col(key).alias("_one_key"), F.struct(*payload).alias("_one"))
+    joined = left.join(one, F.col(key) == F.col("_one_key"), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in left.columns], *[F.col("_one")[c].alias(c) for c in payload])
 
 
-def cumulative(counts: DataFrame, value: str, n: str = "n", cells: int = 4096) -> DataFrame:
+def cumulative(counts: DataFrame, value: str, n: str = "n", cells: int = 256) -> DataFrame:
     """Rows at or below each value, from a table of distinct values with counts.
 
-    ``counts`` has one row per distinct value. Values fall into at most ``cells`` equal-width
-    cells; the running total over cells is the only single-task step and has that many rows,
-    the running total inside a cell only sees the distinct values of the cell.
+    ``counts`` has one row per distinct value. Cells are cut at approximate quantiles of the distinct
+    values, so an outlier changes no other cell; the running total over cells is the only single-task
+    step and has at most ``cells`` rows, the one inside a cell sees about 1/cells of the distinct values.
     """
-    ends = counts.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    width = F.greatest((F.col("hi") - F.col("lo")) / cells, F.lit(1e-9))
-    lo, w = ends.select("lo").scalar(), ends.select(width).scalar()
-    cell = F.least(F.lit(cells - 1), F.floor((F.col(value) - lo) / w)).cast("int")
-    celled = counts.withColumn("_cell", cell)
+    at = [i / cells for i in range(1, cells)] or [0.5]
+    cuts = counts.agg(F.percentile_approx(value, at, 10 * cells).alias("q")).scalar()
+    below = F.size(F.filter("_cuts", lambda c: c <= F.col(value)))
+    celled = counts.withColumn("_cuts", cuts).withColumn("_cell", F.coalesce(below, F.lit(0))).drop("_cuts")
     per_cell = celled.groupBy("_cell").agg(F.sum(n).alias("_s"))
     before = per_cell.select(
         "_cell",

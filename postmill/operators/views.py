@@ -51,6 +51,16 @@ def top_jobs(joined: DataFrame, n: int) -> DataFrame:
     ).limit(n)
 
 
+def recent_jobs(joined: DataFrame, n: int) -> DataFrame:
+    """Newest n by posting date, else creation; then by creation and id."""
+    return joined.orderBy(F.coalesce("posted_at", "created_at").desc(), F.col("created_at").desc(), F.col("id")).limit(n)
+
+
+def recent_actions(joined: DataFrame, n: int) -> DataFrame:
+    """The n postings acted on last, those never acted on by creation; then by id."""
+    return joined.orderBy(F.coalesce("last_action_at", "created_at").desc(), F.col("id")).limit(n)
+
+
 def review_target(url: Column, external_id: Column, title: Column, company: Column) -> Column:
     """struct(url, mode): where a reviewer is sent, directly or through a search."""
     u = F.coalesce(url, F.lit(""))
@@ -167,7 +177,10 @@ def group_postings(joined: DataFrame, include_rejected: bool = True) -> DataFram
 
 def top_groups(scored: DataFrame, n: int) -> DataFrame:
     """Best ``n`` groups by score, then posting date; sources of a group are a bounded set."""
-    order = F.struct(-F.col("score"), -F.unix_micros("posted_at"), F.col("pos"))
+    # Nulls come first in a struct: an unscored or undated member must not stand for its group.
+    last = F.lit(-(1 << 62)).cast("bigint")
+    dated = F.coalesce(F.unix_micros("posted_at"), last)
+    order = F.struct(-F.coalesce(F.col("score"), F.lit(-1)), -dated, F.col("pos"))
     row = F.struct("title", "company", "score", "bucket", "posted_at")
     grouped = scored.groupBy("normalized_hash").agg(
         F.min_by(row, order).alias("r"),

@@ -37,15 +37,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share when a table comes in fewer files than there are cores.
-
-    A large table has more files than cores and is left alone, so no exchange is added.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def ts(value: str):
     return F.lit(value).cast("timestamp")
 
@@ -72,7 +63,6 @@ def b_raw(spark: SparkSession, sf: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_linestatus", "l_shipdate",
     )
-    li = spread(li)
     part = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     supp = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     nation = table(spark, sf, "nation").select("n_nationkey", "n_name")
@@ -191,13 +181,13 @@ def b_status(spark: SparkSession, sf: str) -> DataFrame:
 
 def b_doc(spark: SparkSession, sf: str) -> DataFrame:
     """Long free text as postings, status by the label table."""
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
     labels = table(spark, sf, "labels")
     return docs.join(labels, "doc_id", "left").select(
         "doc_id",
         F.col("source").alias("source_id"),
         F.col("lang").alias("location"),
-        F.substring(F.regexp_extract("text", r"^([^\n]*)", 1), 1, 60).alias("title"),
+        F.regexp_extract("text", r"^([^\n]*)", 1).alias("title"),
         F.concat(F.lit("Company "), F.col("lang")).alias("company"),
         F.col("text").alias("description"),
         F.when(F.col("toxic") == 1, "rejected")
@@ -207,7 +197,7 @@ def b_doc(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def b_page(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "pages")).select(
+    return table(spark, sf, "pages").select(
         F.concat(F.lit("src"), (F.col("page_id") % 8).cast("string")).alias("source_id"),
         "page_id", "url", "html",
     )

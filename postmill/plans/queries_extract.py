@@ -114,6 +114,34 @@ def q_text_hints(spark, sf):
     return hinted(spark, sf).drop("source_id", "url", "description")
 
 
+_FACTS = {
+    "posted_at": "'2024-02-01'", "salary_text": "CASE WHEN page_id % 4 = 0 THEN '$5,000' ELSE salary_text END",
+    "employment_type": "'FULL_TIME · CONTRACTOR'", "location": "CASE WHEN page_id % 3 = 0 THEN 'Bern, CH' ELSE location END",
+    "description": "'Long work ' || page_id",
+}
+
+
+@query(
+    "q_detail_facts",
+    sql("b_hint", "SELECT page_id, url, " + ", ".join(f"CASE WHEN page_id % 2 = 0 THEN {v} ELSE {n} END AS {n}" for n, v in _FACTS.items()) + " FROM b_hint"),
+)
+def q_detail_facts(spark, sf):
+    """Every second page carries two JSON-LD postings, the longer one second."""
+    phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.col("page_id") % 5 + 1).cast("int"))
+    n = F.col("page_id")
+    node = lambda *more: F.struct(F.lit("JobPosting").alias("@type"), *more)
+    place = F.struct(F.struct(F.lit("Bern").alias("addressLocality"), F.lit("CH").alias("addressCountry")).alias("address"))
+    long = node(
+        F.lit("2024-02-01").alias("datePosted"), F.when(n % 4 == 0, F.lit(5000)).alias("baseSalary"),
+        F.array(F.lit("FULL_TIME"), F.lit("CONTRACTOR")).alias("employmentType"), F.when(n % 3 == 0, place).alias("jobLocation"),
+        F.concat(F.lit("<p>Long work</p> "), n.cast("string")).alias("description"),
+    )
+    short = node(F.lit("1999-01-01").alias("datePosted"), F.lit("x").alias("description"))
+    blocks = [F.lit('<script type="application/ld+json">'), F.to_json(short), F.lit("</script>"), F.lit('<script type="application/ld+json">'), F.to_json(long), F.lit("</script>")]
+    html = F.concat_ws(" ", phrase, F.col("html"), F.when(n % 2 == 0, F.concat(*blocks)))
+    return extract.detail_facts(b.b_page(spark, sf).select("page_id", "url", html.alias("html")), "page_id")
+
+
 _TITLE = "regexp_extract(html, '(?i)<title[^>]*>([\\s\\S]*?)</title>', 1)"
 
 
@@ -137,7 +165,7 @@ def q_host_company(spark, sf):
 
 @query(
     "q_expected_total",
-    sql("b_page_text", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN page_id + 1000 WHEN 1 THEN page_id WHEN 2 THEN 7 END::BIGINT AS expected_total FROM b_page_text WHERE page_id > 0"),
+    sql("b_page_text", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN page_id + 1000 WHEN 1 THEN page_id WHEN 2 THEN 7 END::BIGINT AS expected_total FROM b_page_text"),
 )
 def q_expected_total(spark, sf):
     m, n = F.col("page_id") % 4, F.col("page_id")
@@ -147,7 +175,7 @@ def q_expected_total(spark, sf):
         .when(m == 2, F.lit(" 7 results"))
         .otherwise("")
     )
-    p = b.b_page(spark, sf).filter("page_id > 0")
+    p = b.b_page(spark, sf)
     return p.select("page_id", F.concat(h.plain_text(F.col("html")), tail).alias("x")).select(
         "page_id", h.expected_total(F.col("x")).alias("expected_total")
     )

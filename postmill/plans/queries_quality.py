@@ -230,6 +230,29 @@ def q_capture_summary(spark, sf):
     return s.withColumn("captured_at", iso(F.col("captured_at")))
 
 
+@query(
+    "q_capture_scan",
+    sql("b_raw_run", f"""SELECT source_id, {k.iso('captured_at')} AS captured_at, CAST(row_number() OVER (PARTITION BY source_id, captured_at ORDER BY pos) - 1 AS INT) AS pos, external_id, title, company, location,
+ posted_at, employment_type, salary_text, description, url, source_id || '/feed' AS page_url FROM b_raw_run"""),
+)
+def q_capture_scan(spark, sf):
+    """Weekly runs recorded as capture payloads, written, scanned and flattened again."""
+    from postmill.operators.settle import new_path
+    from postmill.sources import capture
+
+    raw = raw_runs(spark, sf)
+    heads = raw.select("source_id", "captured_at").distinct().withColumns(
+        {"page_url": F.concat("source_id", F.lit("/feed")), "expected_count": F.lit(EXPECTED)}
+    )
+    path = new_path(spark, "captures")
+    capture.write_payloads(capture.capture_payloads(raw, heads), path)
+    rows = capture.capture_rows(capture.read_captures(spark, path, lines=True))
+    return rows.select(
+        "source_id", iso(F.to_timestamp("retrieved_at")).alias("captured_at"), "pos", "external_id", "title", "company", "location", "posted_at",
+        "employment_type", "salary_text", "description", "url", "page_url",
+    )
+
+
 k.cte(
     "b_access", "b_summary",
     """SELECT source_id, reason_code, CASE WHEN reason_code IN ('invalid_search_url', 'capture_error') THEN 'fail' WHEN reason_code LIKE 'capture_ok%' THEN 'pass' ELSE 'warn' END AS access_status
@@ -251,7 +274,7 @@ k.cte(
     "b_funnel", "b_ident b_filtered b_source",
     f"""SELECT *, CASE WHEN import_ratio IS NULL THEN 'unknown' WHEN import_ratio >= 0.7 THEN 'ok' WHEN import_ratio >= 0.4 THEN 'warning' ELSE 'critical' END AS import_status
 FROM (SELECT *, greatest(0, captured - kept) AS dropped_filter, greatest(0, kept - deduped) AS dropped_dedupe, floor(deduped / expected_count * 1000 + 0.5) / 1000 AS import_ratio
-FROM (SELECT i.source_id, count(*) AS captured, CAST(count_if(f.drop_reason IS NULL) AS BIGINT) AS kept, count(DISTINCT CASE WHEN f.drop_reason IS NULL THEN i.normalized_hash END) AS deduped,
+FROM (SELECT i.source_id, count(*) AS captured, count(*) FILTER (WHERE f.drop_reason IS NULL) AS kept, count(DISTINCT CASE WHEN f.drop_reason IS NULL THEN i.normalized_hash END) AS deduped,
   CAST({_EXP.replace('source_id', 'i.source_id')} AS INT) AS expected_count FROM b_ident i JOIN b_filtered f ON f.row_id = i.pos GROUP BY 1))""",
 )
 
@@ -328,7 +351,7 @@ def q_health(spark, sf):
     return health(spark, sf).withColumn("reasons", F.array_join("reasons", " / "))
 
 
-_C = "CAST(count_if(status = '{0}') AS BIGINT) AS {0}"
+_C = "count(*) FILTER (WHERE status = '{0}') AS {0}"
 
 
 @query("q_health_summary", sql("b_health", "SELECT count(*) AS total, " + ", ".join(_C.format(s) for s in ("ok", "degraded", "failing", "unknown")) + " FROM b_health"))
@@ -400,7 +423,7 @@ def q_coverage(spark, sf):
 k.cte(
     "b_detail", "b_raw_run",
     f"""SELECT *, CASE WHEN detail_sample > 0 THEN {k.ratio3('detail_count / detail_sample')} END AS detail_coverage FROM (SELECT source_id, run_id,
-  CAST(count_if(description_source IS NOT NULL AND {k.present('description')}) AS BIGINT) AS detail_sample, CAST(count_if(description_source = 'detail' AND {k.present('description')}) AS BIGINT) AS detail_count FROM b_raw_run GROUP BY 1, 2)""",
+  count(*) FILTER (WHERE description_source IS NOT NULL AND {k.present('description')}) AS detail_sample, count(*) FILTER (WHERE description_source = 'detail' AND {k.present('description')}) AS detail_count FROM b_raw_run GROUP BY 1, 2)""",
 )
 
 
@@ -601,6 +624,6 @@ def q_search_totals(spark, sf):
     return views.search_totals(views.search_rows(dashboard(spark, sf)).filter("enabled"))
 
 
-@query("q_readiness", sql("b_search", "SELECT CAST(count_if(readiness = 'ready') AS BIGINT) AS ready, CAST(count_if(readiness = 'not_authorized') AS BIGINT) AS action_needed, CAST(count_if(readiness = 'disabled') AS BIGINT) AS disabled FROM b_search"))
+@query("q_readiness", sql("b_search", "SELECT count(*) FILTER (WHERE readiness = 'ready') AS ready, count(*) FILTER (WHERE readiness = 'not_authorized') AS action_needed, count(*) FILTER (WHERE readiness = 'disabled') AS disabled FROM b_search"))
 def q_readiness(spark, sf):
     return views.readiness(views.search_rows(dashboard(spark, sf)))

@@ -121,8 +121,8 @@ def q_score_fallback(spark, sf):
 
 
 _MULTI = " UNION ALL ".join(
-    f"""SELECT '{n}' AS criteria_id, CAST(count_if(score >= 70) AS BIGINT) AS high_signal, CAST(count_if(score BETWEEN 40 AND 69) AS BIGINT) AS review_later,
- CAST(count_if(score < 40) AS BIGINT) AS reject, CAST(floor(sum(score) / count(*) + 0.5) AS BIGINT) AS mean_score FROM b_score_{n}"""
+    f"""SELECT '{n}' AS criteria_id, count(*) FILTER (WHERE score >= 70) AS high_signal, count(*) FILTER (WHERE score BETWEEN 40 AND 69) AS review_later,
+ count(*) FILTER (WHERE score < 40) AS reject, CAST(floor(sum(score) / count(*) + 0.5) AS BIGINT) AS mean_score FROM b_score_{n}"""
     for n in CRITERIA
 )
 
@@ -132,6 +132,27 @@ def q_score_multi(spark, sf):
     return scoring.score_many(b.b_posting(spark, sf), CRITERIA, b.ts(AS_OF))
 
 
+_SEGMENTS = ("automobile", "building", "furniture", "household", "machinery")
+for _s in _SEGMENTS:
+    k.cte(f"b_user_{_s}", "b_facts", ss.criteria(Criteria(title=_s, keywords="urgent; high", min_salary=100000), "b_facts"))
+
+
+@query(
+    "q_score_users",
+    sql(
+        " ".join(f"b_user_{s}" for s in _SEGMENTS),
+        "SELECT c_custkey AS user_id, rank, id, score FROM customer JOIN (SELECT *, CAST(row_number() OVER (PARTITION BY segment ORDER BY score DESC, id) AS INT) AS rank FROM ("
+        + " UNION ALL ".join(f"SELECT '{s}' AS segment, id, score FROM b_user_{s}" for s in _SEGMENTS)
+        + ")) r ON r.segment = lower(c_mktsegment) AND rank <= 3",
+    ),
+)
+def q_score_users(spark, sf):
+    users = b.table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("user_id"), F.lower("c_mktsegment").alias("title"), F.lit("urgent; high").alias("keywords"), F.lit(100000).alias("min_salary")
+    )
+    return scoring.score_users(b.b_posting(spark, sf), users, b.ts(AS_OF), 3, per_scan=2)
+
+
 @query(
     "q_bucket_counts",
     sql(
@@ -293,7 +314,7 @@ k.cte("b_flag", "b_flag_facts", ss.criteria(_FLAG, "b_flag_facts"))
     sql(
         "b_flag",
         f"""SELECT normalized_hash, {k.iso('posted_at')} AS posted_at, score, bucket, title, company, duplicate_count, source_ids FROM
- (SELECT normalized_hash, arg_min(struct_pack(t := title, c := company, s := score, b := bucket, p := posted_at), struct_pack(a := -score, b := -epoch_us(posted_at), c := pos)) AS r,
+ (SELECT normalized_hash, arg_min(struct_pack(t := title, c := company, s := score, b := bucket, p := posted_at), struct_pack(a := -coalesce(score, -1), b := -coalesce(epoch_us(posted_at), -4611686018427387904), c := pos)) AS r,
    count(*) AS duplicate_count, array_to_string(list_sort(list_distinct(list(source_id))), ',') AS source_ids
   FROM b_flag GROUP BY 1) , LATERAL (SELECT r.t AS title, r.c AS company, r.s AS score, r.b AS bucket, r.p AS posted_at)
 ORDER BY score DESC, posted_at DESC, normalized_hash LIMIT 50""",

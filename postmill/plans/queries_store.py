@@ -80,7 +80,7 @@ def q_upsert(spark, sf):
     )
 
 
-@query("q_upsert_counts", sql("b_merged", "SELECT CAST(count_if(change <> 'kept') AS BIGINT) AS rows_written, CAST(count_if(change = 'inserted') AS BIGINT) AS inserted, CAST(count_if(change = 'updated') AS BIGINT) AS updated FROM b_merged"))
+@query("q_upsert_counts", sql("b_merged", "SELECT count(*) FILTER (WHERE change <> 'kept') AS rows_written, count(*) FILTER (WHERE change = 'inserted') AS inserted, count(*) FILTER (WHERE change = 'updated') AS updated FROM b_merged"))
 def q_upsert_counts(spark, sf):
     return merge.upsert_counts(merge.upsert_postings(stored(spark, sf), b_incoming(spark, sf)))
 
@@ -95,7 +95,7 @@ LEFT JOIN b_posting p1 ON p1.id = i.id LEFT JOIN b_posting p2 ON p2.source_id =
 )
 
 
-@query("q_delta", sql("b_delta", "SELECT source_id, CAST(count_if(delta = 'new') AS BIGINT) AS new_count, CAST(count_if(delta = 'updated') AS BIGINT) AS updated_count, CAST(count_if(delta = 'unchanged') AS BIGINT) AS unchanged_count FROM b_delta GROUP BY 1"))
+@query("q_delta", sql("b_delta", "SELECT source_id, count(*) FILTER (WHERE delta = 'new') AS new_count, count(*) FILTER (WHERE delta = 'updated') AS updated_count, count(*) FILTER (WHERE delta = 'unchanged') AS unchanged_count FROM b_delta GROUP BY 1"))
 def q_delta(spark, sf):
     return merge.delta_counts(merge.classify_delta(stored(spark, sf), b_incoming(spark, sf)))
 
@@ -158,6 +158,16 @@ def q_mark_viewed(spark, sf):
     )
 
 
+@query(
+    "q_restore_status",
+    sql("b_status", "SELECT job_id, CASE CAST(job_id AS BIGINT) % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'skip_for_now' ELSE status END AS status, notes FROM b_status"),
+)
+def q_restore_status(spark, sf):
+    s, n = b.b_status(spark, sf), F.col("job_id").cast("bigint") % 3
+    before = s.select("job_id", F.when(n == 0, "new").when(n == 1, "skip_for_now").alias("previous_status"))
+    return merge.restore_status(s, before).select("job_id", "status", "notes")
+
+
 @query(
     "q_inherit_status",
     sql("b_posting b_status", f"""SELECT p.id AS job_id, r.status, r.notes, {k.iso('r.last_action_at')} AS last_action_at FROM b_posting p JOIN
@@ -218,7 +228,7 @@ def q_retention(spark, sf):
     return retention(spark, sf).select("id", "status", F.col("expired").cast("int").alias("expired"))
 
 
-@query("q_retention_summary", sql("b_retention", "SELECT " + ", ".join(f"CAST(count_if(expired AND status = '{s}') AS BIGINT) AS deleted_{s}" for s in ("new", "viewed", "applied", "skip_for_now", "rejected")) + ", CAST(count_if(expired) AS BIGINT) AS total_deleted, CAST(count_if(status = 'applied') AS BIGINT) AS protected_applied FROM b_retention"))
+@query("q_retention_summary", sql("b_retention", "SELECT " + ", ".join(f"count(*) FILTER (WHERE expired AND status = '{s}') AS deleted_{s}" for s in ("new", "viewed", "applied", "skip_for_now", "rejected")) + ", count(*) FILTER (WHERE expired) AS total_deleted, count(*) FILTER (WHERE status = 'applied') AS protected_applied FROM b_retention"))
 def q_retention_summary(spark, sf):
     return merge.retention_summary(retention(spark, sf))
 
@@ -314,8 +324,8 @@ def q_refresh_policy(spark, sf):
 k.cte(
     "b_state", "b_policy_probe",
     f"""SELECT source_id, max(source_type) AS source_type, max(min_interval) AS min_interval, max(daily_cap) AS daily_cap, max(CASE WHEN outcome = 'success' THEN epoch_us(at_ts) END) AS last_live,
- max(CASE WHEN outcome = 'challenge' THEN epoch_us(at_ts) + cooldown::BIGINT * 60000000 END) AS cooldown_until, CAST(count_if(epoch_us(at_ts) // {_D} = {_NOW} // {_D}) AS BIGINT) AS events_today,
- CAST(count_if(epoch_us(at_ts) // {_D} = {_NOW} // {_D} AND mode = 'manual') AS BIGINT) AS manual_today FROM b_policy_probe WHERE epoch_us(at_ts) <= {_NOW} GROUP BY 1""",
+ max(CASE WHEN outcome = 'challenge' THEN epoch_us(at_ts) + cooldown::BIGINT * 60000000 END) AS cooldown_until, count(*) FILTER (WHERE epoch_us(at_ts) // {_D} = {_NOW} // {_D}) AS events_today,
+ count(*) FILTER (WHERE epoch_us(at_ts) // {_D} = {_NOW} // {_D} AND mode = 'manual') AS manual_today FROM b_policy_probe WHERE epoch_us(at_ts) <= {_NOW} GROUP BY 1""",
 )
 
 
@@ -431,8 +441,8 @@ def q_event_counters(spark, sf):
 @query(
     "q_quota",
     sql("b_event", """SELECT distinct_id, plan, v AS views_today, s AS searches_month, CASE WHEN plan = 'free' THEN greatest(0, 10 - v) END AS views_remaining, CASE WHEN plan = 'free' THEN greatest(0, 30 - s) END AS searches_remaining
-FROM (SELECT distinct_id, CASE WHEN CAST(distinct_id AS INT) % 3 = 0 THEN 'pro' ELSE 'free' END AS plan, CAST(count_if(event = 'view' AND CAST(occurred_at AS DATE) = DATE '2024-01-30') AS BIGINT) AS v,
-  CAST(count_if(event = 'click' AND date_trunc('month', occurred_at) = TIMESTAMP '2024-01-01') AS BIGINT) AS s FROM b_event GROUP BY 1)"""),
+FROM (SELECT distinct_id, CASE WHEN CAST(distinct_id AS INT) % 3 = 0 THEN 'pro' ELSE 'free' END AS plan, count(*) FILTER (WHERE event = 'view' AND CAST(occurred_at AS DATE) = DATE '2024-01-30') AS v,
+  count(*) FILTER (WHERE event = 'click' AND date_trunc('month', occurred_at) = TIMESTAMP '2024-01-01') AS s FROM b_event GROUP BY 1)"""),
 )
 def q_quota(spark, sf):
     e = b.b_event(spark, sf)

@@ -91,6 +91,22 @@ def q_top_jobs(spark, sf):
     )
 
 
+@query(
+    "q_recent_jobs",
+    sql("b_all", f"SELECT id, status, {k.iso('coalesce(b_all.posted_at, created_at)')} AS listed_at FROM b_all ORDER BY coalesce(b_all.posted_at, created_at) DESC, created_at DESC, id LIMIT 200"),
+)
+def q_recent_jobs(spark, sf):
+    return views.recent_jobs(b_all(spark, sf), 200).select("id", "status", iso(F.coalesce("posted_at", "created_at")).alias("listed_at"))
+
+
+@query(
+    "q_recent_actions",
+    sql("b_all", f"SELECT id, status, {k.iso('coalesce(last_action_at, created_at)')} AS acted_at FROM b_all ORDER BY coalesce(last_action_at, created_at) DESC, id LIMIT 100"),
+)
+def q_recent_actions(spark, sf):
+    return views.recent_actions(b_all(spark, sf), 100).select("id", "status", iso(F.coalesce("last_action_at", "created_at")).alias("acted_at"))
+
+
 @query(
     "q_group",
     sql(
@@ -210,7 +226,7 @@ def q_last_seen(spark, sf):
     return seen.withColumn("last_seen_at", iso(F.col("last_seen_at")))
 
 
-_CI = "CAST(count_if({}) AS BIGINT)"
+_CI = "count(*) FILTER (WHERE {})"
 k.cte(
     "b_rollup", "b_pairs",
     f"""SELECT source_id, count(*) AS total_count, {_CI.format("status IN ('new', 'viewed')")} AS active_count, {_CI.format("status = 'applied'")} AS applied_count,
@@ -265,7 +281,7 @@ _AGE = k.days("posted_at", AS_OF)
 @query(
     "q_facet_posted",
     sql("b_group", " UNION ALL ".join(
-        f"SELECT '{w}' AS \"window\", CAST(count_if({'true' if d is None else f'coalesce({_AGE} <= {d}, false)'}) AS BIGINT) AS n FROM b_group"
+        f"SELECT '{w}' AS \"window\", count(*) FILTER (WHERE {'true' if d is None else f'coalesce({_AGE} <= {d}, false)'}) AS n FROM b_group"
         for w, d in [("all", None), ("24h", 1), ("3d", 3), ("1w", 7), ("2w", 14), ("1m", 30)])),
 )
 def q_facet_posted(spark, sf):
@@ -283,7 +299,7 @@ _TERMS = ["urgent", "NATION_1", "title matched", "customer#0000000", "salary bel
 @query(
     "q_keyword_hits",
     sql("b_group", " UNION ALL ".join(
-        f"SELECT {k.q(t.lower())} AS term, CAST(count_if(contains(haystack, {k.q(t.lower())})) AS BIGINT) AS n FROM b_group" for t in _TERMS)),
+        f"SELECT {k.q(t.lower())} AS term, count(*) FILTER (WHERE contains(haystack, {k.q(t.lower())})) AS n FROM b_group" for t in _TERMS)),
 )
 def q_keyword_hits(spark, sf):
     return views.keyword_hits(b_group(spark, sf), _TERMS)
@@ -327,7 +343,7 @@ _V = "SELECT salary_value AS v FROM b_group WHERE salary_value > 0"
 k.cte(
     "b_pay_summary", "b_group",
     f"""SELECT min(v) AS "min", avg, max(v) AS "max", max(CASE WHEN rn = CAST(floor((n - 1) * 0.75) AS BIGINT) + 1 THEN v END) AS p75,
-  CAST(count_if(v > avg) AS BIGINT) AS above_avg, CAST(count_if(v <= avg) AS BIGINT) AS min_to_avg, count(*) AS with_salary, CAST(count_if(v >= band) AS BIGINT) AS top_band
+  count(*) FILTER (WHERE v > avg) AS above_avg, count(*) FILTER (WHERE v <= avg) AS min_to_avg, count(*) AS with_salary, count(*) FILTER (WHERE v >= band) AS top_band
 FROM (SELECT *, max(CASE WHEN rn = n - greatest(1, CAST(ceil(n * 0.25) AS BIGINT)) + 1 THEN v END) OVER () AS band
  FROM (SELECT v, row_number() OVER (ORDER BY v) AS rn, count(*) OVER () AS n, sum(v) OVER () / count(*) OVER () AS avg FROM ({_V}))) GROUP BY avg""",
 )
@@ -366,8 +382,8 @@ def q_score_hist(spark, sf):
 
 @query(
     "q_range_counts",
-    sql("b_group", """SELECT CAST(count_if(salary_value > 0 AND salary_value BETWEEN 100000 AND 200000) AS BIGINT) AS in_salary_range, CAST(count_if(score BETWEEN 25 AND 60) AS BIGINT) AS in_score_range,
- CAST(count_if(salary_value > 0) AS BIGINT) AS with_salary, CAST(count_if(salary_value <= 0) AS BIGINT) AS missing_salary, sum(score)::DOUBLE / count(score) AS mean_score FROM b_group"""),
+    sql("b_group", """SELECT count(*) FILTER (WHERE salary_value > 0 AND salary_value BETWEEN 100000 AND 200000) AS in_salary_range, count(*) FILTER (WHERE score BETWEEN 25 AND 60) AS in_score_range,
+ count(*) FILTER (WHERE salary_value > 0) AS with_salary, count(*) FILTER (WHERE salary_value <= 0) AS missing_salary, sum(score)::DOUBLE / count(score) AS mean_score FROM b_group"""),
 )
 def q_range_counts(spark, sf):
     return views.range_counts(b_group(spark, sf), (100000, 200000), (25, 60))

@@ -115,7 +115,7 @@ FROM orders WHERE o_orderkey % 7 < 4""",
     "b_doc": (
         (),
         """SELECT d.doc_id, source AS source_id, lang AS location,
-  substring(regexp_extract(text, '^([^\\n]*)', 1), 1, 60) AS title, 'Company ' || lang AS company,
+  regexp_extract(text, '^([^\\n]*)', 1) AS title, 'Company ' || lang AS company,
   text AS description,
   CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'applied' END AS status
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",

@@ -25,11 +25,11 @@ def _snake(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({a: b for a, b in RENAMES.items() if a in df.columns})
 
 
-def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """One row per capture file; broken files keep their name and a flag."""
+def read_captures(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per capture: a file each, or with ``lines`` a line each; broken ones keep a flag."""
     df = (
         spark.read.schema(CAPTURE_DDL)
-        .option("multiLine", True)
+        .option("multiLine", not lines)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt")
         .json(path)
@@ -90,22 +90,67 @@ def read_posting_array(spark: SparkSession, path: str) -> DataFrame:
 def collect_sources(frames: list[DataFrame], sources: DataFrame, rules: DataFrame) -> DataFrame:
     """Union the per-type readers, keep configured sources, apply the hard filter.
 
-    A source type nobody can read is an error, raised while the rows are processed.
+    Rows of a source type nobody can read are left to ``unsupported``, so that the caller fails that
+    source and no other.
     """
-    everything = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    known = _union(frames).filter(F.col("source_type").isin(SOURCE_TYPES))
+    mine = known.join(sources.select("source_id"), "source_id", "left_semi")
+    return passing(mine, rules)
+
+
+def unsupported(frames: list[DataFrame]) -> DataFrame:
+    """Sources with rows of a type nobody can read: source_id, source_type, rows, error."""
     t = F.col("source_type")
-    checked = everything.withColumn(
-        "source_type",
-        F.when(t.isin(SOURCE_TYPES), t).otherwise(
-            F.raise_error(F.concat(F.lit("unsupported source type: "), F.coalesce(t, F.lit("null"))))
-        ),
+    odd = _union(frames).filter(~F.coalesce(t.isin(SOURCE_TYPES), F.lit(False)))
+    return odd.groupBy("source_id", "source_type").agg(F.count(F.lit(1)).alias("rows")).withColumn(
+        "error", F.concat(F.lit("unsupported source type: "), F.coalesce(t, F.lit("null")))
     )
-    mine = checked.join(sources.select("source_id"), "source_id", "left_semi")
-    return passing(mine, rules)
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 # ---- writers ------------------------------------------------------------------------------
 
+# Column -> capture field, for the rows of a payload.
+FIELDS = {
+    "external_id": "externalId", "title": "title", "company": "company", "location": "location", "posted_at": "postedAt",
+    "employment_type": "employmentType", "easy_apply": "easyApply", "salary_text": "salaryText", "summary": "summary",
+    "description": "description", "url": "url",
+}
+
+
+def capture_payloads(rows: DataFrame, heads: DataFrame, pos: str = "pos") -> DataFrame:
+    """Captures as they are recorded: one row per (source_id, captured_at), payload head and rows in order.
+
+    ``heads`` has source_id, captured_at, page_url and expected_count; a capture without rows keeps an empty list. A
+    capture is one recorded screen or feed page, so its list is small.
+    """
+    keys = ["source_id", "captured_at"]
+    job = F.struct(*[F.col(c).alias(f) for c, f in FIELDS.items() if c in rows.columns])
+    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), job.alias("j")))).alias("l"))
+    jobs = F.transform("l", lambda x: x["j"])
+    n = F.coalesce(F.size("l"), F.lit(0))
+    joined = heads.join(listed, keys, "left")
+    return joined.select(
+        F.col("source_id").alias("sourceId"),
+        F.date_format("captured_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("capturedAt"),
+        F.col("page_url").alias("pageUrl"),
+        F.col("expected_count").cast("string").alias("expectedCount"),
+        F.struct(
+            F.when(F.col("expected_count") > 0, half_up(F.col("expected_count")).cast("string")).alias("availableCount"),
+            n.cast("string").alias("capturedRawCount"),
+        ).alias("captureFunnel"),
+        F.coalesce(jobs, F.array().cast(listed.select(jobs.alias("x")).schema["x"].dataType)).alias("jobs"),
+    )
+
+
+def write_payloads(payloads: DataFrame, path: str) -> None:
+    """Captures as JSON lines; ``read_captures(path, lines=True)`` reads them back."""
+    payloads.write.mode("append").option("ignoreNullFields", "true").json(path)
+
+
 def write_captures(rows: DataFrame, path: str) -> None:
     """Rows of many captures, partitioned by source; no capture passes through one task."""
     rows.write.mode("append").partitionBy("source_id").json(path)
@@ -220,7 +265,7 @@ def snapshot_blocks(files: DataFrame) -> DataFrame:
         F.max("label").alias("summary"),
         F.min_by(inline, F.when(inline.rlike(PAY_PATTERN), F.col("pos"))).alias("salary_text"),
         F.min_by(
-            F.trim(F.substring(inline, 11, 200)), F.when(inline.startswith("Posted on "), F.col("pos"))
+            F.trim(F.substring(inline, F.lit(11), F.length(inline))), F.when(inline.startswith("Posted on "), F.col("pos"))
         ).alias("posted_at"),
         F.coalesce(F.bool_or(inline == "Easy Apply"), F.lit(False)).alias("easy_apply"),
     )

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from postmill.operators import merge, quality
-from postmill.operators.identity import normalize_postings
+from postmill.operators import quality
+from postmill.operators.run import refresh
+from postmill.operators.skew import first_per_key, top_n_per_key
 from postmill.operators.throttle import DAY, MINUTE, with_policy
 from postmill.params import Thresholds
 
@@ -93,44 +95,36 @@ def throttle_stream(events: DataFrame, profile: str = "safe") -> DataFrame:
 
 # ---- ingest ---------------------------------------------------------------------------------------
 
-STORE = ["source_type", "source_id", "source_url", "external_id", "title", "company", "location",
-         "posted_at", "employment_type", "easy_apply", "salary_text", "description",
-         "normalized_hash", "metadata_quality_score", "missing_required_fields", "created_at",
-         "updated_at"]
-
-
-def ingest(
-    base: DataFrame | None, raw: DataFrame, as_of: Column, thresholds: Thresholds | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """One batch of captures: gate, normalise, delta, merge -> (snapshot, delta counts).
-
-    ``raw`` has source_id, source_type, run_id, pos and the raw columns.
-    """
-    keys = ["source_id", "run_id"]
-    outcome = quality.run_outcome(quality.capture_metrics(raw, keys), thresholds)
-    passed = quality.ingest_gate(raw, outcome, keys)
-    normal = quality.gate_sources(normalize_postings(passed, as_of), "drop")
-    incoming = normal.select("id", "pos", *STORE)
-    if base is None:
-        base = incoming.drop("pos").limit(0)
-    counts = merge.delta_counts(merge.classify_delta(base, incoming))
-    return merge.upsert_postings(base, incoming).drop("change"), counts
+def _committed(spark, log: str) -> DataFrame:
+    """Versions of the store that are whole: checkpoint, number, version."""
+    empty = spark.createDataFrame([], "checkpoint string, number bigint, version bigint")
+    try:
+        return spark.read.schema(empty.schema).parquet(f"{log}/versions")
+    except AnalysisException:  # nothing written so far
+        return empty
 
 
 def ingest_batches(
-    spark, stream: DataFrame, store: str, log: str, as_of: Column, checkpoint: str,
-    thresholds: Thresholds | None = None,
+    spark, stream: DataFrame, store: str, log: str, applications: DataFrame, as_of: Column, checkpoint: str,
+    thresholds: Thresholds | None = None, on_bad_record: str = "reject_source",
 ):
-    """Run ``ingest`` for each micro-batch; snapshot ``v`` depends only on ``v - 1``.
+    """Run ``refresh`` for each micro-batch of captured rows; every batch makes one version of the store.
 
-    A replayed batch overwrites its own snapshot and its own part of the log, so it changes
-    nothing.
+    A version is committed by a row that is written last. A batch that is replayed finds its own number and
+    makes the same version again from the same base; a new checkpoint goes on from the latest version. A run is judged
+    on the rows of one batch, so a capture (one row with its array in the stream of captures) is the unit to send.
     """
     def step(batch: DataFrame, number: int) -> None:
-        before = spark.read.parquet(f"{store}/v={number - 1}") if number else None
-        snapshot, counts = ingest(before, batch, as_of, thresholds)
-        snapshot.write.mode("overwrite").parquet(f"{store}/v={number}")
-        counts.write.mode("overwrite").parquet(f"{log}/batch={number}")
+        known = {(r["checkpoint"], r["number"]): r["version"] for r in _committed(spark, log).collect()}
+        version = known.get((checkpoint, number), max(known.values(), default=-1) + 1)
+        base = spark.read.parquet(f"{store}/v={version - 1}") if version else None
+        done = refresh(base, applications, batch, as_of, thresholds=thresholds, on_bad_record=on_bad_record)
+        done.postings.write.mode("overwrite").parquet(f"{store}/v={version}")
+        done.log.write.mode("overwrite").parquet(f"{log}/runs/v={version}")
+        done.deleted.write.mode("overwrite").parquet(f"{log}/deleted/v={version}")
+        if (checkpoint, number) not in known:
+            row = spark.createDataFrame([(checkpoint, number, version)], "checkpoint string, number bigint, version bigint")
+            row.coalesce(1).write.mode("append").parquet(f"{log}/versions")
 
     return (
         stream.writeStream.foreachBatch(step)
@@ -141,13 +135,21 @@ def ingest_batches(
 
 
 def health_batches(
-    spark, runs: DataFrame, sources: DataFrame, history: str, report: str, as_of: Column, checkpoint: str
+    spark, runs: DataFrame, sources: DataFrame, history: str, report: str, as_of: Column, checkpoint: str, keep: int = 80
 ):
-    """Append each micro-batch of run outcomes to the history and rate all sources again."""
+    """Rate all sources after each micro-batch of run outcomes.
+
+    The history is one table of the newest ``keep`` runs per source; a run that is recorded again replaces
+    the earlier record. Each batch writes the next state of the history from the one before.
+    """
     def step(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{history}/batch={number}")
-        known = spark.read.parquet(*[f"{history}/batch={i}" for i in range(number + 1)])
-        rated = quality.source_health(known, sources, as_of)
+        fresh = batch.withColumn("_batch", F.lit(number))
+        if number:
+            fresh = fresh.unionByName(spark.read.parquet(f"{history}/batch={number - 1}").withColumn("_batch", F.lit(number - 1)))
+        latest = first_per_key(fresh, ["source_id", "run_id"], -F.col("_batch")).drop("_batch")
+        known = top_n_per_key(latest, ["source_id"], [F.col("captured_at").desc(), F.col("run_id")], keep).select(*batch.columns)
+        known.write.mode("overwrite").parquet(f"{history}/batch={number}")
+        rated = quality.source_health(spark.read.parquet(f"{history}/batch={number}"), sources, as_of)
         rated.write.mode("overwrite").parquet(f"{report}/batch={number}")
 
     return (

@@ -145,13 +145,11 @@ def test_capture_files(spark, tmp_path):
     assert (head.job_count, head.available_count, head.imported_count) == (2, 8, None)
 
 
-def test_unknown_source_type_is_an_error(rows):
-    import pytest
-
-    df = rows([{"source_id": "s", "source_type": "mystery", "title": "t", "company": "c", "description": "d"}], "source_id string, source_type string, title string, company string, description string")
+def test_unknown_source_type_fails_that_source_only(rows):
+    df = rows([{"source_id": "s", "source_type": "mystery", "title": "t", "company": "c", "description": "d"}, {"source_id": "k", "source_type": "google_search", "title": "t", "company": "c", "description": "d"}], "source_id string, source_type string, title string, company string, description string")
     rule = rows([], "source_id string, required array<string>, required_any array<string>, exclude_any array<string>, fields array<string>, enforce boolean")
-    with pytest.raises(Exception, match="unsupported source type: mystery"):
-        capture.collect_sources([df], df.select("source_id"), rule).collect()
+    assert [r["source_id"] for r in capture.collect_sources([df], df.select("source_id"), rule).collect()] == ["k"]
+    assert [tuple(r) for r in capture.unsupported([df]).collect()] == [("s", "mystery", 1, "unsupported source type: mystery")]
 
 
 def test_writers(spark, tmp_path):
@@ -160,3 +158,19 @@ def test_writers(spark, tmp_path):
     capture.write_log(df, str(tmp_path / "l"))
     capture.write_log(df, str(tmp_path / "l"))
     assert spark.read.json(str(tmp_path / "c")).count() == 2 and spark.read.json(str(tmp_path / "l")).count() == 4
+
+
+def test_inference_marks_survive_enrichment(rows):
+    from postmill.operators import extract
+
+    src = rows([{"source_id": "s", "search_url": "https://www.google.com/search?q=x&tbs=qdr:w"}], "source_id string, search_url string")
+    cards = rows(
+        [{"source_id": "s", "source_type": "google_search", "pos": 1, "url": "https://x.com/j/1", "provenance": {"location": "card", "other": "kept"}}],
+        "source_id string, source_type string, pos int, url string, location string, salary_text string, posted_at string, employment_type string, description string, provenance map<string,string>",
+    )
+    inferred = extract.infer_from_search(cards, src).drop("inferred", "search_url")
+    assert inferred.first()["provenance"] == {"location": "card", "other": "kept", "posted_at": "inferred_search_filter"}
+    detail = rows([{"url": "https://x.com/j/1", "salary_text": "$5", "posted_at": "today"}], "url string, posted_at string, salary_text string, employment_type string, location string, description string")
+    got = extract.enrich(inferred, detail).first()
+    assert got["provenance"]["posted_at"] == "inferred_search_filter" and got["posted_at"].startswith("within 7")
+    assert got["provenance"]["salary_text"] == "detail" and got["provenance"]["location"] == "card"

@@ -134,3 +134,24 @@ def test_html(spark):
         "posted_at": "3 days ago", "salary_text": "$100k - $120k per year", "employment_type": "Full-time",
         "location": "New York, NY",
     }
+
+
+def test_hostile_entities_stay_or_decode(spark):
+    from postmill.functions import html as h
+
+    texts = {
+        "&#99999999999999999999999;": "&#99999999999999999999999;", "&#18446744073709551615;": "&#18446744073709551615;", "&#xFFFFFFFFFFFFFFFFFF;": "&#xFFFFFFFFFFFFFFFFFF;",
+        "&#55357;&#56832;": "\U0001F600", "&#xD83D;&#xDE00; &#0065;": "\U0001F600 A", "&#1114112;": "&#1114112;",
+    }
+    df = spark.createDataFrame([(k,) for k in texts], "x string")
+    assert [r[0] for r in df.select(h.decode_entities(F.col("x"))).collect()] == list(texts.values())
+
+
+def test_hostile_relative_dates(spark):
+    from postmill.functions import dates
+
+    texts = ["9999999 years ago", "300000 years ago", "500000000 weeks ago", "99999999999999999999 days ago", "3 days ago"]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    out = dates.with_posted(df, F.col("x"), F.lit("2001-11-05 00:00:00").cast("timestamp"), "ts", "days").collect()
+    assert [r["ts"] is None for r in out] == [True] * 4 + [False]
+    assert [r["days"] for r in out] == [9999999 * 365, 300000 * 365, 3500000000, None, 3]

@@ -3,11 +3,13 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from postmill.operators import quality, throttle
+from postmill.operators.run import refresh
 from postmill.plans import bindings as b
 from postmill.plans import queries_quality as qq
 from postmill.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
+STATUS = "job_id string, status string, notes string, last_action_at timestamp, submitted_at timestamp"
 
 
 def parts(df, path, order, n=3):
@@ -61,19 +63,39 @@ def test_ingest_equals_batch(spark, tmp_path):
     raw = qq.raw_runs(spark, SF).filter("source_id in ('src0', 'src4')").drop("captured_at", "description_source")
     # Ids then follow from URLs, so the batch has no chains of id and URL conflicts.
     raw = raw.withColumn("external_id", F.lit(None).cast("string"))
-    as_of = b.ts(b.AS_OF_RAW)
+    as_of, none = b.ts(b.AS_OF_RAW), spark.createDataFrame([], STATUS)
     # Cut between weekly runs: a run that is split would be judged twice.
     week = F.unix_micros(F.date_trunc("week", "seen_at")).cast("double")
-    parts(raw.withColumn("_o", week), str(tmp_path / "in"), "_o", 2)
+    dated = raw.withColumn("_o", week)
+    parts(dated, str(tmp_path / "in"), "_o", 2)
     s = jobs.file_stream(spark, str(tmp_path / "in"), raw.schema)
     store, log = str(tmp_path / "store"), str(tmp_path / "log")
-    jobs.ingest_batches(spark, s, store, log, as_of, str(tmp_path / "ck")).awaitTermination()
+    run = lambda ck: jobs.ingest_batches(spark, s, store, log, none, as_of, str(tmp_path / ck), on_bad_record="drop").awaitTermination()
+    run("ck")
+    cut = dated.approxQuantile("_o", [0.5], 0.0)[0]
+    want = None
+    for part in (dated.filter(F.col("_o") <= cut), dated.filter(F.col("_o") > cut)):
+        want = refresh(want and want.postings, none, part.drop("_o"), as_of, on_bad_record="drop")
+    cols = ["id", "title", "salary_text", "normalized_hash", "posted_at", "source_url", "structured_meta"]
     last = spark.read.parquet(f"{store}/v=1")
-    whole, counts = jobs.ingest(None, raw, as_of)
-    cols = ["id", "title", "salary_text", "normalized_hash", "posted_at", "source_url"]
-    assert sorted(map(str, last.select(*cols).collect())) == sorted(map(str, whole.select(*cols).collect()))
-    logged = spark.read.parquet(f"{log}/batch=0").agg(F.sum("new_count")).first()[0]
-    assert logged >= spark.read.parquet(f"{store}/v=0").count() and counts.count() == 2
+    assert last.count() and sorted(map(str, last.select(*cols).collect())) == sorted(map(str, want.postings.select(*cols).collect()))
+    # A new checkpoint reads everything again and goes on from the latest version.
+    run("other")
+    versions = sorted((r["number"], r["version"]) for r in spark.read.parquet(f"{log}/versions").collect())
+    assert versions == [(0, 0), (0, 2), (1, 1), (1, 3)]
+    assert spark.read.parquet(f"{log}/runs/v=3").agg(F.sum("new_count")).first()[0] == 0 or spark.read.parquet(f"{store}/v=3").count() == last.count()
+
+
+def test_a_run_recorded_again_replaces_the_earlier_record(spark, tmp_path):
+    runs = qq.outcomes(spark, SF).select("source_id", "run_id", "captured_at", "sample_size", "baseline_ratio", "outcome", "cov_title", "cov_company", "cov_url",
+                                         *[f"unk_{f}" for f in quality.OPTIONAL])
+    one = runs.filter("source_id = 'src0'").orderBy("run_id").limit(6)
+    one.coalesce(1).write.parquet(str(tmp_path / "in/a"))
+    one.withColumn("sample_size", F.lit(77).cast(dict(one.dtypes)["sample_size"])).coalesce(1).write.parquet(str(tmp_path / "in/b"))
+    s = jobs.file_stream(spark, str(tmp_path / "in/*"), runs.schema)
+    jobs.health_batches(spark, s, b.b_source(spark), str(tmp_path / "h"), str(tmp_path / "r"), b.ts(qq.NOW), str(tmp_path / "ck"), keep=4).awaitTermination()
+    kept = spark.read.parquet(str(tmp_path / "h/batch=1")).collect()
+    assert len(kept) == 4 and {r["sample_size"] for r in kept} == {77}
 
 
 def test_health_over_batches(spark, tmp_path):
