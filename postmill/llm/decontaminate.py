@@ -82,23 +82,23 @@ def _sql() -> str:
     span = len(MASKS[0])
     leads = ", ".join(f"lead(w, {o}) OVER p AS w{o}" for o in range(span))
     hits = "\nUNION\n".join(
-        f"SELECT d.doc_id, i.item_id, d.at - i.at AS shift FROM dl d JOIN il i ON d.w{span - 1} IS NOT NULL AND i.w{span - 1} IS NOT NULL AND "
+        f"SELECT d.doc_id, i.item_id, d.pos - i.pos AS shift FROM dl d JOIN il i ON d.w{span - 1} IS NOT NULL AND i.w{span - 1} IS NOT NULL AND "
         + " AND ".join(f"d.w{o} = i.w{o}" for o, bit in enumerate(m) if bit == "1")
         for m in MASKS
     )
     return rf"""
 WITH da AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS ws FROM documents),
 ia AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS ws FROM benchmark),
-dw AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS at FROM da),
-iw AS (SELECT item_id, len(ws) AS n, unnest(ws) AS w, unnest(range(len(ws))) AS at FROM ia),
-dl AS (SELECT doc_id, at, {leads} FROM dw WINDOW p AS (PARTITION BY doc_id ORDER BY at)),
-il AS (SELECT item_id, at, {leads} FROM iw WINDOW p AS (PARTITION BY item_id ORDER BY at)),
+dw AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM da),
+iw AS (SELECT item_id, len(ws) AS n, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM ia),
+dl AS (SELECT doc_id, pos, {leads} FROM dw WINDOW p AS (PARTITION BY doc_id ORDER BY pos)),
+il AS (SELECT item_id, pos, {leads} FROM iw WINDOW p AS (PARTITION BY item_id ORDER BY pos)),
 hits AS ({hits}),
-laid AS (SELECT h.doc_id, h.item_id, h.shift, i.at, i.n, (d.w IS NOT NULL)::INT AS same
-  FROM hits h JOIN iw i USING (item_id) LEFT JOIN dw d ON d.doc_id = h.doc_id AND d.at = i.at + h.shift AND d.w = i.w),
-run AS (SELECT doc_id, item_id, at, least(n, {STRETCH}) AS len, n,
-  sum(same) OVER (PARTITION BY doc_id, item_id, shift ORDER BY at ROWS BETWEEN {STRETCH - 1} PRECEDING AND CURRENT ROW) AS same FROM laid),
-found AS (SELECT DISTINCT doc_id, item_id FROM run WHERE at + 1 >= len AND 100 * same >= {SIMILAR} * len),
+laid AS (SELECT h.doc_id, h.item_id, h.shift, i.pos, i.n, (d.w IS NOT NULL)::INT AS same
+  FROM hits h JOIN iw i USING (item_id) LEFT JOIN dw d ON d.doc_id = h.doc_id AND d.pos = i.pos + h.shift AND d.w = i.w),
+run AS (SELECT doc_id, item_id, pos, least(n, {STRETCH}) AS len, n,
+  sum(same) OVER (PARTITION BY doc_id, item_id, shift ORDER BY pos ROWS BETWEEN {STRETCH - 1} PRECEDING AND CURRENT ROW) AS same FROM laid),
+found AS (SELECT DISTINCT doc_id, item_id FROM run WHERE pos + 1 >= len AND 100 * same >= {SIMILAR} * len),
 per AS (SELECT doc_id, list_sort(list(item_id)) AS items FROM found GROUP BY doc_id)
 SELECT doc_id, per.items IS NOT NULL AS contaminated, coalesce(len(per.items), 0)::BIGINT AS n_items, coalesce(array_to_string(per.items, ','), '') AS items
 FROM documents LEFT JOIN per USING (doc_id)

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.components import connected_components
+from postmill.llm.components import connected_components, forest
 from postmill.operators.settle import settle
 
 REACH = 3.0  # standard deviations; a pair is missed only if both of its sides reach farther
@@ -72,24 +72,6 @@ def place(x: np.ndarray, centres: np.ndarray | None, reach: float) -> tuple[np.n
     return home, dots.max(1, keepdims=True) - dots <= reach * apart[home] + 1e-12
 
 
-def forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Edges (id, smallest id of its component) of the bipartite links of a block."""
-    rows, cols = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
-    if not len(rows):
-        return []
-    m, a, b = linked[np.ix_(rows, cols)], left[rows].copy(), right[cols].copy()
-    top = np.iinfo(np.int64).max
-    while True:
-        a2 = np.minimum(a, np.where(m, b[None, :], top).min(1))
-        b2 = np.minimum(b, np.where(m, a2[:, None], top).min(0))
-        if (a2 == a).all() and (b2 == b).all():
-            break
-        a, b = a2, b2
-    ids, roots = np.r_[left[rows], right[cols]], np.r_[a, b]
-    keep = ids != roots
-    return list(set(zip(ids[keep].tolist(), roots[keep].tolist())))
-
-
 def near_vectors(vectors: DataFrame, cosine: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding", block: int = BLOCK) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
@@ -168,3 +150,13 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, vec_id: str = "vec_id
         "vec_id", F.coalesce("_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"),
         F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"),
     )
+
+
+SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r(id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.id WHERE r.c < e.y),
+m AS (SELECT id, min(c) AS c FROM r GROUP BY 1), k AS (SELECT x, count(*) AS n FROM e GROUP BY 1)
+SELECT t.vec_id, coalesce(k.n, 0)::BIGINT AS n_links, m.c AS component_id, t.vec_id = m.c AS kept FROM embeddings t JOIN m ON m.id = t.vec_id LEFT JOIN k ON k.x = t.vec_id
+"""

@@ -3,30 +3,30 @@
 One hash of each shingle serves all bins: its range names the bin, and a bin keeps its least value. An
 empty bin takes the value of a bin that a universal hash of (bin, attempt) points to, trying on until one
 is filled, which keeps the chance of agreement at the Jaccard similarity. Texts that share all bins of a
-band meet in a bucket. There, members are compared with centres instead of with each other: in a first round
-with the smallest id, then, only where the members left are of several components, with 16 times as many
-further centres a round, until every pair of a bucket is in one component or has been compared. Links are confirmed
-on the full sets.
+band meet in a bucket. There, members are compared with the smallest id instead of with each other. Members left over, of
+buckets that still hold several components, form families by their stars; a family is compared in square blocks, out of which
+come a few edges, never pairs. So no pair of a bucket is left out, and links are always confirmed on the full sets.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.components import connected_components
+from postmill.llm.components import connected_components, forest
 from postmill.llm.shingles import mix, shingle_sets
 from postmill.operators.settle import settle
 
 ROWS = 5  # bins per band
 MISS = 1e-6  # chance that a pair at the threshold meets in no band
 ATTEMPTS = 1024
-GROWTH = 16  # times as many centres in each further round
+BLOCK = 256  # sets on each side of a block
+STRIP = 4096  # shingles of a block multiplied at once
 
 
 def bands_for(percent: int) -> int:
@@ -82,12 +82,16 @@ def set_function(width: int):
     return hashed
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """Full sets (id, hashes) of some documents, written once; repeated rows of an id count once."""
+    texts = docs.join(ids.select("id").distinct().hint("merge"), F.col("doc_id") == F.col("id"), "left_semi")
+    sets = texts.select(F.col("doc_id").alias("id"), set_function(width)(F.col("text")).alias("hashes"))
+    # Different texts under one id stay apart.
+    return settle(sets.withColumn("_set", F.xxhash64("hashes")).dropDuplicates(["id", "_set"]).drop("_set"), "sets")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b) those whose full sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = docs.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), set_function(width)(F.col("text")).alias("hashes"))
-    # Repeated rows of an id count once; different texts under one id stay apart.
-    sets = settle(sets.withColumn("_set", F.xxhash64("hashes")).dropDuplicates(["id", "_set"]).drop("_set"), "sets")
     left, right = sets.select(F.col("id").alias("a"), F.col("hashes").alias("_a")), sets.select(F.col("id").alias("b"), F.col("hashes").alias("_b"))
     both = F.size(F.array_intersect("_a", "_b"))
     return (
@@ -96,41 +100,64 @@ def _confirm(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> Dat
     )
 
 
+def compare_block(kind, percent: int):
+    """Function of the sets in one block: edges (a, b) of a spanning forest of the similar pairs.
+
+    Intersections of all pairs are one product of indicator matrices over the shingles that occur twice, a strip
+    of them at a time.
+    """
+    def compare(key: tuple, t: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        own, ids, n = t.column("own").to_numpy(), t.column("id").to_pylist(), t.column("n").to_numpy()
+        lists = t.column("hashes").combine_chunks()
+        row = np.repeat(np.arange(len(ids)), pc.list_value_length(lists).to_numpy())
+        _, token, count = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        twice = count[token] > 1
+        row, token = row[twice], np.unique(token[twice], return_inverse=True)[1]
+        a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        both = np.zeros((len(a), len(b)), np.float32)
+        order = np.argsort(token, kind="stable")
+        row, token = row[order], token[order]
+        for start in range(0, int(token[-1]) + 1 if len(token) else 0, STRIP):
+            lo, hi = np.searchsorted(token, [start, start + STRIP])
+            seen = np.zeros((len(ids), STRIP), np.float32)
+            seen[row[lo:hi], token[lo:hi] - start] = 1
+            both += seen[a] @ seen[b].T
+        linked = (100 * both >= percent * (n[a][:, None] + n[b][None, :] - both)) & (both > 0) & (a[:, None] != b[None, :])
+        edges = forest(linked, a, b)
+        return pa.table({"a": pa.array([ids[x] for x, _ in edges], kind), "b": pa.array([ids[y] for _, y in edges], kind)})
+
+    return compare
+
+
 def links(reps: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
     """Components (id, component) of distinct sets: ``reps`` has id, n and bands."""
     members = reps.select("id", "n", F.explode("bands").alias("bucket"))
-    size = members.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1").drop("k")
-    open_ = settle(members.join(size, "bucket"), "buckets").withColumn("component", F.col("id"))
-    compared: list[DataFrame] = []
-    confirmed: list[DataFrame] = []
-    found, centres = None, 1
-    while True:
-        # Centres: the smallest id in each of so many parts of the bucket.
-        part = F.pmod(F.xxhash64("id"), F.lit(centres)) if centres > 1 else F.lit(0).cast("bigint")
-        chosen = open_.groupBy("bucket", part.alias("part")).agg(F.min_by(F.struct("id", "n", "component"), "id").alias("c"))
-        chosen = settle(chosen.select("bucket", F.col("c.id").alias("b"), F.col("c.n").alias("m"), F.col("c.component").alias("of")), "centres")
-        pairs = (
-            open_.join(chosen, "bucket").filter((F.col("id") != F.col("b")) & (F.col("component") != F.col("of")))
-            .filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-            .select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-        )
-        for seen in compared:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = settle(pairs, "pairs")
-        if not pairs.isEmpty():
-            compared.append(pairs)
-            confirmed.append(settle(_confirm(pairs, docs, percent, width), "links"))
-            found = settle(connected_components(reduce(DataFrame.unionByName, confirmed)), "components")
-        # A centre has met its whole bucket. Left are members that were none, where they are of several components.
-        rows = open_.join(chosen.select("bucket", F.col("b").alias("id")), ["bucket", "id"], "left_anti")
-        if found is not None:
-            rows = rows.drop("component").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        rows = settle(rows.select("id", "n", "bucket", "component"), "buckets")
-        several = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
-        open_ = settle(rows.join(several.select("bucket"), "bucket"), "buckets")
-        if open_.isEmpty():
-            return found
-        centres *= GROWTH
+    size = members.groupBy("bucket").agg(F.count("*").alias("k"), F.min_by(F.struct("id", "n"), "id").alias("c")).filter("k > 1")
+    centres = size.select("bucket", F.col("c.id").alias("b"), F.col("c.n").alias("m"))
+    # Every member beside the smallest id of its bucket: a star.
+    stars = settle(members.join(centres, "bucket").filter(F.col("id") != F.col("b")), "stars")
+    near = stars.filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select(F.col("id").alias("a"), "b").distinct()
+    pairs = settle(near, "pairs")
+    confirmed = settle(_confirm(pairs, _sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), width), percent), "links")
+    found = settle(connected_components(confirmed), "components")
+    # Left are members whose bucket also has members of other components, centres aside.
+    of = stars.join(found, "id", "left").select("id", "n", "bucket", F.coalesce("component", "id").alias("component"))
+    several = of.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("id").alias("root")).filter("x <> y")
+    left = settle(of.join(several.select("bucket", "root"), "bucket").select("id", "n", "root").distinct(), "left")
+    if left.isEmpty():
+        return found
+    family = connected_components(left.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
+    rows = settle(left.select("id", "n").distinct().join(family.withColumnRenamed("component", "family"), "id"), "families")
+    blocks = rows.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = rows.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks").cast("bigint")).cast("int"))
+    full = placed.join(_sets(docs, rows, width), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = full.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", F.size("hashes").cast("bigint").alias("n"), "hashes")
+    kind = dict(docs.dtypes)["doc_id"]
+    arrow = pa.string() if kind == "string" else pa.int64()
+    more = tiles.groupBy("family", "i", "j").applyInArrow(compare_block(arrow, percent), f"a {'string' if kind == 'string' else 'bigint'}, b {'string' if kind == 'string' else 'bigint'}")
+    more = settle(more.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b")).distinct(), "links")
+    return found if more.isEmpty() else settle(connected_components(confirmed.unionByName(more)), "components")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -150,9 +177,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, doc_id:
     # Bands of each distinct set, from the row that stands for it.
     banded = linkable.join(reps.select(F.col("id").alias("doc_id"), "n", "high", "low"), ["doc_id", "n", "high", "low"]).select(F.col("doc_id").alias("id"), "n", "bands").distinct()
     found = links(banded, docs, percent, width)
-    named = reps if found is None else reps.join(found, "id", "left")
-    named = named.select("n", "high", "low", (F.col("id") if found is None else F.coalesce("component", "id")).alias("_component"))
+    named = reps.join(found, "id", "left").select("n", "high", "low", F.coalesce("component", "id").alias("_component"))
     out = rows.drop("bands").join(named, ["n", "high", "low"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("_component", "doc_id")).otherwise(F.col("doc_id"))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), component))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(len(ws) - 4), lambda i: array_to_string(ws[i + 1:i + 5], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+e AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * (any_value(na.n) + any_value(nb.n) - count(*))),
+r(id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.id WHERE r.c < e.y),
+m AS (SELECT id, min(c) AS c FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept FROM documents d JOIN m ON m.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""

@@ -45,7 +45,7 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf, "documents"))
 
 
-@query("op5_warc_round_trip")
+@query("op5_warc_round_trip", warc.SQL)
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return warc.round_trip(table(spark, sf, "pages"), new_path(spark, "warc"))
 
@@ -60,7 +60,7 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
-@query("op1_minhash")
+@query("op1_minhash", minhash.SQL)
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf, "documents"), percent=85)
 
@@ -71,7 +71,7 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("items", F.array_join(F.transform("items", lambda i: i.cast("string")), ","))
 
 
-@query("op6_spherical_cells")
+@query("op6_spherical_cells", embeddings.SQL)
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf, "embeddings"))
 
@@ -81,6 +81,6 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
 
 
-@query("op9_suffix_repeats")
+@query("op9_suffix_repeats", suffixes.SQL)
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return suffixes.repeat_digest(table(spark, sf, "documents"))

@@ -45,7 +45,7 @@ def _fold_table() -> dict[int, str]:
 
 
 FOLDS = _fold_table()
-_SUBSTITUTED = re.compile(r"[^\W_]*(?:[^\W\d_][013457 8@$]|[013457 8@$][^\W\d_])[\w@$]*".replace(" ", ""))
+_SUBSTITUTED = re.compile(r"[^\W_]*(?:[^\W\d_][0134578@$]|[0134578@$][^\W\d_])[\w@$]*")
 _STANDS_FOR = str.maketrans(STANDS_FOR)
 
 

@@ -323,3 +323,13 @@ def round_trip(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFrame:
         F.col("page_id").cast(kind).alias("page_id"), F.col("full_bytes").cast("bigint").alias("payload_bytes"), "payload_digest", "record_type",
         F.col("refers_to_page").cast(kind).alias("refers_to"), "intact",
     )
+
+
+SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p GROUP BY 1)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, CASE WHEN page_id = first THEN true END AS intact
+FROM p JOIN f USING (h)
+"""
