@@ -1,9 +1,9 @@
 """Embedding near-duplicates: spherical k-means cells, blocked cosine products inside cells, one kept per group.
 
 Equal vectors count as one with a weight. A vector's home is the cell of its nearest centre. It also
-visits every cell whose bounding plane is so near that a partner within the threshold may live there: a partner
-lies at most sin(angle) across a plane, and in d dimensions rarely more than REACH / sqrt(d - 1) of that. Each
-cell compares those at home with all that are there, in square blocks that are tasks of their own, so a cell of any size is split.
+visits every cell whose bounding plane lies within half the longest chord of a link, sqrt((1 - cosine) / 2). The two
+of a linked pair are no farther apart than that chord, so at least one of them visits the other's cell, whatever the
+number of dimensions and however the vectors are spread: no link is missed. Each cell compares those at home with all that are there, in square blocks that are tasks of their own, so a cell of any size is split.
 Out of a block come link counts and the edges of a spanning forest, never its pairs.
 """
 
@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from postmill.llm.components import connected_components, forest
 from postmill.operators.settle import settle
 
-REACH = 3.0  # standard deviations; a pair is missed only if both of its sides reach farther
 MOST_CELLS = 4096
 PER_CELL = 32  # sampled vectors per centre: at most MOST_CELLS * PER_CELL vectors are fitted on the driver
 ROUNDS = 12
+SLACK = 1e-7  # more than rounding takes off the distance of two centres
 BLOCK = 4096  # vectors on each side of a block
 STRIP = 512  # rows of a block multiplied at once
 
@@ -69,7 +69,7 @@ def place(x: np.ndarray, centres: np.ndarray | None, reach: float) -> tuple[np.n
     dots = x @ centres.T
     home = dots.argmax(1)
     apart = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))
-    return home, dots.max(1, keepdims=True) - dots <= reach * apart[home] + 1e-12
+    return home, dots.max(1, keepdims=True) - dots <= reach * apart[home] + SLACK
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding", block: int = BLOCK) -> DataFrame:
@@ -87,14 +87,14 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, vec_id: str = "vec_id
     distinct = settle(rows.filter(good).groupBy("embedding").agg(F.min("vec_id").cast("bigint").alias("id"), F.count("*").alias("copies")), "vectors")
     n = distinct.count()
     centres = _fit(distinct, n) if n else {}
-    angle = math.sqrt(max(0.0, 1 - cosine * cosine))
+    reach = math.sqrt(max(0.0, (1 - cosine) / 2))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes = pc.list_value_length(b.column("embedding"))
             for d in pc.unique(sizes).to_pylist():
                 part = b.filter(pc.equal(sizes, d))
-                home, visits = place(unit(part.column("embedding")), centres.get(d), angle * min(1.0, REACH / math.sqrt(max(1, d - 1))))
+                home, visits = place(unit(part.column("embedding")), centres.get(d), reach)
                 lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(visits.sum(1))].astype(np.int32), pa.array(np.nonzero(visits)[1], pa.int32()))
                 full = pa.array(np.full(len(home), d), pa.int32())
                 yield pa.RecordBatch.from_arrays([*part.columns, full, pa.array(home, pa.int32()), lists], names=[*part.schema.names, "size", "home", "visits"])

@@ -108,6 +108,25 @@ def test_vectors_as_all_pairs(spark, block):
         assert all((got[i]["n_links"], got[i]["component_id"]) == (near[i].sum(), want[i]) for i in range(len(x)))
 
 
+def uneven_vectors(kind, d, n, seed=3):
+    """Directions spread unevenly over the dimensions; half the rows are near copies at a cosine of about 0.95."""
+    r = np.random.default_rng(seed)
+    make = (lambda m, b=r.normal(size=(16, d)): r.normal(size=(m, 16)) @ b) if kind == "rank 16" else (lambda m: r.normal(size=(m, d)) / np.arange(1, d + 1))
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(make(n // 2))
+    return np.concatenate([x, unit(x + unit(make(n // 2)) * 0.32)])
+
+
+@pytest.mark.parametrize("kind, d", [("rank 16", 768), ("1/i", 384), ("1/i", 768)])
+def test_uneven_vectors_lose_no_link(spark, kind, d):
+    x = uneven_vectors(kind, d, 1200)
+    near = (x @ x.T >= 0.95) & ~np.eye(len(x), dtype=bool)
+    want = component_map(range(len(x)), list(zip(*np.nonzero(near))))
+    got = embeddings.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    assert near.sum() > 500
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {i: (near[i].sum(), want[i]) for i in range(len(x))}
+
+
 def test_hostile_vectors(spark):
     one = [1.0, 2.0, 3.0]
     rows = [(1, one), (2, one), (2, one), (3, [2.0, 4.0, 6.0]), (4, None), (5, []), (6, [0.0, 0.0, 0.0]), (7, [1.0, None, 3.0]), (8, [1.0, float("nan"), 3.0]),
