@@ -25,10 +25,21 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @configured
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id (with any rows that repeat that id)."""
-    found = minhash.near_duplicates(docs, percent=80)
+    """One document of each group of near-duplicates: the one with the smallest id (with any rows that repeat that id and text).
+
+    Different texts under one id are judged apart: where an id has several, id and text hash stand for it.
+    """
+    text_hash = F.xxhash64("text")
+    several = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(text_hash).alias("x"), F.max(text_hash).alias("y")).filter("x <> y")
+    key = F.col("doc_id")
+    if not several.isEmpty():
+        number = dict(docs.dtypes)["doc_id"] != "string"
+        # Keys sort as their ids do.
+        first = F.lpad(F.hex(key.cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0") if number else F.concat(key, F.lit("\0"))
+        key = F.concat(first, F.lpad(F.hex(text_hash), 16, "0"))
+    found = minhash.near_duplicates(docs.select(key.alias("doc_id"), "text"), percent=80)
     removed = found.filter("NOT kept").select(F.col("doc_id").alias("_removed")).distinct()
-    return docs.join(removed, F.col("doc_id") == F.col("_removed"), "left_anti")
+    return docs.join(removed, key == F.col("_removed"), "left_anti")
 
 
 @configured

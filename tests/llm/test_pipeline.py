@@ -3,7 +3,7 @@ import pytest
 import corpus_pipeline
 from postmill.llm import queries
 from tests.check import compare, connect
-from tests.llm.helpers import component_map, shingle_set
+from tests.llm.helpers import component_map, shingle_set, words
 from tests.llm.test_passages import plain_contamination
 
 SF = "/root/testdata/sf0.001"
@@ -40,3 +40,15 @@ def test_stages_one_by_one(spark, tmp_path):
             assert len(after) > len(before)
         elif name == "sharding":
             assert sorted(r["doc_id"] for r in after) == sorted(r["doc_id"] for r in before) and {r["shard"] for r in after} <= set(range(24))
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_near_dedup_of_ids_with_several_texts(spark, kind):
+    a, b, c, d = (" ".join(words(60, 700 + i)) for i in range(4))
+    near = lambda t: t + " more"
+    rows = [(9, a), (9, b), (3, b), (12, near(a)), (20, c), (20, near(d)), (-5, d), (30, None), (30, c), (None, a), (9, a)]
+    want = [(9, a), (9, a), (3, b), (20, c), (-5, d), (30, None), (None, a)]
+    as_kind = lambda rows: [(i if kind == "long" or i is None else f"{i + 100:04}", t) for i, t in rows]
+    docs = spark.createDataFrame(as_kind(rows), f"doc_id {kind}, text string")
+    got = [tuple(r) for r in corpus_pipeline.one_of_each(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted(as_kind(want), key=str)
