@@ -18,7 +18,7 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.words import replacing
@@ -32,7 +32,7 @@ EXCEPTIONS = ("trash can", "trash bin", "clown fish", "clownfish", "class clown"
 SHORTEST, LONGEST = 3, 9  # letters of a lexicon entry
 LEAST_DOCS = 5  # labelled toxic documents an entry is in
 LEAST_WEIGHT = 1.5  # log odds
-MOST_ENTRIES = 50_000
+MOST_COUNTED = 200_000  # entries a task counts before it passes them on
 SAMPLE = 12_000  # labelled documents a model is fitted on, at most
 FEATURES = 5
 THRESHOLD = 0.7  # least score that is predicted toxic
@@ -110,6 +110,12 @@ def _weights(counts: pd.DataFrame, toxic: str, other: str, n_toxic: int, n_other
     return dict(zip(counts["entry"][keep].tolist(), odds[keep].tolist()))
 
 
+def _telling(t: Column, o: Column, n_toxic: int, n_other: int) -> Column:
+    """The test of _weights for columns, a little wider, as logarithms may be rounded in other ways."""
+    odds = F.log((t + 0.5) / (n_toxic + 1)) - F.log((o + 0.5) / (n_other + 1))
+    return (t >= LEAST_DOCS) & (odds >= LEAST_WEIGHT - 1e-9)
+
+
 def held_out(doc_id, parts: int, part: int):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
@@ -140,30 +146,24 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 3
     if not n[0] or not n[1]:
         return nothing
 
-    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter[str] = Counter()
-        for b in batches:
-            for t in b["text"]:
-                seen.update(beginnings(fold(t)))
-        yield pd.DataFrame({"entry": list(seen), "n": list(seen.values())}, columns=["entry", "n"])
-
-    toxic = sample.filter("label = 1").select("text").mapInPandas(entries, "entry string, n long")
-    common = toxic.groupBy("entry").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "entry").limit(MOST_ENTRIES)
-    candidates = frozenset(r["entry"] for r in common.select("entry").collect())
-
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter[tuple[str, int, int]] = Counter()
+        passed = lambda: pd.DataFrame([(*k, v) for k, v in seen.items()], columns=["entry", "label", "fold", "n"])
         for b in batches:
             for t, y in zip(b["text"], b["label"]):
                 half = zlib.crc32((t or "").encode()) % 2
-                seen.update((e, y, half) for e in beginnings(fold(t)) & candidates)
-        yield pd.DataFrame([(*k, v) for k, v in seen.items()], columns=["entry", "label", "fold", "n"])
+                seen.update((e, y, half) for e in beginnings(fold(t)))
+                if len(seen) > MOST_COUNTED:
+                    yield passed()
+                    seen.clear()
+        yield passed()
 
     side = lambda y, half: F.sum(F.when((F.col("label") == y) & (F.col("fold") == half), F.col("n")).otherwise(0)).alias(f"n{y}{half}")
-    counts = (
-        sample.mapInPandas(count, "entry string, label int, fold int, n long").groupBy("entry")
-        .agg(*(side(y, half) for y in (0, 1) for half in (0, 1))).toPandas().sort_values("entry", ignore_index=True)
-    )
+    counts = sample.mapInPandas(count, "entry string, label int, fold int, n long").groupBy("entry").agg(*(side(y, half) for y in (0, 1) for half in (0, 1)))
+    # Only entries that some lexicon takes come to the driver.
+    first_one = _telling(F.col("n10"), F.col("n00"), sizes.get((1, 0), 0), sizes.get((0, 0), 0))
+    full_one = _telling(F.col("n10") + F.col("n11"), F.col("n00") + F.col("n01"), n[1], n[0])
+    counts = counts.filter(first_one | full_one).toPandas().sort_values("entry", ignore_index=True)
     counts["n0"], counts["n1"] = counts["n00"] + counts["n01"], counts["n10"] + counts["n11"]
     first = _weights(counts, "n10", "n00", sizes.get((1, 0), 0), sizes.get((0, 0), 0))
 

@@ -89,3 +89,18 @@ def test_gradients_of_the_attention_network():
         down = loss()
         p[at] += 1e-6
         assert (up - down) / 2e-6 == pytest.approx(g[at], rel=1e-4)
+
+
+def test_rare_telling_words_of_a_large_vocabulary(spark):
+    r = random.Random(8)
+    ids = [i for i in range(400) if not held(i, 3, 1)][:160]
+    neutral = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(12_000)]
+    rows = []
+    for label in (0, 1):
+        bags = [[] for _ in range(80)]
+        for w in neutral:
+            for b in r.sample(range(80), 8):
+                bags[b].append(w)
+        rows += [(ids[80 * label + b], " ".join(bag + ["qqvexing"] * (label and b < 6)), label) for b, bag in enumerate(bags)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert "qqvexing" in toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic")).weights
