@@ -351,6 +351,11 @@ def _with_texts(ranges: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
     return a.unionByName(b).repartitionById(parts, F.col("part")).sortWithinPartitions("turn").drop("part", "turn")
 
 
+def splitter_texts(texts: DataFrame, size: int) -> DataFrame:
+    """Some SAMPLE_BYTES of ``size`` bytes of texts; copies under other ids are chosen apart."""
+    return texts.filter(F.pmod(F.xxhash64("doc", "text_hash"), F.lit(max(1, size // SAMPLE_BYTES))) == 0)
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, starts and ends of the maximal removed runs (bytes, end exclusive), kept (bytes).
 
@@ -370,8 +375,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                 yield pa.RecordBatch.from_arrays([pa.array(token[anchor][::8].view(np.int64))], names=["token"])
 
     # Some 4 MB of text, whatever the input's size, of which every eighth suffix is taken.
-    chosen = texts.filter(F.pmod("text_hash", F.lit(max(1, size // SAMPLE_BYTES))) == 0)
-    some = chosen.mapInArrow(sampled, "token long").toPandas()["token"].to_numpy(np.int64).view(np.uint64)
+    some = splitter_texts(texts, size).mapInArrow(sampled, "token long").toPandas()["token"].to_numpy(np.int64).view(np.uint64)
     splitters = np.sort(some)[np.linspace(0, len(some) - 1, parts + 1).astype(np.int64)[1:-1]] if len(some) else np.zeros(0, np.uint64)
 
     first = texts.mapInArrow(_suffixes(splitters, parts), PACKED).repartitionById(parts, F.col("part")).mapInArrow(_compare_blocks(parts), PACKED)

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from postmill.llm import decontaminate, suffixes
 from tests.llm.helpers import SCHEMA, empty, hostile, rows_of, words
@@ -145,3 +146,10 @@ def test_contamination_hostile_rows(spark):
     assert all(r["items"] == ([1] if r["contaminated"] else []) and r["n_items"] == len(r["items"]) for r in got)
     assert sum(r["contaminated"] for r in decontaminate.contamination(docs, bench.limit(0)).collect()) == 0
     assert decontaminate.contamination(empty(spark), bench).count() == 0
+
+
+def test_splitters_sample_copies_apart(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "SAMPLE_BYTES", 1000)
+    for text_hash in range(0, 40, 4):
+        texts = spark.range(2000).select(F.col("id").alias("doc"), F.lit(text_hash).alias("text_hash"))
+        assert 150 < suffixes.splitter_texts(texts, 8000).count() < 350
