@@ -2,7 +2,8 @@
 
 Records are gzip members of their own, as usual for ``.warc.gz``. A reader plans one partition per
 group of files, parses each record's header first, checks it against the pushed-down predicates, and
-inflates only blocks that are wanted. Files go through Arrow's file systems (local, HDFS, S3, GCS), never
+drops blocks that are not wanted: in plain ``.warc`` by a seek, in ``.warc.gz`` they are inflated all the same, and only
+their digest check and their way to Spark are saved. Files go through Arrow's file systems (local, HDFS, S3, GCS), never
 through open(); a file that no manifest names (a lost or repeated attempt) is not part of the archive.
 """
 
@@ -307,7 +308,7 @@ def write_warc(
 def read_warc(spark: SparkSession, path: str, payload: bool = True, verify: bool = False) -> DataFrame:
     """Records under ``path``; filters on header columns are pushed into the scan.
 
-    ``payload`` false leaves blocks undecoded; ``verify`` compares payloads with their digests (column
+    ``payload`` false leaves blocks out (of plain files unread, of gzip files inflated and dropped); ``verify`` compares payloads with their digests (column
     intact). A path without archives gives no rows.
     """
     spark.dataSource.register(WarcSource)
