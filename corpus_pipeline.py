@@ -44,8 +44,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @configured
 def no_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of the benchmark."""
-    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Documents without passages of the benchmark, short items included."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"), whole=True)
 
 
 @configured

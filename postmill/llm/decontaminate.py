@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from postmill.operators.settle import settle
 
 MASKS = ("111010011", "110101101", "101100111")  # one span for all: it is the shortest item that can be found
+MORE = ("011011011",)  # with it, no two substitutions in a stretch of 13 hide it
 STRETCH = 13  # words of an item laid beside the document; a shorter item is compared whole
 SIMILAR = 80  # percent of equal words
 FEW_SEEDS = 1_000_000  # seeds of test items that are broadcast at most (some 40 MB)
@@ -34,13 +35,33 @@ def with_seeds(rows: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     return placed.withColumn("seed", F.explode(F.array(*keys)))
 
 
-def overlaps(docs: DataFrame, items: DataFrame, masks=MASKS, stretch=STRETCH, percent=SIMILAR, doc_id="doc_id", text="text", item_id="item_id") -> DataFrame:
-    """Verified overlaps: (doc_id, text_hash, item_id), each once. Items and documents shorter than a mask have none."""
+def piece_of(n: int, percent: int) -> tuple[int, int]:
+    """Length and number of the pieces of an item of n words: one more than may be substituted, so one is intact."""
+    pieces = n * (100 - percent) // 100 + 1
+    return n // pieces, pieces
+
+
+def overlaps(docs: DataFrame, items: DataFrame, masks=MASKS, stretch=STRETCH, percent=SIMILAR, doc_id="doc_id", text="text", item_id="item_id", whole=False) -> DataFrame:
+    """Verified overlaps: (doc_id, text_hash, item_id), each once. Items and documents shorter than a mask have none.
+
+    ``whole`` finds what the masks miss, too: items of up to ``stretch`` words, down to one word, are also sought by
+    intact pieces, and stretches of longer items also with the masks of MORE.
+    """
+    masks = (*masks, *MORE) if whole else masks
     tests = settle(items.select(F.col(item_id).alias("item_id"), word_hashes(F.col("text")).alias("words")).filter(F.col("item_id").isNotNull()).distinct(), "items")
-    seeds = settle(with_seeds(tests, masks).select("seed", "item_id", F.col("at").alias("item_at")).distinct(), "seeds")
+    planted = with_seeds(tests, masks).select("seed", "item_id", "at")
+    lengths = sorted(r["n"] for r in tests.select(F.size("words").alias("n")).filter(F.col("n").between(1, stretch)).distinct().collect()) if whole else []
+    for n in lengths:
+        size, pieces = piece_of(n, percent)
+        starts = F.array(*(F.lit(size * i) for i in range(pieces)))
+        planted = planted.unionByName(with_seeds(tests.filter(F.size("words") == n), ("1" * size,)).filter(F.array_contains(starts, F.col("at"))).select("seed", "item_id", "at"))
+    seeds = settle(planted.withColumnRenamed("at", "item_at").distinct(), "seeds")
     small = F.broadcast if seeds.count() <= FEW_SEEDS else (lambda df: df)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), word_hashes(F.col(text)).alias("words"))
-    hits = with_seeds(rows, masks).join(small(seeds), "seed").withColumn("shift", F.col("at") - F.col("item_at"))
+    sown = with_seeds(rows, masks)
+    for size in sorted({piece_of(n, percent)[0] for n in lengths}):
+        sown = sown.unionByName(with_seeds(rows, ("1" * size,)))
+    hits = sown.join(small(seeds), "seed").withColumn("shift", F.col("at") - F.col("item_at"))
     laid = hits.join(small(tests.select("item_id", F.col("words").alias("item_words"))), "item_id")
 
     equal = F.transform("item_words", lambda w, i: F.when(F.get("words", i + F.col("shift")) == w, 1).otherwise(0))
@@ -59,7 +80,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id="doc_id", text="text
 
     Null and empty texts hold none; a null id is an id like any other; repeated rows get equal results;
     rows of one id and different texts are judged apart. Test items without id, text or with fewer words than
-    a mask spans (9) are not searched. Empty tables: no documents, or none contaminated. Other columns are ignored.
+    a mask spans (9) are not searched, unless ``whole`` is given. Empty tables: no documents, or none contaminated. Other columns are ignored.
     """
     found = overlaps(docs, items, doc_id=doc_id, text=text, **how).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "items")

@@ -153,3 +153,25 @@ def test_splitters_sample_copies_apart(spark, monkeypatch):
     for text_hash in range(0, 40, 4):
         texts = spark.range(2000).select(F.col("id").alias("doc"), F.lit(text_hash).alias("text_hash"))
         assert 150 < suffixes.splitter_texts(texts, 8000).count() < 350
+
+
+def test_whole_search_as_the_rule_without_masks(spark):
+    from itertools import combinations
+
+    items, texts = [], []
+    for n in (1, 3, 4, 5, 7, 8, 9, 10, 11, 12, 13):
+        v = [f"q{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(v)))
+        for wrong in {(), *combinations(range(n), max(0, n // 5)), *combinations(range(n), n // 5 + 1)}:
+            texts.append((n, wrong, " ".join(["before", *("changed" if k in wrong else w for k, w in enumerate(v)), "after"])))
+    long = [f"long{k}" for k in range(20)]
+    items.append((20, " ".join(long)))
+    for n_wrong in (2, 3):
+        for wrong in combinations(range(13), n_wrong):
+            texts.append((20, wrong, " ".join("changed" if k in wrong else w for k, w in enumerate(long[4:17]))))
+    docs = spark.createDataFrame(rows_of([t for *_, t in texts]), SCHEMA)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {x["doc_id"]: x["items"] for x in decontaminate.contamination(docs, bench, whole=True).collect()}
+    for i, (n, wrong, _) in enumerate(texts, 1):
+        m = min(n, 13)
+        assert got[i] == ([n] if 100 * (m - len(wrong)) >= 80 * m else []), (n, wrong)
