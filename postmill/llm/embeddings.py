@@ -22,25 +22,11 @@ from postmill.llm.components import connected_components, forest
 from postmill.operators.settle import settle
 
 MOST_CELLS = 4096
-PER_CELL = 32  # sampled vectors per centre: at most MOST_CELLS * PER_CELL vectors are fitted on the driver
+PER_CELL = 32  # sampled vectors per centre: some MOST_CELLS * PER_CELL vectors are fitted at most
 ROUNDS = 12
 SLACK = 1e-7  # more than rounding takes off the distance of two centres
 BLOCK = 4096  # vectors on each side of a block
-STRIP = 512  # rows of a block multiplied at once
-
-
-def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 5) -> np.ndarray:
-    """Unit centres of unit vectors; a centre without vectors keeps its place."""
-    r = np.random.default_rng(seed)
-    centres = x[r.choice(len(x), min(k, len(x)), replace=False)].copy()
-    for _ in range(rounds):
-        home = np.argmax(x @ centres.T, 1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, home, x)
-        length = np.linalg.norm(sums, axis=1)
-        moved = length > 1e-12
-        centres[moved] = sums[moved] / length[moved, None]
-    return centres
+STRIP = 512  # rows multiplied at once
 
 
 def unit(arrays: pa.ListArray) -> np.ndarray:
@@ -51,15 +37,76 @@ def unit(arrays: pa.ListArray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _by_size(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Strips of vectors of one dimension each."""
+    for b in batches:
+        sizes = pc.list_value_length(b.column("embedding"))
+        for d in pc.unique(sizes).to_pylist():
+            part = b.filter(pc.equal(sizes, d))
+            for s in range(0, part.num_rows, STRIP):
+                yield d, part.slice(s, STRIP)
+
+
+SUMS = "size int, cell int, sums array<double>"
+
+
+def _sums(held: dict[tuple[int, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(held), STRIP):
+        keys = list(held)[at:at + STRIP]
+        lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(held[k]) for k in keys])].astype(np.int32), pa.array(np.concatenate([held[k] for k in keys])))
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), lists], names=["size", "cell", "sums"])
+
+
+def moved(sample: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """Centres after a round: a task sums its vectors by their nearest centre, sums of one centre are put together."""
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], np.ndarray] = {}
+        for d, part in _by_size(batches):
+            x = unit(part.column("embedding"))
+            home = (x @ centres[d].T).argmax(1)
+            for c in np.unique(home):
+                held[d, int(c)] = held.get((d, int(c)), 0) + x[home == c].sum(0)
+        yield from _sums(held)
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            sums = b.column("sums")
+            for i, k in enumerate(zip(b.column("size").to_pylist(), b.column("cell").to_pylist())):
+                held[k] = held.get(k, 0) + sums[i].values.to_numpy()
+        yield from _sums(held)
+
+    out = {d: c.copy() for d, c in centres.items()}
+    # Only one row per centre comes to the driver; a centre without vectors keeps its place.
+    got = sample.mapInArrow(nearest, SUMS).repartition("size", "cell").mapInArrow(together, SUMS).toArrow()
+    lists = got.column("sums").combine_chunks()
+    for i, (d, c) in enumerate(zip(got.column("size").to_pylist(), got.column("cell").to_pylist())):
+        total = lists[i].values.to_numpy()
+        length = np.linalg.norm(total)
+        if length > 1e-12:
+            out[d][c] = total / length
+    return out
+
+
 def _fit(vectors: DataFrame, n: int) -> dict[int, np.ndarray]:
-    """Centres by dimension from a bounded sample in hash order."""
+    """Centres by dimension, by rounds of Lloyd on Spark over a bounded sample; the first of it in hash order are the first centres."""
     cells = min(MOST_CELLS, max(1, math.ceil(math.sqrt(n) / 2)))
-    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(cells * PER_CELL).select("embedding").toArrow()
-    by_size: dict[int, list[int]] = {}
-    column = rows.column("embedding").combine_chunks()
-    for i, size in enumerate(pc.list_value_length(column).to_pylist()):
-        by_size.setdefault(size, []).append(i)
-    return {d: spherical_kmeans(unit(column.take(pa.array(at))), max(1, cells * len(at) // rows.num_rows)) for d, at in by_size.items()}
+    h = F.xxhash64("embedding")
+    sample = settle(vectors.filter(F.pmod(h, F.lit(n)) < cells * PER_CELL).select("embedding", h.alias("h"), F.size("embedding").alias("size")), "sample")
+    keys = sample.select("size", "h").toPandas().sort_values("h")
+    first = {d: set(g["h"].head(max(1, cells * len(g) // len(keys))).tolist()) for d, g in keys.groupby("size")}
+    chosen = pa.array(sorted(set().union(*first.values())), pa.int64())
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pc.is_in(b.column("h"), value_set=chosen))
+
+    rows = sample.mapInArrow(starts, sample.schema).orderBy("h").toArrow()
+    centres = {d: unit(rows.filter(pc.equal(rows.column("size"), d)).column("embedding").combine_chunks()) for d in first}
+    for _ in range(ROUNDS):
+        centres = moved(sample, centres)
+    return centres
 
 
 def place(x: np.ndarray, centres: np.ndarray | None, reach: float) -> tuple[np.ndarray, np.ndarray]:
@@ -68,8 +115,8 @@ def place(x: np.ndarray, centres: np.ndarray | None, reach: float) -> tuple[np.n
         return np.zeros(len(x), np.int64), np.ones((len(x), 1), bool)
     dots = x @ centres.T
     home = dots.argmax(1)
-    apart = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))
-    return home, dots.max(1, keepdims=True) - dots <= reach * apart[home] + SLACK
+    apart = np.sqrt(np.maximum(0, 2 - 2 * centres[home] @ centres.T))
+    return home, dots.max(1, keepdims=True) - dots <= reach * apart + SLACK
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding", block: int = BLOCK) -> DataFrame:
@@ -90,14 +137,11 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, vec_id: str = "vec_id
     reach = math.sqrt(max(0.0, (1 - cosine) / 2))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sizes = pc.list_value_length(b.column("embedding"))
-            for d in pc.unique(sizes).to_pylist():
-                part = b.filter(pc.equal(sizes, d))
-                home, visits = place(unit(part.column("embedding")), centres.get(d), reach)
-                lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(visits.sum(1))].astype(np.int32), pa.array(np.nonzero(visits)[1], pa.int32()))
-                full = pa.array(np.full(len(home), d), pa.int32())
-                yield pa.RecordBatch.from_arrays([*part.columns, full, pa.array(home, pa.int32()), lists], names=[*part.schema.names, "size", "home", "visits"])
+        for d, part in _by_size(batches):
+            home, visits = place(unit(part.column("embedding")), centres.get(d), reach)
+            lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(visits.sum(1))].astype(np.int32), pa.array(np.nonzero(visits)[1], pa.int32()))
+            full = pa.array(np.full(len(home), d), pa.int32())
+            yield pa.RecordBatch.from_arrays([*part.columns, full, pa.array(home, pa.int32()), lists], names=[*part.schema.names, "size", "home", "visits"])
 
     kind = dict(distinct.dtypes)["embedding"]
     placed = settle(distinct.mapInArrow(assign, f"embedding {kind}, id long, copies long, size int, home int, visits array<int>"), "placed")

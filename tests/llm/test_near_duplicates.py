@@ -139,3 +139,15 @@ def test_hostile_vectors(spark):
     assert all(got[i] == [(0, i, True)] for i in (4, 5, 6, 7, 8, 9, 12)) and got[None] == [(0, None, True)]
     assert got[10] == [(1, 10, True)] and got[11] == [(1, 10, False)]
     assert embeddings.near_vectors(df.limit(0)).count() == 0
+
+
+def test_a_round_of_centres_as_on_one_machine(spark):
+    x = vectors(5, 700)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centres = x[:30]
+    home = (x @ centres.T).argmax(1)
+    want = np.array([x[home == c].sum(0) for c in range(30)])
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "embedding array<double>").repartition(3)
+    got = embeddings.moved(df, {x.shape[1]: centres})
+    assert np.allclose(got[x.shape[1]], want)
