@@ -7,56 +7,49 @@ from pyspark.sql import functions as F
 
 from postmill.functions.core import W, nonempty, text
 
+# A link with its target and text, and one whose target is a posting path.
 ANCHOR = r'(?i)<a[^>]*href="([^"]+)"[^>]*>([\s\S]*?)</a>'
+JOB_ANCHOR = r'(?i)<a[^>]*href="([^"]*/jobs/[^"]*)"[^>]*>([\s\S]*?)</a>'
 
 
-def _code_point(n: Column) -> Column:
-    return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+# Numeric entities, first the hexadecimal, then the decimal ones: how they begin, the numbers of the
+# two halves of a character beyond the first plane, any number, and its base.
+_ENTITIES = (
+    (r"&#[xX]0{0,9}", "[dD][89abAB][0-9a-fA-F]{2}", "[dD][c-fC-F][0-9a-fA-F]{2}", "[0-9a-fA-F]{1,6}", 16),
+    (r"&#0{0,9}", r"55(?:29[6-9]|[3-9]\d{2})|56(?:[0-2]\d{2}|30\d|31\d)", r"56(?:3[2-9]\d|[4-9]\d{2})|57(?:[0-2]\d{2}|3[0-3]\d|34[0-3])", r"\d{1,7}", 10),
+)
+# Named entities in the order they are replaced.
+_NAMED = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'))
 
 
-# Numbers of the two halves of a character beyond the first plane.
-_PAIRS = (
-    (r"&#0*(55(?:29[6-9]|[3-9]\d{2})|56(?:[0-2]\d{2}|30\d|31\d));&#0*(56(?:3[2-9]\d|[4-9]\d{2})|57(?:[0-2]\d{2}|3[0-3]\d|34[0-3]));", 10),
-    (r"&#[xX]0*([dD][89abAB][0-9a-fA-F]{2});&#[xX]0*([dD][c-fC-F][0-9a-fA-F]{2});", 16),
-)
+def _numbers_sql(text_: str, begin: str, high: str, low: str, any_: str, base: int) -> str:
+    """SQL that cuts a text in front of every entity of one kind, maps each piece once, and joins them."""
+    pattern = f"{begin}(?:({high});{begin}({low})|({any_}));"
+    second_half = f"(?<={begin}(?:{high});){begin}(?:{low});"
+    number = lambda i: f"CAST(conv(regexp_extract(p, r'^{pattern}', {i}), {base}, 10) AS BIGINT)"
+    point = f"coalesce({number(3)}, ({number(1)} - 55296) * 1024 + {number(2)} - 56320 + 65536)"
+    char = f"CASE WHEN startswith(p, '&#') AND p RLIKE r'^{pattern}' THEN decode(unhex(lpad(hex(CASE WHEN {point} <= 1114111 THEN {point} END), 8, '0')), 'UTF-32') END"
+    return f"array_join(transform(split({text_}, r'(?={pattern})(?!{second_half})', -1), p -> coalesce({char} || regexp_replace(p, r'^{pattern}', ''), p)), '')"
 
 
-def _join_pairs(c: Column) -> Column:
-    """Two entities that are the halves of one character become that character."""
-    for pattern, base in _PAIRS:
-        half = lambda e, i: F.conv(F.regexp_extract(e, pattern, i), base, 10).cast("bigint")  # noqa: E731, B023
-        c = F.aggregate(
-            F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), F.lit(0))),
-            c,
-            lambda acc, e: F.replace(acc, e, _code_point((half(e, 1) - 55296) * 1024 + half(e, 2) - 56320 + 65536)),  # noqa: B023
-        )
-    return c
-
-
-def _decode_numeric(c: Column, pattern: str, base: int) -> Column:
-    """Replace each distinct numeric entity of the text by its character."""
-    found = F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)))
-    digits = lambda e: F.regexp_extract(e, pattern, 1)
-    value = lambda e: F.conv(digits(e), base, 10).cast("bigint")
-    return F.aggregate(
-        found,
-        c,
-        lambda acc, e: F.when(value(e) <= 1114111, F.replace(acc, e, _code_point(value(e)))).otherwise(acc),
-    )
+def _decode_sql() -> str:
+    """A lambda over one text; the column functions would make some hundred calls to the JVM for it."""
+    numeric = "t"
+    for kind in _ENTITIES:
+        numeric = _numbers_sql(numeric, *kind)
+    out = f"CASE WHEN contains(t, '&#') THEN {numeric} ELSE t END"
+    for entity, char in _NAMED:
+        out = f"replace({out}, '{entity}', '{char}')"
+    return f"t -> CASE WHEN contains(t, '&') THEN {out} ELSE t END"
 
 
 def decode_entities(c: Column) -> Column:
-    """Numeric entities, then the named ones; plain text skips the numeric step.
+    """Numeric entities (hexadecimal, then decimal), then the named ones; text without any is left alone.
 
-    Numbers with more digits than a code point can have stay as they are.
+    Numbers with more digits than a code point can have stay as they are. The input is named once in the
+    expression, so decoding does not grow with the expression it is applied to.
     """
-    numeric = _decode_numeric(
-        _decode_numeric(_join_pairs(c), r"&#[xX]0*([0-9a-fA-F]{1,6});", 16), r"&#0*(\d{1,7});", 10
-    )
-    out = F.when(F.contains(c, F.lit("&#")), numeric).otherwise(c)
-    for entity, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')):
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    return F.element_at(F.call_function("transform", F.array(c), F.expr(_decode_sql())), 1)
 
 
 def strip_tags(c: Column) -> Column:
@@ -82,7 +75,18 @@ LOCATION = (
     r"remote|hybrid|on-site|onsite|in-office|san francisco(?:,\s*ca)?|new york(?:,\s*ny)?|"
     r"seattle(?:,\s*wa)?|austin(?:,\s*tx)?|los angeles(?:,\s*ca)?|california|united states"
 )
+# Dates and places near a link.
 ANCHOR_POSTED = r"(?i)(\d+\s+(?:hour|day|week|month|year)s?\s+ago|today|yesterday)"
+BLOCK_POSTED = (r"(?i)(\d+\s+(?:hour|day|week|month|year)s?\s+ago)", r"(?i)(?<![A-Za-z0-9_])(today|yesterday)(?![A-Za-z0-9_])")
+BOARD_PLACE = r"(?i)(?:location|office|remote)[^<]{0,80}"
+STARTUP_NAME = (
+    r'(?i)data-test(?:id)?="(?:startup|company)[^"]*name[^"]*"[^>]*>([\s\S]*?)</(?:a|span|div)>',
+    r'(?i)class="[^"]*(?:startup|company)[^"]*name[^"]*"[^>]*>([\s\S]*?)</(?:a|span|div)>',
+)
+STARTUP_PLACE = (
+    r'(?i)data-test(?:id)?="[^"]*location[^"]*"[^>]*>([\s\S]*?)</(?:a|span|div)>',
+    r'(?i)class="[^"]*location[^"]*"[^>]*>([\s\S]*?)</(?:a|span|div)>',
+)
 ANCHOR_LOCATION = "san francisco|new york|remote|seattle|austin|los angeles|california"
 
 
@@ -120,24 +124,29 @@ def page_company(html: Column) -> Column:
     return title
 
 
+# Forms of a page title that name the company, tried in this order.
+TITLE_COMPANY = (
+    r"(?i)^jobs at (.+)$", r"(?i)^open roles at (.+)$", r"(?i)^careers at (.+)$", r"(?i)^(.+?) careers$", r"(?i)^(.+?) jobs$",
+)
+TITLE_NOISE = "open roles|jobs|careers"
+
+
 def company_of_title(t: Column) -> Column:
-    lead = F.regexp_extract(t, r"(?i)^(?:jobs at|open roles at|careers at) (.+)$", 1)
-    tail = F.regexp_extract(t, r"(?i)^(.+?) (?:careers|jobs)$", 1)
-    rest = text(
-        F.regexp_replace(F.split_part(t, F.lit("|"), F.lit(1)), bounded("open roles|jobs|careers"), "")
-    )
-    return F.when(lead != "", lead).when(tail != "", tail).otherwise(rest)
+    named = [nonempty(F.regexp_extract(t, p, 1)) for p in TITLE_COMPANY]
+    rest = text(F.regexp_replace(F.split_part(t, F.lit("|"), F.lit(1)), bounded(TITLE_NOISE), ""))
+    return F.coalesce(*named, rest)
+
+
+# How a page announces its number of results.
+TOTALS = (
+    r"(?i)showing\s+\d+\s*[-–]\s*\d+\s+of\s+([\d,]+)\s+jobs?", r"(?i)([\d,]+)\s+jobs?\s+(?:available|found|open)", r"(?i)([\d,]+)\s+results?",
+)
 
 
 def expected_total(t: Column) -> Column:
     """Number of results a page announces, from its whole text."""
-    patterns = [
-        r"(?i)showing\s+\d+\s*[-–]\s*\d+\s+of\s+([\d,]+)\s+jobs?",
-        r"(?i)([\d,]+)\s+jobs?\s+(?:available|found|open)",
-        r"(?i)([\d,]+)\s+results?",
-    ]
     found = [
         nonempty(F.replace(F.regexp_extract(t, p, 1), F.lit(","), F.lit(""))).try_cast("bigint")
-        for p in patterns
+        for p in TOTALS
     ]
     return F.coalesce(*[F.when(n > 0, n) for n in found])

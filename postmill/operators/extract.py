@@ -17,81 +17,78 @@ from postmill.functions.html import (
     ANCHOR,
     ANCHOR_LOCATION,
     ANCHOR_POSTED,
+    BLOCK_POSTED,
+    BOARD_PLACE,
+    JOB_ANCHOR,
+    STARTUP_NAME,
+    STARTUP_PLACE,
     bounded,
+    company_of_title,
     decode_entities,
     looks_like_title,
+    page_company,
     plain_text,
     text_hints,
 )
 from postmill.functions.url import (
     absolute_url,
+    ashby_id,
     canonical_url,
+    decode_component,
     host_company,
     is_google_host,
     is_job_url,
     param,
     unwrap_redirect,
+    wellfound_id,
     with_board_ids,
     with_url,
 )
-from postmill.operators.skew import first_per_key, join_one_per_key, top_n_per_key
+from postmill.operators.settle import settle
+from postmill.operators.skew import filter_here, first_per_key, join_one_per_key, top_n_per_key
 from postmill.params import DETAIL_TYPES
 
 # ---- anchors ------------------------------------------------------------------------------
 
 
-def anchors(pages: DataFrame, keep: list[str], context: int = 0) -> DataFrame:
-    """Every link of a page with position, href, plain text and (raw) context.
+_PATTERNS = {form: re.compile(p.removeprefix("(?i)"), re.IGNORECASE) for form, p in (("link", ANCHOR), ("job_link", JOB_ANCHOR))}
 
-    Offsets are a running sum inside the row, so the page text is neither shuffled nor
-    copied per link.
-    """
-    tags = F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0))
-    if not context:
-        rows = pages.select(*keep, F.posexplode(tags).alias("pos", "tag"))
-    else:
-        staged = pages.withColumns(
-            {"_tags": tags, "_gaps": F.split("html", ANCHOR, -1)}
-        )
-        start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("o"))
 
-        def step(acc: Column, x: Column) -> Column:
-            begin = acc["at"] + F.length(x["g"])
-            return F.struct(
-                (begin + F.length(x["t"])).cast("bigint").alias("at"),
-                F.array_append(acc["o"], begin.cast("bigint")).alias("o"),
-            )
+_LINK = T.StructType([T.StructField("pos", T.IntegerType()), *[T.StructField(n, T.StringType()) for n in ("href", "inner", "context")]])
 
-        zipped = F.arrays_zip(F.col("_tags").alias("t"), F.slice("_gaps", 1, F.size("_tags")).alias("g"))
-        staged = staged.withColumn("_offsets", F.aggregate(zipped, start, step)["o"])
-        pieces = F.transform(
-            F.arrays_zip(F.col("_tags").alias("t"), F.col("_offsets").alias("o")),
-            lambda x: F.struct(
-                x["t"].alias("tag"),
-                F.substring(
-                    F.col("html"),
-                    F.greatest(F.lit(0), x["o"] - context).cast("int") + 1,
-                    (
-                        F.least(F.length("html"), x["o"] + F.length(x["t"]) + context)
-                        - F.greatest(F.lit(0), x["o"] - context)
-                    ).cast("int"),
-                ).alias("context"),
-            ),
-        )
-        rows = staged.select(*keep, F.posexplode(pieces).alias("pos", "p")).select(
-            *keep, "pos", "p.tag", "p.context"
-        )
-    return rows.withColumns(
-        {
-            "href": decode_entities(F.regexp_extract("tag", ANCHOR, 1)),
-            "text": plain_text(F.regexp_extract("tag", ANCHOR, 2)),
-        }
-    ).drop("tag")
+
+@F.pandas_udf(T.ArrayType(_LINK))
+def link_scan(html: pd.Series, form: pd.Series, width: pd.Series) -> pd.Series:
+    """Links of a page in one pass: place among the links, target, inner markup, and the markup up to
+    ``width`` characters around it."""
+    def links(page, pattern, n):
+        found = enumerate(pattern.finditer(page or ""))
+        return [{"pos": i, "href": m[1], "inner": m[2], "context": page[max(0, m.start() - n) : m.end() + n]} for i, m in found]
+
+    return pd.Series([links(h, _PATTERNS[f], int(w)) for h, f, w in zip(html, form, width)], dtype=object)
+
+
+def scanned_links(pages: DataFrame, keep: list[str], width: Column, form: Column | None = None) -> DataFrame:
+    """One row per link with ``pos``, raw ``href``, ``inner`` and ``context``; the page's text leaves the row first."""
+    form = F.lit("link") if form is None else form
+    return pages.select(*keep, F.explode(link_scan("html", form, width)).alias("_l")).select(*keep, "_l.*")
+
+
+def anchors(pages: DataFrame, keep: list[str], context: int = 0) -> DataFrame:
+    """Every link of a page with position, href, plain text and, if asked for, the raw text around it."""
+    if context:
+        rows = scanned_links(pages, keep, F.lit(context)).withColumnRenamed("href", "_href")
+    else:
+        tags = F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0))
+        rows = pages.select(*keep, F.posexplode(tags).alias("pos", "_tag")).withColumns(
+            {"_href": F.regexp_extract("_tag", ANCHOR, 1), "inner": F.regexp_extract("_tag", ANCHOR, 2)}
+        ).drop("_tag")
+    return rows.withColumns({"href": decode_entities(F.col("_href")), "text": plain_text(F.col("inner"))}).drop("_href", "inner")
 
 
 def title_anchors(pages: DataFrame, keep: list[str]) -> DataFrame:
     """Links whose text can be a job title, with their absolute URL."""
-    found = anchors(pages, ["url", *keep]).filter(looks_like_title(F.col("text")))
+    found = filter_here(anchors(pages, ["url", *keep]), looks_like_title(F.col("text")))
     return (
         with_url(found, F.col("url"), "_p")
         .withColumn("target", absolute_url(F.col("href"), F.col("_p")))
@@ -99,42 +96,102 @@ def title_anchors(pages: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
-def search_result_postings(pages: DataFrame, keep: list[str]) -> DataFrame:
-    """Postings linked from a search page: redirect unwrapped, company from the host, hints
-    from 600 characters around the link."""
-    found = anchors(pages, ["url", *keep], 600)
-    a = with_url(found, F.col("url"), "_p").withColumn(
-        "_abs", absolute_url(F.col("href"), F.col("_p"))
-    )
-    a = with_url(a, F.col("_abs"), "_a").withColumn("_t", unwrap_redirect(F.col("_a")))
-    a = with_url(a, F.col("_t"), "_u").withColumn("_block", plain_text(F.col("context")))
+# The boards whose pages are read by their links, and how far around a link they look.
+LINK_FORMS = {"google_search": 600, "wellfound_search": 800, "ashby_search": 600}
+_SEARCH_HOME = "https://www.google.com/"
+
+
+def _found(block: Column, patterns: tuple[str, ...]) -> Column:
+    """First match of each pattern as text, the first that is not blank; empty when all are."""
+    texts = [plain_text(F.regexp_extract(block, p, 1)) for p in patterns]
+    return F.coalesce(F.get(F.filter(F.array(*texts), lambda t: t != ""), F.lit(0)), F.lit(""))
+
+
+def anchor_postings(pages: DataFrame, keep: list[str], source_type: Column | None = None) -> DataFrame:
+    """Postings that a page names by its links, for the three boards read that way.
+
+    ``pages``: url, html and ``source_type`` (or the column given); pages of other types give nothing.
+    One scan finds the links and the markup around them; each form then has its own rules:
+
+    * search results: redirects unwrapped, posting-like targets off the engine itself, company from the host,
+      place and date from the text 600 characters around; once per title and target.
+    * startup board: links to posting paths, company named in the markup 800 characters around (else none);
+      the first link to a target counts, even where it names no company.
+    * company board: title-like links within the board, company from the page title, place and date from the
+      markup 600 characters around; once per title and target.
+    """
+    kind = F.col("source_type") if source_type is None else source_type
+    p = pages.withColumn("_form", kind).filter(F.col("_form").isin(list(LINK_FORMS)))
+    search, startup, board = (F.col("_form") == f for f in LINK_FORMS)
+    width = F.when(startup, LINK_FORMS["wellfound_search"]).otherwise(LINK_FORMS["ashby_search"])
+    p = p.withColumn("_company", F.when(board, page_company(F.col("html"))))
+    found = scanned_links(p, ["url", *keep, "_form", "_company"], width, F.when(startup, "job_link").otherwise("link"))
+    a = with_url(found, F.when(search, F.lit(_SEARCH_HOME)).otherwise(F.col("url")), "_p")
+    a = a.withColumns({"title": plain_text(F.col("inner")), "_abs": absolute_url(F.col("href"), F.col("_p"))})
+    a = with_url(a, F.when(search, F.col("_abs")), "_a").withColumn("_t", unwrap_redirect(F.col("_a")))
+    target = F.when(search, F.col("_t")).when(startup, F.col("_abs")).otherwise(F.regexp_replace("_abs", r"[?#].*$", ""))
+    a = with_url(a.withColumn("target", target), F.col("target"), "_u")
+    size, own = F.length("title"), r"(?i)ashbyhq\.com"
+    inside = F.col("href").rlike(own) | F.col("href").startswith("/") | F.col("href").startswith("./")
     ok = (
-        ~is_google_host(F.col("_u")) & is_job_url(F.col("_t")) & F.length("text").between(4, 180)
+        F.when(search, ~is_google_host(F.col("_u")) & is_job_url(F.col("target")) & size.between(4, 180))
+        .when(startup, (F.col("target") != "") & (size >= 4))
+        .otherwise(looks_like_title(F.col("title")) & inside & F.col("_abs").rlike(own))
     )
-    rows = a.filter(ok).select(
-        *keep, "pos", F.col("text").alias("title"), F.col("_t").alias("target"),
-        host_company(F.col("_u")).alias("company"),
-        nonempty(F.regexp_extract("_block", bounded(ANCHOR_LOCATION), 1)).alias("location"),
-        nonempty(F.regexp_extract("_block", ANCHOR_POSTED, 1)).alias("posted_at"),
+    key = F.when(startup, F.col("target")).otherwise(F.concat_ws("|", F.lower("title"), F.lower("target")))
+    rows = filter_here(a, ok).withColumn("_k", key)
+    rows = rows.withColumn("_plain", F.when(search, plain_text(F.col("context"))))
+    raw = F.col("context")
+    company = F.when(search, host_company(F.col("_u"))).when(startup, _found(raw, STARTUP_NAME)).otherwise(company_of_title(F.col("_company")))
+    place = (
+        F.when(search, F.regexp_extract("_plain", bounded(ANCHOR_LOCATION), 1))
+        .when(startup, _found(raw, STARTUP_PLACE)).otherwise(plain_text(F.regexp_extract(raw, BOARD_PLACE, 0)))
     )
-    key = F.concat_ws("|", F.lower("title"), F.lower("target"))
-    return first_per_key(rows.withColumn("_k", key), [*keep, "_k"], F.col("pos")).drop("_k")
+    posted = F.when(search, F.regexp_extract("_plain", ANCHOR_POSTED, 1)).otherwise(_found(raw, BLOCK_POSTED))
+    given_id = F.when(startup, wellfound_id(F.col("_u"))).when(board, ashby_id(F.col("_u")))
+    facts = rows.select(
+        *keep, "_form", "_k", "pos", given_id.alias("external_id"), "title", company.alias("company"), place.alias("location"),
+        posted.alias("posted_at"), "_plain", "target",
+    )
+    # The first per key is picked on the facts, not on the markup; blanks turn to null after that.
+    once = first_per_key(facts, [*keep, "_form", "_k"], F.col("pos"))
+    once = once.withColumns({c: nonempty(F.col(c)) for c in ("external_id", "company", "location", "posted_at")})
+    once = once.withColumn("company", F.when(search, F.coalesce("company", F.lit("Unknown company"))).otherwise(F.col("company"))).filter("company IS NOT NULL")
+    named = F.concat_ws(" at ", "title", "company")
+    description = F.when(search, F.coalesce(nonempty(F.col("_plain")), F.concat(F.col("title"), F.lit(" via Google")))).otherwise(named)
+    summary = F.when(search, F.substring(description, 1, 320)).otherwise(named)
+    return once.withColumns({"summary": summary, "description": description}).drop("_form", "_k", "_plain")
 
 
-def board_urls(pages: DataFrame, domain: str = "jobs.ashbyhq.com") -> DataFrame:
-    """Distinct canonical board URLs linked from pages: origin plus first path segment."""
-    links = anchors(pages, ["url"])
-    a = with_url(links, F.col("url"), "_p").withColumn("_abs", absolute_url(F.col("href"), F.col("_p")))
-    a = with_url(a, F.col("_abs"), "_a").withColumn("_t", unwrap_redirect(F.col("_a")))
-    u = with_url(a, F.col("_t"), "_u")
-    board = F.regexp_extract("_u.path", r"^/([^/]+)", 1)
-    return u.filter((F.col("_u.host") == domain) & (board != "")).select(
-        F.concat(F.lit(f"https://{domain}/"), board).alias("board_url")
-    ).distinct()
+def search_result_postings(pages: DataFrame, keep: list[str]) -> DataFrame:
+    """Postings linked from a search page: the search form of ``anchor_postings``."""
+    return anchor_postings(pages, keep, F.lit("google_search")).select(*keep, "pos", "title", "target", "company", "location", "posted_at")
+
+
+# How a search page links a board, through its redirect and directly.
+BOARD_REDIRECT = r'(?i)href="/url\?q=([^"&]+)[^"]*"'
+BOARD_DIRECT = r'(?i)href="(https?://[^"]*ashbyhq\.com[^"]*)"'
+
+
+def board_urls(pages: DataFrame, domain: str = "ashbyhq.com", jobs: str = "jobs.ashbyhq.com") -> DataFrame:
+    """Distinct canonical board URLs linked from pages: one per company on the jobs host, else the host itself.
+
+    Redirect targets are percent-decoded. Pages give a handful of links each, which are made distinct in
+    the row before they meet others.
+    """
+    text_ = pages.select(decode_entities(F.col("html")).alias("_t"))
+    direct = F.regexp_extract_all("_t", F.lit(BOARD_DIRECT), F.lit(1))
+    hidden = F.transform(F.regexp_extract_all("_t", F.lit(BOARD_REDIRECT), F.lit(1)), lambda x: decode_component(x, "%2B"))
+    links = text_.select(F.explode(F.array_distinct(F.concat(hidden, direct))).alias("_link"))
+    u = with_url(links, F.trim("_link"), "_u")
+    host, company = F.col("_u.host"), F.regexp_extract("_u.path", r"^/+([^/]+)", 1)
+    url = F.when(host == jobs, F.concat(F.lit(f"https://{jobs}/"), company)).otherwise(F.concat(F.col("_u.scheme"), F.lit("://"), host, F.lit("/")))
+    return filter_here(u, F.col("_u.ok") & host.endswith(domain)).select(url.alias("board_url")).distinct()
 
 
 # ---- cards ----------------------------------------------------------------------------------
 
+# Markup of one card, of its skills, and of the dates kept beside the cards.
 CARD = r'<div id="job-card-(\d+)"[\s\S]*?(?=<div id="job-card-\d+"|<style onload=|</main>)'
 _SPAN = r'[\s\S]*?<span[^>]*class="font-barlow text-gray-04">([\s\S]*?)</span>'
 # Markers of a card's parts.
@@ -211,6 +268,7 @@ def cards(pages: DataFrame, keep: list[str]) -> DataFrame:
 
 # ---- embedded JSON ----------------------------------------------------------------------------
 
+# The scripts that carry postings as JSON, and the paths read from them.
 LD_SCRIPT = r'(?i)<script[^>]*type=["\']application/ld\+json["\'][^>]*>([\s\S]*?)</script>'
 STATE_SCRIPT = (
     r'(?i)<script[^>]*id=["\']__NEXT_DATA__["\'][^>]*type=["\']application/json["\'][^>]*>([\s\S]*?)</script>'
@@ -482,26 +540,56 @@ def first_wins(rows: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
     return first_per_key(keyed, [*keys, "_k"], F.col(pos)).drop("_k")
 
 
-def first_wins_two_keys(rows: DataFrame, page_keys: list[str], pos: str = "pos") -> DataFrame:
-    """Rows of a page whose id and role key no kept row before them has.
+SEQUENTIAL_ROWS = 10_000
+
 
-    A dropped row must not block later ones, so the order matters and one page is read in
-    sequence; ``page_keys`` name a single captured page, which bounds the group.
+def first_wins_two_keys(rows: DataFrame, page_keys: list[str], pos: str = "pos", in_one_task: int = SEQUENTIAL_ROWS) -> DataFrame:
+    """Rows whose id and role key no kept row before them has, within ``page_keys``.
+
+    A dropped row blocks nothing, so rows are decided in rounds: a row that is the first undecided one of its id
+    and of its role is kept, then all that share a key with it are dropped. Each round folds (key, first row) before
+    the exchange. Where chains of conflicts make rounds many, the last ``in_one_task`` undecided rows are decided
+    one after another per page, by their keys alone. Rows equal in ``pos`` count in the order they are stored in;
+    a row without id has only its role.
     """
     role = F.lower(F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in ("title", "company", "location")]))
-    keyed = rows.withColumns({"_id": F.coalesce("external_id", F.lit("")), "_role": role})
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen: set[tuple[str, str]] = set()
-        kept = []
-        for i, a, b in pdf.sort_values(pos)[["_id", "_role"]].itertuples():
-            marks = {("role", b)} | ({("id", a)} if a else set())
-            if not marks & seen:
-                seen |= marks
-                kept.append(i)
-        return pdf.loc[kept]
-
-    return keyed.groupBy(*page_keys).applyInPandas(keep, keyed.schema).drop("_id", "_role")
+    stored = settle(rows.withColumn("_n", F.monotonically_increasing_id()), "two-keys")
+    page = F.xxhash64(*page_keys) if page_keys else F.lit(0)
+    marks = stored.select(
+        F.struct(F.col(pos).alias("p"), "_n").alias("o"),
+        F.struct(*page_keys, F.lit("r").alias("_kind"), F.sha2(role, 256).alias("_mark")).alias("r"),
+        F.when(F.coalesce("external_id", F.lit("")) != "", F.struct(*page_keys, F.lit("i").alias("_kind"), F.sha2("external_id", 256).alias("_mark"))).alias("i"),
+        page.alias("_page"),
+    )
+    open_, kept = marks, []
+    while True:
+        n = open_.count()
+        if n <= in_one_task:
+            break
+        first = lambda k: open_.filter(F.col(k).isNotNull()).groupBy(F.col(k).alias("_key")).agg(F.min("o").alias(f"_{k}"))  # noqa: E731, B023
+        seen = open_.join(first("r"), F.col("r").eqNullSafe(F.col("_key"))).drop("_key").join(first("i"), F.col("i") == F.col("_key"), "left").drop("_key")
+        won = settle(seen.withColumn("_won", (F.col("o") == F.col("_r")) & (F.col("i").isNull() | (F.col("o") == F.col("_i")))).drop("_r", "_i"), "two-keys-round")
+        winners = won.filter("_won")
+        kept.append(winners.select("o._n"))
+        taken = lambda k: winners.filter(F.col(k).isNotNull()).select(F.col(k).alias("_key"))  # noqa: E731, B023
+        rest = won.filter("NOT _won").drop("_won")
+        rest = rest.join(taken("r"), F.col("r").eqNullSafe(F.col("_key")), "left_anti").join(taken("i"), F.col("i") == F.col("_key"), "left_anti")
+        open_ = settle(rest, "two-keys-open")
+
+    def one_by_one(pdf: pd.DataFrame) -> pd.DataFrame:
+        seen: set[str] = set()
+        out = []
+        for n, r, i in pdf.sort_values(["p", "_n"])[["_n", "r", "i"]].itertuples(index=False):
+            both = {r, i} if i else {r}
+            if not both & seen:
+                seen |= both
+                out.append(n)
+        return pd.DataFrame({"_n": out}, dtype="int64")
+
+    last = open_.select("_page", "o.p", "o._n", F.to_json("r").alias("r"), F.to_json("i").alias("i"))
+    kept.append(last.groupBy("_page").applyInPandas(one_by_one, "_n bigint"))
+    chosen = reduce(lambda a, b: a.unionByName(b), kept)
+    return stored.join(chosen, "_n", "left_semi").drop("_n")
 
 
 def page_growth(rows: DataFrame, keys: list[str], page: str = "page") -> DataFrame:

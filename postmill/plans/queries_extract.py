@@ -158,6 +158,49 @@ def q_page_title(spark, sf):
     return t.withColumn("named", named).select("page_id", h.company_of_title(F.col("named")).alias("company"))
 
 
+@query(
+    "q_anchor_postings",
+    sql("b_posting", """SELECT id, CAST(0 AS INT) AS pos, CASE num % 3 WHEN 1 THEN id WHEN 2 THEN id || '00000' END AS external_id, title, CASE num % 3 WHEN 0 THEN 'acme labs' ELSE company END AS company,
+ CASE num % 3 WHEN 0 THEN 'New York' WHEN 1 THEN location ELSE 'Office: ' || location END AS location, CASE num % 3 WHEN 0 THEN '2 days ago' WHEN 1 THEN '3 days ago' ELSE 'today' END AS posted_at,
+ CASE num % 3 WHEN 0 THEN 'https://boards.acme-labs.com/jobs/' || id WHEN 1 THEN 'https://startups.example.com/jobs/' || id || '-x' ELSE 'https://jobs.ashbyhq.com/acme/' || id || '00000' END AS target,
+ CASE num % 3 WHEN 0 THEN 'r: ' || title || ' New York 2 days ago Own link About us ' || title ELSE title || ' at ' || company END AS description FROM b_posting"""),
+)
+def q_anchor_postings(spark, sf):
+    """A page per posting, in the markup of one of the three boards, with links that do not count and links that repeat."""
+    n, title, own = F.col("num") % 3, F.col("title"), F.col("id")
+    join = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    search = join(
+        'r: <a href="/url?q=https%3A%2F%2Fboards.acme-labs.com%2Fjobs%2F', own, '&sa=U"><b>', title, '</b></a> New&#32;York 2 days ago ',
+        '<a href="https://www.google.com/jobs/x">Own link</a> <a href="https://x.y/about">About us</a> <a href="https://boards.acme-labs.com/jobs/', own, '">', title, "</a>",
+    )
+    startup = join(
+        '<a href="/about">About the board</a><div data-test="company-name-1">', F.col("company"), '</div><a href="/jobs/', own, '-x">', title, '</a><span class="job location">',
+        F.col("location"), '</span> 3 days ago <a href="/jobs/', own, '-x">Once more</a>',
+    )
+    board = join(
+        "<title>", F.col("company"), ' Jobs</title><a href="/acme/', own, '00000?utm=1">', title, "</a><p>Office: ", F.col("location"), "</p> today",
+        '<a href="./">all jobs</a><a href="https://elsewhere.org/a">Not on this board</a>',
+    )
+    form = F.element_at(F.array(*[F.lit(t) for t in extract.LINK_FORMS]), (n + 1).cast("int"))
+    url = F.element_at(F.array(F.lit("https://www.google.com/search?q=x"), F.lit("https://startups.example.com/l"), F.lit("https://jobs.ashbyhq.com/acme")), (n + 1).cast("int"))
+    pages = b.b_posting(spark, sf).select("id", url.alias("url"), form.alias("source_type"), F.when(n == 0, search).when(n == 1, startup).otherwise(board).alias("html"))
+    return extract.anchor_postings(pages, ["id"]).drop("summary")
+
+
+@query(
+    "q_boards",
+    sql("b_page", """SELECT DISTINCT unnest(['https://jobs.ashbyhq.com/co' || (page_id % 977), 'https://jobs.ashbyhq.com/', 'https://b' || (page_id % 13) || '.ashbyhq.com/']) AS board_url FROM b_page"""),
+)
+def q_boards(spark, sf):
+    """Every page links boards behind a redirect, directly, and on hosts of their own."""
+    n = F.col("page_id")
+    links = F.concat(
+        F.lit('<a href="/url?q=https%3A%2F%2Fjobs.ashbyhq.com%2Fco'), (n % 977).cast("string"), F.lit('%2F1&amp;sa=U">a</a><a href="https://jobs.ashbyhq.com/co'), (n % 977).cast("string"),
+        F.lit('?x#y">b</a><a href="https://jobs.ashbyhq.com">c</a><a href="https://b'), (n % 13).cast("string"), F.lit('.ashbyhq.com/about">d</a><a href="https://ashbyhq.com.example.org/co">e</a>'),
+    )
+    return extract.board_urls(b.b_page(spark, sf).select(F.concat("html", links).alias("html")))
+
+
 @query("q_host_company", sql("b_page", r"SELECT page_id, regexp_extract(url, '^https?://(?:[^/]*\.)?([^./]+)\.[a-z]+(?:[/?#]|$)', 1) AS company FROM b_page".replace("AS company", "AS c").replace("SELECT page_id, ", "SELECT page_id, replace(c, '-', ' ') AS company FROM (SELECT page_id, ") + ")"))
 def q_host_company(spark, sf):
     return with_url(b.b_page(spark, sf).drop("html"), F.col("url")).select("page_id", host_company(F.col("_u")).alias("company"))
@@ -223,6 +266,32 @@ def q_first_wins(spark, sf):
     return f.select("source_id", F.lower(F.coalesce("external_id", "url")).alias("key"), "pos", "title")
 
 
+# Rows of a page conflict by a short id and by two words of the title.
+k.cte(
+    "b_two_keys", "b_raw",
+    """SELECT source_id, substring(pos, 1, 6) AS page, pos, CASE WHEN external_id IS NOT NULL THEN right(company, 2) END AS external_id, regexp_extract(title, '^([^ ]+ [^ ]+)', 1) AS title FROM b_raw""",
+)
+
+
+@query(
+    "q_first_wins_two_keys",
+    sql("b_two_keys", """SELECT source_id, page, unnest(kept) AS pos FROM (SELECT source_id, page, arg_max(kept, r) AS kept FROM (
+WITH RECURSIVE numbered AS (SELECT *, lower(title) AS role, row_number() OVER (PARTITION BY source_id, page ORDER BY pos) AS r FROM b_two_keys),
+walk AS (SELECT source_id, page, CAST(0 AS BIGINT) AS r, CAST([] AS VARCHAR[]) AS seen, CAST([] AS VARCHAR[]) AS kept FROM numbered WHERE r = 1
+UNION ALL SELECT w.source_id, w.page, n.r,
+  CASE WHEN list_contains(w.seen, 'r' || n.role) OR list_contains(w.seen, 'i' || coalesce(n.external_id, '')) THEN w.seen WHEN n.external_id IS NULL THEN list_append(w.seen, 'r' || n.role) ELSE list_concat(w.seen, ['r' || n.role, 'i' || n.external_id]) END,
+  CASE WHEN list_contains(w.seen, 'r' || n.role) OR list_contains(w.seen, 'i' || coalesce(n.external_id, '')) THEN w.kept ELSE list_append(w.kept, n.pos) END
+ FROM walk w JOIN numbered n ON n.source_id = w.source_id AND n.page = w.page AND n.r = w.r + 1) SELECT * FROM walk) GROUP BY 1, 2)"""),
+)
+def q_first_wins_two_keys(spark, sf):
+    raw = b.b_raw(spark, sf)
+    rows = raw.select(
+        "source_id", F.substring("pos", 1, 6).alias("page"), "pos", F.when(F.col("external_id").isNotNull(), F.substring("company", -2, 2)).alias("external_id"),
+        F.regexp_extract("title", "^([^ ]+ [^ ]+)", 1).alias("title"), F.lit(None).cast("string").alias("company"), F.lit(None).cast("string").alias("location"),
+    )
+    return extract.first_wins_two_keys(rows, ["source_id", "page"]).select("source_id", "page", "pos")
+
+
 @query(
     "q_page_growth",
     sql("b_raw", f"""SELECT g.source_id, g.page, g.new_rows, s.stop_page FROM (SELECT p.source_id, p.page, count(f.key) AS new_rows FROM (SELECT DISTINCT source_id, substring(pos, 1, 8) AS page FROM b_raw) p

@@ -57,7 +57,14 @@ def test_search_result_links(spark):
 def test_boards(spark):
     body = '<a href="/url?q=https://jobs.ashbyhq.com/acme/123">a</a><a href="https://jobs.ashbyhq.com/acme?x">b</a><a href="https://jobs.ashbyhq.com/">c</a>'
     p = spark.createDataFrame([(1, "https://www.google.com/search", body)], "page_id int, url string, html string")
-    assert [r.board_url for r in extract.board_urls(p).collect()] == ["https://jobs.ashbyhq.com/acme"]
+    # The root of the jobs host counts as a board of its own.
+    assert sorted(r.board_url for r in extract.board_urls(p).collect()) == ["https://jobs.ashbyhq.com/", "https://jobs.ashbyhq.com/acme"]
+
+
+def test_boards_off_the_jobs_host_and_malformed_links(spark):
+    body = '<a href="/url?q=https%3A%2F%2Fjobs.ashbyhq.com%2F%2Fzed&amp;sa=U">a</a><a href="https://app.ashbyhq.com/x?y">b</a><a href="https://jobs.ashbyhq.com">c</a><a href="http://evil.org/ashbyhq.com">d</a><a href="/url?q=%zz">e</a>'
+    got = extract.board_urls(spark.createDataFrame([("", body), ("", None)], "url string, html string")).collect()
+    assert sorted(r.board_url for r in got) == ["https://app.ashbyhq.com/", "https://jobs.ashbyhq.com/", "https://jobs.ashbyhq.com/zed"]
 
 
 def test_context_is_the_text_around_each_link(spark):
@@ -104,6 +111,68 @@ def test_two_key_first_wins_lets_dropped_rows_block_nothing(rows):
     assert sorted(r.pos for r in extract.first_wins_two_keys(df, ["page"]).collect()) == [0, 2, 4]
 
 
+def test_two_key_rounds_equal_the_sequential_rule(rows):
+    import random
+
+    rng = random.Random(5)
+    data = []
+    for i in range(600):  # a third of page 1 has one id, chains cross pages, positions tie never
+        data.append({"page": rng.choice([1, 1, 2]), "pos": i, "external_id": rng.choice([None, "", "hot", str(rng.randrange(60))]), "title": f"T{rng.randrange(90)}"})
+    data += [{"page": 9, "pos": i, "external_id": f"c{i // 2}", "title": f"C{(i + 1) // 2}"} for i in range(60)]  # one chain
+    df = rows(data, "page int, pos int, external_id string, title string, company string, location string")
+    want, seen = set(), set()
+    for r in sorted(data, key=lambda r: r["pos"]):
+        marks = {(r["page"], "r", r["title"].lower())} | ({(r["page"], "i", r["external_id"])} if r["external_id"] else set())
+        if not marks & seen:
+            seen |= marks
+            want.add((r["page"], r["pos"]))
+    for bound in (10_000, 100):
+        assert {(r.page, r.pos) for r in extract.first_wins_two_keys(df, ["page"], in_one_task=bound).collect()} == want
+    assert extract.first_wins_two_keys(df.limit(0), ["page"]).count() == 0
+
+
+def test_startup_links_by_the_markup_around(spark):
+    far = "x" * 900
+    body = (
+        '<a href="/jobs/7-a">No company near</a>' + far + '<div data-testid="startup-name">Acme &amp; Co</div><a class="c" href="/jobs/8-b"><b>Data</b> Lead</a>'
+        '<div data-test="location">Paris</div> 3 weeks ago <a href="/jobs/9">abc</a><a href="/jobs/8-b">Later text</a>' + far + '<span class="company name">Late</span><a href="/jobs/7-a">Again</a>'
+    )
+    p = spark.createDataFrame([(1, "https://w.org/l", "wellfound_search", body), (2, "https://w.org/l", "indeed_search", body), (3, "u", "wellfound_search", None)], "page_id int, url string, source_type string, html string")
+    got = [(r.page_id, r.pos, r.external_id, r.title, r.company, r.location, r.posted_at, r.target, r.summary) for r in extract.anchor_postings(p, ["page_id"]).collect()]
+    # The first link to a target decides, and the first of /jobs/7-a has no company near it.
+    assert got == [(1, 1, "8", "Data Lead", "Acme & Co", "Paris", "3 weeks ago", "https://w.org/jobs/8-b", "Data Lead at Acme & Co")]
+
+
+def test_board_links_take_the_company_of_the_page(spark):
+    body = (
+        '<title>Careers at Acme</title><a href="/acme/12345?x#y">Data Lead</a> Remote in Europe<br>yesterday<a href="jobs.html">Not inside</a>'
+        '<a href="https://jobs.ashbyhq.com/acme/12345">data lead</a><a href="./b">View all</a><a href="./abcdefabcdefabcdefabcdef">Team lead</a>'
+    )
+    p = spark.createDataFrame([(1, "https://jobs.ashbyhq.com/acme", body), (2, "https://jobs.ashbyhq.com/acme", body.replace("Careers at Acme", " "))], "page_id int, url string, html string")
+    got = sorted((r.page_id, r.title, r.external_id, r.company, r.location, r.posted_at, r.target) for r in extract.anchor_postings(p, ["page_id"], F.lit("ashby_search")).collect())
+    assert got == [
+        (1, "Data Lead", "12345", "Acme", "Remote in Europe", "yesterday", "https://jobs.ashbyhq.com/acme/12345"),
+        (1, "Team lead", "abcdefabcdefabcdefabcdef", "Acme", "Remote in Europe", "yesterday", "https://jobs.ashbyhq.com/./abcdefabcdefabcdefabcdef"),
+    ]
+
+
+def test_plans_of_the_extractors_stay_small(spark):
+    """Entity decoding names its input once, so no plan grows with the number of entities or steps."""
+    p = spark.createDataFrame([(1, "https://b.org/l", "<a>", "ashby_search")], "page_id int, url string, html string, source_type string")
+    found = {
+        "search": extract.search_result_postings(p, ["page_id"]), "boards": extract.board_urls(p), "links": extract.anchor_postings(p, ["page_id"]), "titles": extract.title_anchors(p, ["page_id"]),
+        "json": extract.jsonld_postings(p, ["page_id"]), "state": extract.state_postings(p, ["page_id"]), "cards": extract.cards(p, ["page_id"]), "facts": extract.detail_facts(p, "page_id"),
+    }
+    spark.conf.set("spark.sql.debug.maxToStringFields", "100000")
+    sizes = {n: len(df._jdf.queryExecution().optimizedPlan().toString()) for n, df in found.items()}
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert {n: s for n, s in sizes.items() if s > 400_000} == {}
+    from postmill.functions.html import decode_entities
+
+    once = spark.range(1).select(decode_entities(F.upper(F.concat(F.lit("mark"), F.col("id").cast("string")))))
+    assert once._jdf.queryExecution().analyzed().toString().lower().count("upper(") == 1
+
+
 SNAP = """- main [ref=e0]:
   - button "PM Dismiss PM job" [ref=e1] [cursor=pointer]:
     - generic [ref=e2]: Product Manager (Verified job)
