@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import decontaminate, embeddings, minhash, mixing, quality, secrets, sharding, suffixes, toxicity, warc
+from postmill.llm import decontaminate, divergence, embeddings, importance, minhash, mixing, quality, rules, secrets, sharding, suffixes, toxicity, warc
 from postmill.llm.words import configured, table
 from postmill.operators.settle import new_path
 
@@ -84,3 +84,20 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_suffix_repeats", suffixes.SQL)
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return suffixes.repeat_digest(table(spark, sf, "documents"))
+
+
+@query("op11_source_divergence", divergence.SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf, "documents"))
+
+
+@query("op12_importance_resample", importance.SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    found = importance.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op13_quality_rules")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    found = rules.quality_rules(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
