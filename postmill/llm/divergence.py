@@ -20,8 +20,8 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,30 +30,34 @@ from postmill.operators.settle import settle
 from postmill.operators.skew import top_n_per_key
 
 SCALE = 1_000_000_000
-HELD = 300_000  # (group, term) entries a counting task holds before it passes them on
-BUFFER = 20_000  # rows of a group before a task cuts them down to their skyband
+HELD = 800_000  # entries of (group, term) and (language, term) a counting task holds before it passes them on
+BUFFER = 300_000  # rows a task holds before it cuts them down to their skybands
 TILE = 64  # sources on one side of a tile
 BUCKET_ROWS = 100_000  # rows of a term bucket, about
 OUT = ("lang", "source", "part", "item", "value", "rank")
 
 
 def term_counts(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
-    """lang, source, term, n (occurrences), docs: summed per task; a group without terms has one row with an empty term."""
+    """lang, source, term, n (occurrences), docs, summed per task. Documents are counted per language, in rows without a
+    source; every group has one row with an empty term."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         occurrences: dict[tuple[str, str], Counter] = {}
-        documents: dict[tuple[str, str], Counter] = {}
+        documents: dict[str, Counter] = {}
+
+        def batch(lang_, source_, terms, n, with_it):
+            size = len(terms)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([lang_] * size, pa.string()), pa.array([source_] * size, pa.string()), binary(terms), pa.array(n, pa.int64()), pa.array(with_it, pa.int64())],
+                names=["lang", "source", "term", "n", "docs"],
+            )
 
         def rows():
             for (lang_, source_), found in occurrences.items():
                 found[b""] += 0
-                terms = list(found)
-                with_it = documents[lang_, source_]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang_] * len(terms), pa.string()), pa.array([source_] * len(terms), pa.string()), binary(terms),
-                     pa.array(list(found.values()), pa.int64()), pa.array([with_it[t] for t in terms], pa.int64())],
-                    names=["lang", "source", "term", "n", "docs"],
-                )
+                yield batch(lang_, source_, list(found), list(found.values()), [0] * len(found))
+            for lang_, found in documents.items():
+                yield batch(lang_, None, list(found), [0] * len(found), list(found.values()))
             occurrences.clear()
             documents.clear()
 
@@ -61,11 +65,11 @@ def term_counts(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame
         for b in batches:
             for group, data in zip(zip(b.column("lang").to_pylist(), b.column("source").to_pylist()), b.column("text").to_pylist()):
                 found = words(data, LETTERS)
-                n, d = occurrences.setdefault(group, Counter()), documents.setdefault(group, Counter())
-                held -= len(n)
+                n, d = occurrences.setdefault(group, Counter()), documents.setdefault(group[0], Counter())
+                held -= len(n) + len(d)
                 n.update(found)
                 d.update(set(found))
-                held += len(n)
+                held += len(n) + len(d)
                 if held > HELD:
                     yield from rows()
                     held = 0
@@ -78,60 +82,60 @@ def term_counts(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame
     return partial.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
-def skyband_rows(n: np.ndarray, total: np.ndarray, term: np.ndarray, k: int) -> np.ndarray:
-    """Places of the rows that fewer than k others dominate: n at least as high, total at most as high, term earlier.
+def skyband_rows(group: np.ndarray, n: np.ndarray, total: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Places of the rows that fewer than k others of their group dominate: n at least as high, total at most as high, ``at`` lower.
 
-    Dominators come first in the order of (n falling, total, term). It is enough to count those that are kept: what a
-    dropped row dominates, its k dominators dominate as well.
+    Of rows equal in n and total only the first k can stay. Dominators come first in the order of (n falling, total, at), and it
+    is enough to count those that are kept: what a dropped row dominates, its k dominators dominate as well.
     """
-    at = np.empty(len(term), np.int64)
-    at[np.argsort(term, kind="stable")] = np.arange(len(term))
-    order = np.lexsort((at, total, -n))
+    order = np.lexsort((at, total, -n, group))
+    g, n_, t_ = group[order], n[order], total[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (g[1:] != g[:-1]) | (n_[1:] != n_[:-1]) | (t_[1:] != t_[:-1])
+    starts = np.flatnonzero(new)
+    order = order[np.arange(len(order)) - starts[np.cumsum(new) - 1] < k] if len(order) else order
     kept: list[np.ndarray] = []
-    for start in range(0, len(order), 256):
-        rows = order[start : start + 256]
-        before = np.zeros(len(rows), np.int64)
-        for other in kept:
-            before += ((total[other][None, :] <= total[rows][:, None]) & (at[other][None, :] < at[rows][:, None])).sum(1)
-        rows, before = rows[before < k], before[before < k]
-        if not len(rows):
+    for rows_of in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+        if len(rows_of) <= k:  # too few for anyone to have k dominators
+            kept.append(rows_of)
             continue
-        inside = np.tril((total[rows][None, :] <= total[rows][:, None]) & (at[rows][None, :] < at[rows][:, None]), -1)
-        taken = np.zeros(len(rows), bool)
-        for i in range(len(rows)):
-            taken[i] = before[i] + np.count_nonzero(inside[i] & taken) < k
-        kept.append(rows[taken])
-    return np.concatenate(kept) if kept else np.empty(0, np.int64)
+        band = rows_of[:k]
+        for start in range(k, len(rows_of), 256):
+            rows = rows_of[start : start + 256]
+            before = ((total[band][None, :] <= total[rows][:, None]) & (at[band][None, :] < at[rows][:, None])).sum(1)
+            rows, before = rows[before < k], before[before < k]
+            inside = np.tril((total[rows][None, :] <= total[rows][:, None]) & (at[rows][None, :] < at[rows][:, None]), -1)
+            taken = before + inside.sum(1) < k  # these stay whichever of the chunk do
+            for i in np.flatnonzero(~taken):
+                taken[i] = before[i] + np.count_nonzero(inside[i] & taken) < k
+            band = np.concatenate([band, rows[taken]])
+        kept.append(band)
+    return np.concatenate(kept) if kept else order
 
 
 def skyband(counted: DataFrame, k: int) -> DataFrame:
     """The k-skyband of each group's rows within each partition; rows are lang, source, term, n, total."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[str, str], list[pd.DataFrame]] = {}
-        sizes: Counter = Counter()
-
-        def reduced(group) -> pd.DataFrame:
-            rows = pd.concat(held[group], ignore_index=True)
-            # Strings in code point order are in UTF-8 order.
-            return rows.iloc[skyband_rows(rows["n"].to_numpy(np.int64), rows["total"].to_numpy(np.int64), rows["term"].to_numpy(object), k)]
+    def reduced(table: pa.Table) -> pa.Table:
+        code = lambda c: table.column(c).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        at = np.empty(len(table), np.int64)
+        at[pc.sort_indices(table.column("term")).to_numpy()] = np.arange(len(table))  # by bytes, so in UTF-8 order
+        group = code("lang") * (1 << 32) + code("source")
+        return table.take(pa.array(np.sort(skyband_rows(group, table.column("n").to_numpy(), table.column("total").to_numpy(), at, k))))
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for b in batches:
-            for group, rows in b.groupby(["lang", "source"], sort=False):
-                held.setdefault(group, []).append(rows)
-                sizes[group] += len(rows)
-                if sizes[group] > BUFFER:
-                    held[group] = [reduced(group)]
-                    sizes[group] = len(held[group][0]) // 2
-            if sum(sizes.values()) > 20 * BUFFER:
-                for group in held:
-                    yield reduced(group)
-                held.clear()
-                sizes.clear()
-        for group in held:
-            yield reduced(group)
-
-    return counted.select("lang", "source", "term", "n", "total").mapInPandas(cut, "lang string, source string, term string, n long, total long")
+            held.append(pa.Table.from_batches([b]))
+            if sum(map(len, held)) > BUFFER:
+                held = [reduced(pa.concat_tables(held))]
+                if len(held[0]) > BUFFER // 2:  # many groups: what they keep is passed on
+                    yield from held[0].combine_chunks().to_batches()
+                    held = []
+        if held:
+            yield from reduced(pa.concat_tables(held)).combine_chunks().to_batches()
+
+    return counted.select("lang", "source", "term", "n", "total").mapInArrow(cut, "lang string, source string, term string, n long, total long")
 
 
 def _share(n, size, kept) -> Column:
@@ -206,10 +210,10 @@ def divergence(docs: DataFrame, top: int = 200, min_docs: int = 3, text: str = "
     counts = settle(term_counts(docs, text, lang, source), "divergence-counts")
     kept = counts.filter("term <> ''").groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs)
     kept = kept.select("lang", "term", "total")
-    counted = settle(counts.select("lang", "source", "term", "n").join(kept, ["lang", "term"]), "divergence-kept")
+    counted = settle(counts.filter("source IS NOT NULL").select("lang", "source", "term", "n").join(kept, ["lang", "term"]), "divergence-kept")
     langs = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("total").alias("lang_size"))
     sizes = counted.groupBy("lang", "source").agg(F.sum("n").alias("size"))
-    groups = counts.filter("term = ''").select("lang", "source").join(sizes, ["lang", "source"], "left").join(langs, "lang", "left")
+    groups = counts.filter("term = '' AND source IS NOT NULL").select("lang", "source").join(sizes, ["lang", "source"], "left").join(langs, "lang", "left")
     groups = groups.fillna(0, ["size", "kept", "lang_size"]).withColumn("zero", _share("0", "size", "kept"))
     groups = settle(groups, "divergence-groups")
 

@@ -83,8 +83,9 @@ def test_hostile_and_empty_tables(spark):
 def test_skyband_of_random_rows_equals_the_definition():
     rng = np.random.default_rng(1)
     for k in (1, 3, 10):
-        n, total = rng.integers(1, 9, 700), rng.integers(1, 30, 700)
-        term = np.array([f"t{i}" for i in rng.permutation(700)], object)
-        got = set(divergence.skyband_rows(n, total, term, k))
-        want = {i for i in range(700) if ((n >= n[i]) & (total <= total[i]) & (term < term[i])).sum() < k}
+        group, n, total, at = rng.integers(0, 3, 2000), rng.integers(1, 9, 2000), rng.integers(1, 30, 2000), rng.permutation(2000)
+        got = set(divergence.skyband_rows(group, n, total, at, k))
+        want = {i for i in range(2000) if ((group == group[i]) & (n >= n[i]) & (total <= total[i]) & (at < at[i])).sum() < k}
         assert got == want
+    none = np.empty(0, np.int64)
+    assert len(divergence.skyband_rows(none, none, none, none, 3)) == 0
