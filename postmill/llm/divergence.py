@@ -38,34 +38,40 @@ OUT = ("lang", "source", "part", "item", "value", "rank")
 
 
 def term_counts(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
-    """lang, source, term, n (occurrences), docs, summed per task. Documents are counted per language, in rows without a
-    source; every group has one row with an empty term."""
+    """lang, source, term, n (occurrences), total (those of the language) and docs (documents of the language with the term).
+
+    A row without a source stands for the term in its language; every group has a row with an empty term. Each task sums its
+    documents and passes on one row per (lang, term) with its counts by source, so one exchange brings all counts of a term
+    together, where they are summed per source and over sources.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        occurrences: dict[tuple[str, str], Counter] = {}
+        occurrences: dict[str, dict[str, Counter]] = {}
         documents: dict[str, Counter] = {}
 
-        def batch(lang_, source_, terms, n, with_it):
-            size = len(terms)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([lang_] * size, pa.string()), pa.array([source_] * size, pa.string()), binary(terms), pa.array(n, pa.int64()), pa.array(with_it, pa.int64())],
-                names=["lang", "source", "term", "n", "docs"],
-            )
-
         def rows():
-            for (lang_, source_), found in occurrences.items():
-                found[b""] += 0
-                yield batch(lang_, source_, list(found), list(found.values()), [0] * len(found))
-            for lang_, found in documents.items():
-                yield batch(lang_, None, list(found), [0] * len(found), list(found.values()))
+            for lang_, by_source in occurrences.items():
+                by_source = {None: documents[lang_], **by_source}
+                for found in by_source.values():
+                    found[b""] += 0
+                terms = binary([t for found in by_source.values() for t in found]).dictionary_encode()
+                code = terms.indices.to_numpy(zero_copy_only=False)
+                order = np.argsort(code, kind="stable")
+                names = pa.DictionaryArray.from_arrays(np.repeat(np.arange(len(by_source), dtype=np.int32), [len(f) for f in by_source.values()])[order], pa.array(list(by_source), pa.string()))
+                n = pa.array(np.fromiter((x for found in by_source.values() for x in found.values()), np.int64)[order])
+                starts = np.searchsorted(code[order], np.arange(len(terms.dictionary) + 1)).astype(np.int32)
+                found = pa.ListArray.from_arrays(pa.array(starts), pa.StructArray.from_arrays([names.cast(pa.string()), n], names=["source", "n"]))
+                for start in range(0, len(found), 20_000):
+                    part = found.slice(start, 20_000)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang_] * len(part), pa.string()), terms.dictionary.slice(start, 20_000), part], names=["lang", "term", "found"])
             occurrences.clear()
             documents.clear()
 
         held = 0
         for b in batches:
-            for group, data in zip(zip(b.column("lang").to_pylist(), b.column("source").to_pylist()), b.column("text").to_pylist()):
+            for lang_, source_, data in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "text"))):
                 found = words(data, LETTERS)
-                n, d = occurrences.setdefault(group, Counter()), documents.setdefault(group[0], Counter())
+                n, d = occurrences.setdefault(lang_, {}).setdefault(source_, Counter()), documents.setdefault(lang_, Counter())
                 held -= len(n) + len(d)
                 n.update(found)
                 d.update(set(found))
@@ -78,8 +84,13 @@ def term_counts(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame
     named = docs.select(
         F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), raw(F.col(text)).alias("text")
     )
-    partial = named.mapInArrow(count, "lang string, source string, term binary, n long, docs long")
-    return partial.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    dealt = named.mapInArrow(count, "lang string, term binary, found array<struct<source: string, n: long>>").repartition("lang", "term")
+    flat = dealt.select("lang", F.col("term"), F.inline("found"))
+    summed = flat.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
+    whole = Window.partitionBy("lang", "term")
+    return summed.withColumns({
+        "total": F.coalesce(F.sum(F.expr("IF(source IS NOT NULL, n, 0)")).over(whole), F.lit(0)), "docs": F.coalesce(F.sum(F.expr("IF(source IS NULL, n, 0)")).over(whole), F.lit(0)),
+    }).withColumn("term", F.col("term").cast("string"))
 
 
 def skyband_rows(group: np.ndarray, n: np.ndarray, total: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
@@ -207,13 +218,12 @@ def divergence(docs: DataFrame, top: int = 200, min_docs: int = 3, text: str = "
     keeps no term, its pairs have value 0. Ties rank by UTF-8. Repeated rows count as documents of their own. A table
     without rows gives none. Other columns are not read, whatever their names.
     """
-    counts = settle(term_counts(docs, text, lang, source), "divergence-counts")
-    kept = counts.filter("term <> ''").groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs)
-    kept = kept.select("lang", "term", "total")
-    counted = settle(counts.filter("source IS NOT NULL").select("lang", "source", "term", "n").join(kept, ["lang", "term"]), "divergence-kept")
-    langs = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("total").alias("lang_size"))
+    counts = term_counts(docs, text, lang, source).filter((F.col("term") == "") | (F.col("docs") >= min_docs))
+    counts = settle(counts.select("lang", "source", "term", "n", "total"), "divergence-counts")
+    counted = counts.filter("source IS NOT NULL AND term <> ''")
+    langs = counts.filter("source IS NULL AND term <> ''").groupBy("lang").agg(F.count("*").alias("kept"), F.sum("total").alias("lang_size"))
     sizes = counted.groupBy("lang", "source").agg(F.sum("n").alias("size"))
-    groups = counts.filter("term = '' AND source IS NOT NULL").select("lang", "source").join(sizes, ["lang", "source"], "left").join(langs, "lang", "left")
+    groups = counts.filter("source IS NOT NULL AND term = ''").select("lang", "source").join(sizes, ["lang", "source"], "left").join(langs, "lang", "left")
     groups = groups.fillna(0, ["size", "kept", "lang_size"]).withColumn("zero", _share("0", "size", "kept"))
     groups = settle(groups, "divergence-groups")
 
