@@ -37,7 +37,6 @@ from postmill.functions.terms import (
     unique,
     work_types,
 )
-from postmill.operators.settle import settle
 from postmill.operators.skew import join_one_per_key, top_n_per_key
 from postmill.params import CRITERIA_WEIGHTS, SOURCE_POINTS, Criteria, Profile
 
@@ -363,31 +362,6 @@ def _with_score(staged: DataFrame, c: Criteria, name: str) -> DataFrame:
     return staged.withColumn(name, F.when(hard_block(c, t).isNotNull(), 0).otherwise(capped).cast("int"))
 
 
-def score_users(postings: DataFrame, users: DataFrame, as_of: Column, n: int, per_scan: int = 8) -> DataFrame:
-    """Best ``n`` postings of every user: user_id, rank, id, score.
-
-    ``users``: user_id and columns named like the fields of ``Criteria``. Users with equal criteria share one
-    scoring: each distinct set is scored once, ``per_scan`` sets in one scan of the postings, whose best rows are
-    written. A plan holds that many sets at most, however many users there are.
-    """
-    fields = [f.name for f in dataclasses.fields(Criteria) if f.name in users.columns]
-    keyed = users.withColumn("_set", F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256))
-    sets = keyed.groupBy("_set").agg(*[F.first(f).alias(f) for f in fields]).orderBy("_set").collect()
-    facts = settle(with_facts(with_content_path(postings), as_of))
-    best = []
-    for start in range(0, len(sets), per_scan):
-        staged, cells = facts, []
-        for i, row in enumerate(sets[start:start + per_scan]):
-            staged = _with_score(staged, Criteria(**{f: row[f] for f in fields if row[f] is not None}), f"_s{i}")
-            cells.append(F.struct(F.lit(row["_set"]).alias("_set"), F.col(f"_s{i}").alias("score")))
-        scored = staged.select("id", F.inline(F.array(*cells)))
-        best.append(settle(top_n_per_key(scored, ["_set"], [F.col("score").desc(), F.col("id")], n)))
-    if not best:
-        return users.select("user_id", F.lit(0).alias("rank"), F.lit("").alias("id"), F.lit(0).alias("score")).limit(0)
-    ranked = reduce(DataFrame.unionByName, best)
-    return keyed.select("user_id", "_set").join(ranked, "_set").select("user_id", "rank", "id", "score")
-
-
 def score_many(postings: DataFrame, criteria: dict[str, Criteria], as_of: Column) -> DataFrame:
     """Bucket counts and mean score per criteria set, one scan for all of them.
 

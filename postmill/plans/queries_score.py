@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from postmill.functions.core import iso
 from postmill.operators import filters, profiles, quality, scoring, views
+from postmill.operators.criteria_sets import best_for_users
 from postmill.params import Criteria, Profile
 from postmill.plans import bindings as b
 from postmill.plans import sqlkit as k
@@ -132,25 +133,43 @@ def q_score_multi(spark, sf):
     return scoring.score_many(b.b_posting(spark, sf), CRITERIA, b.ts(AS_OF))
 
 
-_SEGMENTS = ("automobile", "building", "furniture", "household", "machinery")
-for _s in _SEGMENTS:
-    k.cte(f"b_user_{_s}", "b_facts", ss.criteria(Criteria(title=_s, keywords="urgent; high", min_salary=100000), "b_facts"))
+# Every customer has criteria of their own; a few are equal.
+_WORDS = ("urgent; high", "low", "specified, not", "medium and 3; pm", "")
+
+
+def criteria_of_customers(spark, sf):
+    n = F.col("c_custkey")
+    words = F.element_at(F.array(*[F.lit(x) for x in _WORDS]), (n % len(_WORDS) + 1).cast("int"))
+    return b.table(spark, sf, "customer").select(
+        n.alias("user_id"), F.when(n % 4 != 0, F.lower("c_mktsegment")).otherwise("").alias("title"), words.alias("keywords"), F.when(n % 3 == 0, "or").alias("keyword_mode"),
+        F.when(n % 6 == 0, "nation_3").when(n % 6 == 1, "NATION_7, east").alias("location"), F.when(n % 5 == 0, F.array(F.lit("nation_2"), F.lit("4-"))).alias("exclude"),
+        F.when(n % 7 == 0, "urgent").alias("hard_include"), F.when(n % 8 != 0, (n % 89 + 20) * 1000.0).alias("min_salary"), F.when(n % 2 == 0, "1m").otherwise("any").alias("date_posted"),
+    )
+
+
+_KW = "CASE c_custkey % 5 WHEN 0 THEN ['urgent', 'high'] WHEN 1 THEN ['low'] WHEN 2 THEN ['specified', 'not'] WHEN 3 THEN ['medium', '3', 'pm'] ELSE [] END"
 
 
 @query(
     "q_score_users",
     sql(
-        " ".join(f"b_user_{s}" for s in _SEGMENTS),
-        "SELECT c_custkey AS user_id, rank, id, score FROM customer JOIN (SELECT *, CAST(row_number() OVER (PARTITION BY segment ORDER BY score DESC, id) AS INT) AS rank FROM ("
-        + " UNION ALL ".join(f"SELECT '{s}' AS segment, id, score FROM b_user_{s}" for s in _SEGMENTS)
-        + ")) r ON r.segment = lower(c_mktsegment) AND rank <= 3",
+        "b_facts",
+        f"""SELECT user_id, CAST(rank AS INT) AS rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, id) AS rank FROM (
+SELECT user_id, id, CAST(CASE WHEN blocked THEN 0 WHEN title <> '' AND NOT th THEN least(raw, 25) ELSE raw END AS INT) AS score FROM (
+SELECT *, CASE WHEN total = 0 THEN 0 ELSE least(100, floor((CASE WHEN title <> '' AND th THEN 35 ELSE 0 END
+   + CASE WHEN len(kws) = 0 THEN 0.0::DOUBLE WHEN any_kw THEN CASE WHEN kw > 0 THEN 25.0::DOUBLE ELSE 0 END WHEN kw >= len(kws) THEN 25.0::DOUBLE ELSE 25.0::DOUBLE * (kw::DOUBLE / len(kws)) * 0.5 END
+   + CASE WHEN loc <> '' AND fl <> '' AND (contains(fl, loc) OR contains(loc, fl)) THEN 15 ELSE 0 END + CASE WHEN sal > 0 AND fs >= sal THEN 15 ELSE 0 END
+   + CASE WHEN fd <= days THEN 10 ELSE 0 END)::DOUBLE / total * 100 + 0.5)) END AS raw
+FROM (SELECT u.*, f.id, f.ft, f.fl, f.fs, f.fd, f.ft <> '' AND contains(f.ft, u.title) AS th, len(list_filter(u.kws, lambda x: contains(f.tx, x))) AS kw,
+   (u.exc AND (contains(f.tx, 'nation_2') OR contains(f.tx, '4-'))) OR (u.inc AND NOT contains(f.tx, 'urgent')) AS blocked
+ FROM b_facts f, (SELECT *, CASE WHEN title <> '' THEN 35 ELSE 0 END + CASE WHEN len(kws) > 0 THEN 25 ELSE 0 END + CASE WHEN loc <> '' THEN 15 ELSE 0 END + CASE WHEN sal > 0 THEN 15 ELSE 0 END + CASE WHEN days IS NOT NULL THEN 10 ELSE 0 END AS total
+   FROM (SELECT c_custkey AS user_id, CASE WHEN c_custkey % 4 <> 0 THEN lower(c_mktsegment) ELSE '' END AS title, CAST({_KW} AS VARCHAR[]) AS kws, c_custkey % 3 = 0 AS any_kw,
+     CASE c_custkey % 6 WHEN 0 THEN 'nation_3' WHEN 1 THEN 'nation_7, east' ELSE '' END AS loc, c_custkey % 5 = 0 AS exc, c_custkey % 7 = 0 AS inc,
+     CASE WHEN c_custkey % 8 <> 0 THEN (c_custkey % 89 + 20) * 1000 ELSE 0 END AS sal, CASE WHEN c_custkey % 2 = 0 THEN 30 END AS days FROM customer)) u)))) WHERE rank <= 3""",
     ),
 )
 def q_score_users(spark, sf):
-    users = b.table(spark, sf, "customer").select(
-        F.col("c_custkey").alias("user_id"), F.lower("c_mktsegment").alias("title"), F.lit("urgent; high").alias("keywords"), F.lit(100000).alias("min_salary")
-    )
-    return scoring.score_users(b.b_posting(spark, sf), users, b.ts(AS_OF), 3, per_scan=2)
+    return best_for_users(b.b_posting(spark, sf), criteria_of_customers(spark, sf), b.ts(AS_OF), 3)
 
 
 @query(

@@ -122,3 +122,46 @@ def test_hard_filter_defers_content_on_snippets(rows):
 def test_sources_without_a_rule_keep_their_rows(rows):
     r = rows([], RULE)
     assert filters.hard_filter(rows([{"source_id": "x", "title": "t"}], RAW), r).first().drop_reason is None
+
+
+def test_criteria_sets_equal_one_set_at_a_time(rows, spark, monkeypatch):
+    """Random sets and postings: every rank equals the score of the set compiled alone, for closed and open sets, in one tile or many."""
+    import dataclasses
+    import random
+
+    from postmill.operators import criteria_sets
+
+    rng = random.Random(11)
+    words = ["senior", "product manager", "pm", "ai", "ml engineer", "data", "x", "go", "lead", "llm", "remote", "berlin"]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(rng.randrange(n)))
+    jobs = [
+        job(id=f"{i:03d}", title=some(4), location=rng.choice(["Berlin, DE", "Berlin", "Paris", "", None]), description=some(9), salary_text=rng.choice(["$150,000", "$90,000", None]),
+            posted_at=AS_OF - dt.timedelta(days=rng.randrange(60)))
+        for i in range(60)
+    ]
+    sets = [Criteria(), Criteria(location="berlin"), Criteria(min_salary=100000, date_posted="2w"), Criteria(title="zzz", min_salary=100000), Criteria(hard_include=("nowhere",), min_salary=1)]
+    for _ in range(25):
+        pick = lambda k: tuple(rng.sample(words, rng.randrange(k)))
+        sets.append(Criteria(
+            title=rng.choice(["", "product manager", "senior pm", "ml engineer", "data and ai"]), keywords=", ".join(pick(4)), keyword_mode=rng.choice(["", "or"]), hard_include=pick(2),
+            hard_include_mode=rng.choice(["", "or"]), exclude=pick(2), location=rng.choice(["", "berlin", "greater berlin, de"]), date_posted=rng.choice(["any", "1m"]), min_salary=rng.choice([None, 100000.0]),
+        ))
+    df = rows(jobs, DDL)
+    fields = [f.name for f in dataclasses.fields(Criteria)]
+    lists = {"hard_include", "hard_exclude", "score_keywords", "include", "exclude"}
+    ddl = "user_id int, " + ", ".join(f"{f} {'array<string>' if f in lists else 'double' if f == 'min_salary' else 'string'}" for f in fields)
+    data = [(i, *[list(getattr(c, f)) if f in lists else getattr(c, f) if f != "min_salary" or c.min_salary is None else float(c.min_salary) for f in fields]) for i, c in enumerate([*sets, sets[1]])]
+    users = spark.createDataFrame(data, ddl)
+    want = {}
+    for i, c in enumerate([*sets, sets[1]]):
+        if i == len(sets):
+            want |= {(i, r): v for (u, r), v in want.items() if u == 1}
+            continue
+        scored = sorted((-r.score, r.id) for r in scoring.score_criteria(df, c, F.lit(AS_OF)).select("id", "score").collect())
+        want |= {(i, k): (x[1], -x[0]) for k, x in enumerate(scored[:4], 1)}
+    got = {(r.user_id, r["rank"]): (r.id, r.score) for r in criteria_sets.best_for_users(df, users, F.lit(AS_OF), 4).collect()}
+    assert got == want
+    monkeypatch.setattr(criteria_sets, "POSTINGS_PER_TILE", 7)
+    monkeypatch.setattr(criteria_sets, "SETS_PER_TILE", 4)
+    got = {(r.user_id, r["rank"]): (r.id, r.score) for r in criteria_sets.best_for_users(df, users, F.lit(AS_OF), 4).collect()}
+    assert got == want
