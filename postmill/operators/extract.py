@@ -44,6 +44,7 @@ from postmill.functions.url import (
     with_board_ids,
     with_url,
 )
+from postmill.operators.conflicts import SEQUENTIAL_ROWS, first_set
 from postmill.operators.settle import settle
 from postmill.operators.skew import filter_here, first_per_key, join_one_per_key, top_n_per_key
 from postmill.params import DETAIL_TYPES
@@ -540,56 +541,21 @@ def first_wins(rows: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
     return first_per_key(keyed, [*keys, "_k"], F.col(pos)).drop("_k")
 
 
-SEQUENTIAL_ROWS = 10_000
-
-
 def first_wins_two_keys(rows: DataFrame, page_keys: list[str], pos: str = "pos", in_one_task: int = SEQUENTIAL_ROWS) -> DataFrame:
     """Rows whose id and role key no kept row before them has, within ``page_keys``.
 
-    A dropped row blocks nothing, so rows are decided in rounds: a row that is the first undecided one of its id
-    and of its role is kept, then all that share a key with it are dropped. Each round folds (key, first row) before
-    the exchange. Where chains of conflicts make rounds many, the last ``in_one_task`` undecided rows are decided
-    one after another per page, by their keys alone. Rows equal in ``pos`` count in the order they are stored in;
+    A dropped row blocks nothing (``conflicts.first_set``). Rows equal in ``pos`` count in the order they are stored in;
     a row without id has only its role.
     """
     role = F.lower(F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in ("title", "company", "location")]))
     stored = settle(rows.withColumn("_n", F.monotonically_increasing_id()), "two-keys")
-    page = F.xxhash64(*page_keys) if page_keys else F.lit(0)
+    key = lambda value: F.sha2(F.to_json(F.struct(*page_keys, value.alias("_mark")), {"ignoreNullFields": "false"}), 256)
     marks = stored.select(
-        F.struct(F.col(pos).alias("p"), "_n").alias("o"),
-        F.struct(*page_keys, F.lit("r").alias("_kind"), F.sha2(role, 256).alias("_mark")).alias("r"),
-        F.when(F.coalesce("external_id", F.lit("")) != "", F.struct(*page_keys, F.lit("i").alias("_kind"), F.sha2("external_id", 256).alias("_mark"))).alias("i"),
-        page.alias("_page"),
+        F.struct(F.col(pos).alias("p"), "_n").alias("o"), key(role).alias("a"),
+        F.when(F.coalesce("external_id", F.lit("")) != "", key(F.col("external_id"))).alias("b"),
+        (F.xxhash64(*page_keys) if page_keys else F.lit(0).cast("bigint")).alias("_page"),
     )
-    open_, kept = marks, []
-    while True:
-        n = open_.count()
-        if n <= in_one_task:
-            break
-        first = lambda k: open_.filter(F.col(k).isNotNull()).groupBy(F.col(k).alias("_key")).agg(F.min("o").alias(f"_{k}"))  # noqa: E731, B023
-        seen = open_.join(first("r"), F.col("r").eqNullSafe(F.col("_key"))).drop("_key").join(first("i"), F.col("i") == F.col("_key"), "left").drop("_key")
-        won = settle(seen.withColumn("_won", (F.col("o") == F.col("_r")) & (F.col("i").isNull() | (F.col("o") == F.col("_i")))).drop("_r", "_i"), "two-keys-round")
-        winners = won.filter("_won")
-        kept.append(winners.select("o._n"))
-        taken = lambda k: winners.filter(F.col(k).isNotNull()).select(F.col(k).alias("_key"))  # noqa: E731, B023
-        rest = won.filter("NOT _won").drop("_won")
-        rest = rest.join(taken("r"), F.col("r").eqNullSafe(F.col("_key")), "left_anti").join(taken("i"), F.col("i") == F.col("_key"), "left_anti")
-        open_ = settle(rest, "two-keys-open")
-
-    def one_by_one(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen: set[str] = set()
-        out = []
-        for n, r, i in pdf.sort_values(["p", "_n"])[["_n", "r", "i"]].itertuples(index=False):
-            both = {r, i} if i else {r}
-            if not both & seen:
-                seen |= both
-                out.append(n)
-        return pd.DataFrame({"_n": out}, dtype="int64")
-
-    last = open_.select("_page", "o.p", "o._n", F.to_json("r").alias("r"), F.to_json("i").alias("i"))
-    kept.append(last.groupBy("_page").applyInPandas(one_by_one, "_n bigint"))
-    chosen = reduce(lambda a, b: a.unionByName(b), kept)
-    return stored.join(chosen, "_n", "left_semi").drop("_n")
+    return stored.join(first_set(settle(marks, "two-keys-marks"), in_one_task), "_n", "left_semi").drop("_n")
 
 
 def page_growth(rows: DataFrame, keys: list[str], page: str = "page") -> DataFrame:

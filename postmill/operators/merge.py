@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions.core import half_up, nonempty
+from postmill.operators.conflicts import SEQUENTIAL_ROWS, first_set
 from postmill.operators.settle import settle
 from postmill.operators.skew import first_per_key, join_one_per_key
 from postmill.params import RETENTION_DAYS, STATUSES
@@ -21,56 +22,39 @@ SIGNATURE = ["source_id", "source_url", *[c for c in UPDATED if c != "updated_at
 
 # ---- matching -------------------------------------------------------------------------------
 
-def resolve_incoming(base: DataFrame, incoming: DataFrame, pos: str = "pos") -> DataFrame:
-    """Incoming rows folded to one per stored row, with ``surviving_id`` and ``matched``.
+def resolve_incoming(base: DataFrame, incoming: DataFrame, pos: str = "pos", in_one_task: int = SEQUENTIAL_ROWS) -> DataFrame:
+    """Incoming rows folded to one per stored row, with ``surviving_id`` and ``matched``: what upserts one row at a time leave.
 
-    A row matches by id, else by (source_id, source_url): two equi-joins instead of one
-    join on an OR. Copies inside the batch are folded before the joins and the last one
-    wins; new rows that share an id or a URL become one.
+    A row goes to the row with its id, else to the one with its (source_id, source_url), stored before or made by a row
+    before it. A row that finds neither makes a new stored row under its own id and URL; rows after it find that one, while a row that went
+    elsewhere leaves its id and URL free. So the makers are the rows of which neither key was taken by a maker before
+    them. Only keys and positions are matched and folded; the payload of the last row of each target, and of its
+    maker, is fetched once. Rows with equal ``pos`` count in the order they are stored in.
     """
-    rest = [c for c in incoming.columns if c not in ("id", "source_id", "source_url", pos)]
-    folded = incoming.groupBy("id", "source_id", "source_url").agg(
-        F.max_by(F.struct(*rest), pos).alias("_v"),
-        F.min(pos).alias("_first"),
-        F.max(pos).alias("_last"),
-    )
-    # Read several times below, so both steps are written once.
-    folded = settle(folded)
+    rows = settle(incoming.withColumn("_n", F.monotonically_increasing_id()), "incoming")
     url_key = F.to_json(F.struct("source_id", "source_url"))
+    keys = rows.select("id", url_key.alias("_uk"), F.struct(F.col(pos).alias("p"), "_n").alias("o"))
     by_id = base.select("id", F.lit(True).alias("_by_id"))
     by_url = base.select(url_key.alias("_uk"), F.col("id").alias("_url_id"))
-    j = join_one_per_key(
-        folded.join(by_id, "id", "left").withColumn("_uk", url_key), by_url, "_uk"
-    )
-    stored = F.when(F.col("_by_id"), F.col("id")).otherwise(F.col("_url_id"))
-    j = settle(j.withColumn("_stored", stored).drop("_by_id", "_url_id"))
-    j = _resolve_new(j).withColumn("surviving_id", F.coalesce("_stored", "_new_id"))
-    head = F.struct("source_id", "source_url")
-    one = j.groupBy("surviving_id").agg(
-        F.max_by("_v", "_last").alias("_v"),
-        F.min_by(head, "_first").alias("_h"),
-        F.bool_or(F.col("_stored").isNotNull()).alias("matched"),
+    j = join_one_per_key(join_one_per_key(keys, by_id, "id"), by_url, "_uk")
+    j = settle(j, "incoming-keys")
+    new = j.filter("_by_id IS NULL AND _url_id IS NULL").groupBy("id", "_uk").agg(F.min("o").alias("o"))
+    marks = settle(new.select("o", F.col("_uk").alias("a"), F.col("id").alias("b"), F.lit(0).cast("bigint").alias("_page")), "incoming-new")
+    makers = marks.join(first_set(marks, in_one_task).withColumnRenamed("_n", "_maker"), F.col("o._n") == F.col("_maker"), "left_semi")
+    by_id = makers.select(F.col("b").alias("id"), F.col("o").alias("_made"))
+    by_url = makers.select(F.col("a").alias("_uk"), F.col("b").alias("_url_maker"))
+    j = join_one_per_key(join_one_per_key(j, by_id, "id"), by_url, "_uk")
+    own = F.when(F.col("_by_id") | (F.col("_made") <= F.col("o")), F.col("id"))
+    target = j.withColumn("surviving_id", F.coalesce(own, "_url_id", "_url_maker")).groupBy("surviving_id").agg(
+        F.max("o").alias("_last"), F.min("o").alias("_first"), F.bool_or(F.coalesce((F.col("surviving_id") == F.col("_url_id")) | F.col("_by_id"), F.lit(False))).alias("matched")
     )
-    return one.select("surviving_id", "matched", "_h.*", *[F.col("_v")[c].alias(c) for c in rest])
-
-
-def _resolve_new(rows: DataFrame) -> DataFrame:
-    """Add ``_new_id``: the id under which a row that is not stored yet survives.
-
-    A row creates a stored one when both its id and its URL occur for the first time. Later
-    rows follow the creator of their id, else the creator of their URL, else stay themselves.
-    """
-    new = rows.filter("_stored IS NULL").select("id", "_uk", "_first")
-    first_url = new.groupBy("_uk").agg(F.min(F.struct("_first", "id")).alias("u"))
-    first_id = new.groupBy("id").agg(F.min(F.struct("_first", "_uk")).alias("i"))
-    makers = first_url.select("_uk", F.col("u.id").alias("id"), "u._first").join(
-        first_id.select("id", F.col("i._uk").alias("_uk"), F.col("i._first").alias("_f")), ["id", "_uk"]
-    ).filter("_first = _f").select("id", "_uk")
-    by_id = makers.select("id", F.lit(True).alias("_made"))
-    by_url = makers.select("_uk", F.col("id").alias("_maker"))
-    j = join_one_per_key(rows.join(by_id, "id", "left"), by_url, "_uk")
-    follow = F.coalesce(F.when(F.col("_made"), F.col("id")), F.col("_maker"), F.col("id"))
-    return j.withColumn("_new_id", follow).drop("_made", "_maker")
+    target = settle(target, "incoming-targets")
+    fresh = [c for c in incoming.columns if c in UPDATED]
+    made = [c for c in incoming.columns if c not in (*UPDATED, "id", pos)]
+    last = rows.select(F.col("_n").alias("_l"), *fresh)
+    first = rows.select(F.col("_n").alias("_f"), *made)
+    whole = target.join(last, F.col("_last._n") == F.col("_l")).join(first, F.col("_first._n") == F.col("_f"))
+    return whole.select("surviving_id", "matched", *[c for c in incoming.columns if c not in ("id", pos)])
 
 
 def upsert_postings(base: DataFrame, incoming: DataFrame, pos: str = "pos") -> DataFrame:

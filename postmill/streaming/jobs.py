@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from postmill.operators import quality
 from postmill.operators.run import refresh
@@ -29,26 +29,68 @@ def live_event_counters(events: DataFrame, lateness: str = "10 minutes", width:
     )
 
 
-def once_per_capture(captures: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """A capture that is sent again within the watermark passes only once."""
-    return captures.withWatermark("captured_at", lateness).dropDuplicatesWithinWatermark(
-        ["source_id", "captured_at"]
+# ---- captures that are sent or recorded again ---------------------------------------------------
+
+CAPTURE = ["source_id", "captured_at"]
+
+
+def latest_captures(captures: DataFrame, lateness: str = "1 hour", recorded: str = "recorded_at") -> DataFrame:
+    """Captures with ``version`` and ``op``: a capture recorded again replaces the earlier record.
+
+    The state of a (source_id, captured_at) holds the last version and its content's hash until the watermark passes
+    it. The first record comes out as ``insert``; one with other content as ``replace`` with the next version, in order
+    of ``recorded`` within a batch; one with the same content, a replay, not at all. A record older than the last
+    one seen changes nothing. ``current_captures`` reads the result.
+    """
+    timed = captures.withWatermark("captured_at", lateness)
+    payload = [c for c in captures.columns if c not in (*CAPTURE, recorded)]
+    hashed = timed.withColumns({"_hash": F.xxhash64(*payload), "_seen": F.unix_micros(recorded), "_at": F.unix_micros("captured_at")})
+    schema = StructType([*captures.schema.fields, StructField("version", LongType()), StructField("op", StringType())])
+
+    def step(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        version, held, seen = state.get if state.exists else (0, 0, np.iinfo(np.int64).min)
+        rows = pd.concat(list(batches)).sort_values(["_seen", "_hash"], kind="stable")
+        out = []
+        for i, (h, at) in enumerate(zip(rows["_hash"], rows["_seen"])):
+            if at >= seen and (not version or h != held):
+                version, held = version + 1, int(h)
+                out.append((i, version, "insert" if version == 1 else "replace"))
+            seen = max(seen, int(at))
+        state.update((version, held, seen))
+        # The state is kept for as long as a record of this capture is not late.
+        state.setTimeoutTimestamp(max(int(rows["_at"].iloc[0]) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        if out:
+            picked = rows.iloc[[i for i, _, _ in out]].drop(columns=["_hash", "_seen", "_at"])
+            yield picked.assign(version=[v for _, v, _ in out], op=[o for _, _, o in out])[schema.fieldNames()]
+
+    return hashed.groupBy(*CAPTURE).applyInPandasWithState(
+        step, schema, "version bigint, held bigint, seen bigint", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
+def current_captures(versions: DataFrame) -> DataFrame:
+    """The last version of every capture, from the rows that ``latest_captures`` has written."""
+    return first_per_key(versions, CAPTURE, -F.col("version"))
+
+
 # ---- throttle -----------------------------------------------------------------------------------
 
 AUDIT_DDL = (
     "event_id bigint, source_id string, at bigint, reason string, next_eligible bigint, events_today bigint"
 )
-STATE_DDL = "last_live bigint, cooldown_until bigint, day bigint, n bigint"
+HELD = ["at", "event_id", "outcome", "cooldown", "min_interval", "daily_cap"]
+STATE_DDL = (
+    "last_live bigint, cooldown_until bigint, day bigint, n bigint, last_at bigint, "
+    "at array<bigint>, event_id array<bigint>, outcome array<string>, cooldown array<bigint>, min_interval array<bigint>, daily_cap array<bigint>"
+)
 NEVER = np.iinfo(np.int64).min
 
 
-def _judge(key, batches, state: GroupState):
-    """One micro-batch of one source: running maxima and day counts as array operations."""
-    rows = pd.concat(list(batches)).sort_values(["at", "event_id"], kind="stable")
-    live0, cool0, day0, n0 = state.get if state.exists else (NEVER, NEVER, -1, 0)
+def _judged(rows: pd.DataFrame, live0: int, cool0: int, day0: int, n0: int) -> tuple[pd.DataFrame, tuple[int, int, int, int]]:
+    """Verdicts of one source's events in order, from and to a state: running maxima and day counts as array operations."""
     at = rows["at"].to_numpy()
     ok = np.where(rows["outcome"] == "success", at, NEVER)
     cool = np.where(rows["outcome"] == "challenge", at + rows["cooldown"].to_numpy() * MINUTE, NEVER)
@@ -62,35 +104,52 @@ def _judge(key, batches, state: GroupState):
     waiting = opens > at
     reason = np.select([cooling, capped, waiting], ["cooldown", "daily_cap", "min_interval"], "eligible")
     nxt = np.select([cooling, capped, waiting], [until, (day + 1) * DAY, opens], NEVER)
-    last = day[-1]
-    state.update((int(live_all[-1]), int(cool_all[-1]), int(last), int(today[-1]) + 1))
-    yield pd.DataFrame(
-        {
-            "event_id": rows["event_id"].to_numpy(),
-            "source_id": key[0],
-            "at": at,
-            "reason": reason,
-            "next_eligible": pd.array([None if v == NEVER else int(v) for v in nxt], dtype="Int64"),
-            "events_today": today.astype("int64"),
-        }
-    )
+    verdicts = pd.DataFrame({
+        "event_id": rows["event_id"].to_numpy(), "at": at, "reason": reason,
+        "next_eligible": pd.array([None if v == NEVER else int(v) for v in nxt], dtype="Int64"), "events_today": today.astype("int64"),
+    })
+    return verdicts, (int(live_all[-1]), int(cool_all[-1]), int(day[-1]), int(today[-1]) + 1)
 
 
-def throttle_stream(events: DataFrame, profile: str = "safe") -> DataFrame:
-    """Audit of every event against the state kept per source.
+def throttle_stream(events: DataFrame, profile: str = "safe", lateness: str = "10 minutes", idle_days: int = 2) -> DataFrame:
+    """Audit of every event against the state kept per source, in event time.
 
-    Rows of a source are ordered inside a micro-batch, so the trigger's input limit also
-    bounds the rows one key brings to a task. Batches must arrive in time order.
+    Events wait in the source's state until the watermark has passed them, then they are judged in the order of
+    (at, event_id), so batches may arrive in any order within ``lateness``; what is later than that is dropped. A timer at
+    the first waiting event wakes a source that gets no more events; one that has been quiet for ``idle_days`` (longer
+    than any interval, cooldown or day) has no state that could change a verdict, and loses it.
     """
-    p = with_policy(events, profile).select(
-        "event_id", "source_id", F.unix_micros("at").alias("at"), "outcome",
+    p = with_policy(events.withWatermark("at", lateness), profile).select(
+        "event_id", "source_id", "at", F.unix_micros("at").alias("micros"), "outcome",
         F.col("cooldown").cast("bigint").alias("cooldown"),
         F.col("min_interval").cast("bigint").alias("min_interval"),
         F.col("daily_cap").cast("bigint").alias("daily_cap"),
     )
-    return p.groupBy("source_id").applyInPandasWithState(
-        _judge, AUDIT_DDL, STATE_DDL, "append", GroupStateTimeout.NoTimeout
-    )
+
+    def step(key, batches, state: GroupState):
+        held = state.get if state.exists else (NEVER, NEVER, -1, 0, 0, *([] for _ in HELD))
+        waiting = pd.DataFrame(dict(zip(HELD, (list(x or []) for x in held[5:]))))
+        if not state.hasTimedOut:
+            fresh = pd.concat(list(batches)).drop(columns="at").rename(columns={"micros": "at"})[HELD]
+            waiting = pd.concat([waiting, fresh], ignore_index=True) if len(waiting) else fresh
+        passed = state.getCurrentWatermarkMs() * 1000
+        waiting = waiting.sort_values(["at", "event_id"], kind="stable", ignore_index=True)
+        due = waiting[waiting["at"] <= passed] if len(waiting) else waiting
+        rest = waiting.iloc[len(due):]
+        known, last_at = held[:4], held[4]
+        if len(due):
+            verdicts, known = _judged(due, *known)
+            last_at = int(due["at"].iloc[-1])
+            verdicts.insert(1, "source_id", key[0])
+            yield verdicts
+        until = int(rest["at"].iloc[0]) if len(rest) else last_at + idle_days * DAY
+        if not len(rest) and until <= passed:
+            state.remove()
+            return
+        state.update((*known, last_at, *(rest[c].tolist() for c in HELD)))
+        state.setTimeoutTimestamp(max(until // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+
+    return p.groupBy("source_id").applyInPandasWithState(step, AUDIT_DDL, STATE_DDL, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ---- ingest ---------------------------------------------------------------------------------------
@@ -140,17 +199,23 @@ def health_batches(
     """Rate all sources after each micro-batch of run outcomes.
 
     The history is one table of the newest ``keep`` runs per source; a run that is recorded again replaces
-    the earlier record. Each batch writes the next state of the history from the one before.
+    the earlier record. Each batch writes the next version of the history from the one before and commits it by a row
+    that is written last; a new checkpoint goes on from the latest version.
     """
     def step(batch: DataFrame, number: int) -> None:
-        fresh = batch.withColumn("_batch", F.lit(number))
-        if number:
-            fresh = fresh.unionByName(spark.read.parquet(f"{history}/batch={number - 1}").withColumn("_batch", F.lit(number - 1)))
-        latest = first_per_key(fresh, ["source_id", "run_id"], -F.col("_batch")).drop("_batch")
-        known = top_n_per_key(latest, ["source_id"], [F.col("captured_at").desc(), F.col("run_id")], keep).select(*batch.columns)
-        known.write.mode("overwrite").parquet(f"{history}/batch={number}")
-        rated = quality.source_health(spark.read.parquet(f"{history}/batch={number}"), sources, as_of)
-        rated.write.mode("overwrite").parquet(f"{report}/batch={number}")
+        known = {(r["checkpoint"], r["number"]): r["version"] for r in _committed(spark, history).collect()}
+        version = known.get((checkpoint, number), max(known.values(), default=-1) + 1)
+        fresh = batch.withColumn("_v", F.lit(version))
+        if version:
+            fresh = fresh.unionByName(spark.read.parquet(f"{history}/v={version - 1}").withColumn("_v", F.lit(version - 1)))
+        latest = first_per_key(fresh, ["source_id", "run_id"], -F.col("_v")).drop("_v")
+        newest = top_n_per_key(latest, ["source_id"], [F.col("captured_at").desc(), F.col("run_id")], keep).select(*batch.columns)
+        newest.write.mode("overwrite").parquet(f"{history}/v={version}")
+        rated = quality.source_health(spark.read.parquet(f"{history}/v={version}"), sources, as_of)
+        rated.write.mode("overwrite").parquet(f"{report}/v={version}")
+        if (checkpoint, number) not in known:
+            row = spark.createDataFrame([(checkpoint, number, version)], "checkpoint string, number bigint, version bigint")
+            row.coalesce(1).write.mode("append").parquet(f"{history}/versions")
 
     return (
         runs.writeStream.foreachBatch(step)

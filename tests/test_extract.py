@@ -169,7 +169,7 @@ def test_plans_of_the_extractors_stay_small(spark):
     assert {n: s for n, s in sizes.items() if s > 400_000} == {}
     from postmill.functions.html import decode_entities
 
-    once = spark.range(1).select(decode_entities(F.upper(F.concat(F.lit("mark"), F.col("id").cast("string")))))
+    once = spark.range(1).select(decode_entities(F.upper(F.concat(F.lit("mark"), F.col("id").cast("string")))).alias("x"))
     assert once._jdf.queryExecution().analyzed().toString().lower().count("upper(") == 1
 
 

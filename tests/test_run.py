@@ -15,7 +15,7 @@ STATUS = "job_id string, status string, notes string, last_action_at timestamp,
 def raw(spark):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     rows = qq.raw_runs(spark, SF).filter("source_id in ('src0', 'src4')").drop("captured_at", "description_source")
-    return rows.withColumn("external_id", F.lit(None).cast("string")).cache()
+    return rows.cache()
 
 
 def ids(df):

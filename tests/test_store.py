@@ -48,6 +48,37 @@ def test_upsert_keeps_identity_and_last_copy_wins(rows):
     assert sorted(map(str, again.drop("change").collect())) == sorted(map(str, m.drop("change").collect()))
 
 
+def test_upsert_equals_one_row_at_a_time_on_random_chains(rows):
+    """Ids and URLs that cross over many rows, copies that come before and after the maker of their id, one hot URL."""
+    import random
+
+    rng = random.Random(2)
+    base = [post(i, source_url=f"u{i}") for i in range(6)]
+    batch = []
+    for n in range(400):
+        i, u = rng.randrange(80), "hot" if rng.random() < 0.2 else f"u{rng.randrange(80)}"
+        batch.append(post(i, source_url=u, source_id=rng.choice(["s", "s", "t"]), title=f"t{n}", created_at=T0 + dt.timedelta(hours=n), updated_at=T0 + dt.timedelta(hours=n)))
+    batch += [post(f"c{n}", source_url=f"cu{n // 2}") for n in range(30)] + [post(f"c{(n + 1) // 2 * 2}", source_url=f"cu{n + 40}") for n in range(30)]
+    store = {r["id"]: dict(r, change="kept") for r in base}
+    urls = {(r["source_id"], r["source_url"]): r["id"] for r in base}
+    for r in batch:
+        at = r["id"] if r["id"] in store else urls.get((r["source_id"], r["source_url"]))
+        if at is None:
+            store[r["id"]] = dict(r, change="inserted")
+            urls[r["source_id"], r["source_url"]] = r["id"]
+        else:
+            old = store[at]
+            change = "inserted" if old["change"] == "inserted" else "updated"
+            store[at] = {**old, **{c: r[c] for c in r if c in merge.UPDATED}, "change": change}
+    cols = ["id", "source_id", "source_url", "title", "created_at", "updated_at", "change"]
+    want = sorted(tuple(r[c] for c in cols) for r in store.values())
+    b, new = rows(base, DDL), incoming(rows, *batch)
+    assert sorted(tuple(r[c] for c in cols) for r in merge.upsert_postings(b, new).collect()) == want
+    # The same in rounds on Spark, down to the last row.
+    resolved = merge.resolve_incoming(b, new, in_one_task=0)
+    assert sorted((r["surviving_id"], r["title"], r["source_url"]) for r in resolved.filter("NOT matched").collect()) == sorted((x[0], x[3], x[2]) for x in want if x[6] == "inserted")
+
+
 def test_prune_spares_rekeyed_seen_and_other_sources(rows):
     base = rows([post(1), post(2), post(3), post(4), post(5, source_id="other")], DDL)
     status = rows([{"job_id": "job-3", "status": "applied"}, {"job_id": "job-4", "status": "viewed"}], "job_id string, status string")

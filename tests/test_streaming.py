@@ -38,31 +38,71 @@ def test_counters_equal_batch(spark, tmp_path):
     assert sorted(map(tuple, live.collect())) == sorted(map(tuple, batch.collect()))
 
 
-def test_throttle_equals_audit(spark, tmp_path):
-    e = b.b_refresh(spark, SF).withColumn("_o", F.unix_micros("at").cast("double"))
-    parts(e, str(tmp_path / "in"), "_o")
-    s = jobs.file_stream(spark, str(tmp_path / "in"), e.drop("_o").schema)
-    q = jobs.throttle_stream(s, "probe").writeStream.outputMode("append").format("memory").queryName("thr").option("checkpointLocation", str(tmp_path / "ck")).start()
-    drain(q)
-    got = {r.event_id: (r.reason, r.next_eligible, r.events_today) for r in spark.table("thr").collect()}
-    want = {r.event_id: (r.reason, r.next_eligible, r.events_today) for r in throttle.refresh_audit(b.b_refresh(spark, SF), "probe").collect()}
+EVENT = "event_id long, source_id string, source_type string, at timestamp, outcome string, mode string"
+
+
+def audited(spark, path, ddl, ck, lateness, name):
+    s = jobs.file_stream(spark, path, spark.createDataFrame([], ddl).schema)
+    q = jobs.throttle_stream(s, "probe", lateness).writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", ck).start()
+    q.processAllAvailable()
+    kept = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    q.stop()
+    return {r.event_id: (r.reason, r.next_eligible, r.events_today) for r in spark.table(name).collect()}, kept
+
+
+def test_throttle_equals_audit_for_batches_out_of_order(spark, tmp_path):
+    e = b.b_refresh(spark, SF).cache()
+    ddl, path = ", ".join(f"{n} {t}" for n, t in e.dtypes), str(tmp_path / "in")
+    for i in (2, 0, 1):  # every batch has events of all times
+        e.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == i).coalesce(1).write.mode("append").parquet(path)
+    last = e.limit(1).withColumns({"event_id": F.lit(-1).cast("bigint"), "source_id": F.lit("far"), "at": F.lit("2040-01-01 00:00:00").cast("timestamp")})
+    last.coalesce(1).write.mode("append").parquet(path)
+    got, kept = audited(spark, path, ddl, str(tmp_path / "ck"), "900 days", "thr")
+    want = {r.event_id: (r.reason, r.next_eligible, r.events_today) for r in throttle.refresh_audit(e, "probe").collect()}
     assert got == want and len({v[0] for v in want.values()}) >= 3
-
-
-def test_replayed_captures_pass_once(spark, tmp_path):
-    rows = [("a", dt.datetime(2024, 1, 1, 1), 1), ("a", dt.datetime(2024, 1, 1, 1), 2), ("b", dt.datetime(2024, 1, 1, 1), 3)]
-    ddl = "source_id string, captured_at timestamp, n int"
-    for part in (rows, rows[:1]):
-        spark.createDataFrame(part, ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    s = jobs.file_stream(spark, str(tmp_path / "in"), spark.createDataFrame(rows, ddl).schema)
-    drain(jobs.once_per_capture(s).writeStream.format("memory").queryName("once").start())
-    assert sorted(r.source_id for r in spark.table("once").collect()) == ["a", "b"]
+    assert kept == 1  # all sources but the far one have been quiet for long and lost their state
+
+
+def test_throttle_drops_what_is_later_than_the_watermark(spark, tmp_path):
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    event = lambda n, m, outcome="success", s="a": (n, s, "indeed_search", at(m), outcome, "manual")
+    path, ck = str(tmp_path / "in"), str(tmp_path / "ck")
+    batches = [[event(2, 12), event(1, 5, "challenge")], [event(3, 60)], [event(4, 61), event(5, 1)], [event(6, 300, s="b")]]
+    for i, batch in enumerate(batches):
+        spark.createDataFrame(batch, EVENT).coalesce(1).write.mode("append").parquet(path)
+    got, kept = audited(spark, path, EVENT, ck, "10 minutes", "late")
+    # Event 5 is 60 minutes older than the newest; event 6 still waits for the watermark.
+    on_time = spark.createDataFrame([r for batch in batches for r in batch if r[0] not in (5, 6)], EVENT)
+    assert got == {r.event_id: (r.reason, r.next_eligible, r.events_today) for r in throttle.refresh_audit(on_time, "probe").collect()}
+    assert kept == 2
+
+
+def test_a_capture_recorded_again_replaces_the_first(spark, tmp_path):
+    hour = lambda h: dt.datetime(2024, 1, 1, h)
+    ddl = "source_id string, captured_at timestamp, recorded_at timestamp, n int, note string"
+    batches = [
+        [("a", hour(1), hour(2), 1, None), ("b", hour(1), hour(2), 5, "x")],
+        [("a", hour(1), hour(3), 2, "again"), ("b", hour(1), hour(3), 5, "x")],  # b is a replay
+        [("a", hour(1), hour(2), 9, "older record")],
+        [("c", hour(9), hour(9), 7, None), ("c", hour(9), hour(10), 8, None)],
+        [("c", hour(9), hour(10), 8, None)],  # what is late is judged by the watermark of the batch before
+        [("a", hour(1), hour(11), 3, "too late")],
+    ]
+    for batch in batches:
+        spark.createDataFrame(batch, ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = jobs.file_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], ddl).schema)
+    q = jobs.latest_captures(s).writeStream.outputMode("append").format("memory").queryName("versions").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    kept = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    q.stop()
+    log = spark.table("versions")
+    assert sorted((r.source_id, r.version, r.op, r.n) for r in log.collect()) == [("a", 1, "insert", 1), ("a", 2, "replace", 2), ("b", 1, "insert", 5), ("c", 1, "insert", 7), ("c", 2, "replace", 8)]
+    assert sorted((r.source_id, r.n, r.note) for r in jobs.current_captures(log).collect()) == [("a", 2, "again"), ("b", 5, "x"), ("c", 8, None)]
+    assert kept == 1  # a and b are behind the watermark
 
 
 def test_ingest_equals_batch(spark, tmp_path):
     raw = qq.raw_runs(spark, SF).filter("source_id in ('src0', 'src4')").drop("captured_at", "description_source")
-    # Ids then follow from URLs, so the batch has no chains of id and URL conflicts.
-    raw = raw.withColumn("external_id", F.lit(None).cast("string"))
     as_of, none = b.ts(b.AS_OF_RAW), spark.createDataFrame([], STATUS)
     # Cut between weekly runs: a run that is split would be judged twice.
     week = F.unix_micros(F.date_trunc("week", "seen_at")).cast("double")
@@ -94,8 +134,12 @@ def test_a_run_recorded_again_replaces_the_earlier_record(spark, tmp_path):
     one.withColumn("sample_size", F.lit(77).cast(dict(one.dtypes)["sample_size"])).coalesce(1).write.parquet(str(tmp_path / "in/b"))
     s = jobs.file_stream(spark, str(tmp_path / "in/*"), runs.schema)
     jobs.health_batches(spark, s, b.b_source(spark), str(tmp_path / "h"), str(tmp_path / "r"), b.ts(qq.NOW), str(tmp_path / "ck"), keep=4).awaitTermination()
-    kept = spark.read.parquet(str(tmp_path / "h/batch=1")).collect()
+    kept = spark.read.parquet(str(tmp_path / "h/v=1")).collect()
     assert len(kept) == 4 and {r["sample_size"] for r in kept} == {77}
+    # A new checkpoint starts at batch 0 again, but not at the first version.
+    jobs.health_batches(spark, s, b.b_source(spark), str(tmp_path / "h"), str(tmp_path / "r"), b.ts(qq.NOW), str(tmp_path / "other"), keep=4).awaitTermination()
+    assert sorted(r["version"] for r in spark.read.parquet(str(tmp_path / "h/versions")).collect()) == [0, 1, 2, 3]
+    assert sorted(map(str, spark.read.parquet(str(tmp_path / "h/v=3")).collect())) == sorted(map(str, kept))
 
 
 def test_health_over_batches(spark, tmp_path):
@@ -105,6 +149,6 @@ def test_health_over_batches(spark, tmp_path):
     s = jobs.file_stream(spark, str(tmp_path / "in"), runs.schema)
     sources, now = b.b_source(spark), b.ts(qq.NOW)
     jobs.health_batches(spark, s, sources, str(tmp_path / "h"), str(tmp_path / "r"), now, str(tmp_path / "ck")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "r/batch=1")).select("source_id", "status", "score")
+    got = spark.read.parquet(str(tmp_path / "r/v=1")).select("source_id", "status", "score")
     want = quality.source_health(runs, sources, now).select("source_id", "status", "score")
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
