@@ -500,21 +500,44 @@ def sort_groups(groups: DataFrame, sort: str = "score") -> DataFrame:
     return groups.orderBy(*[c.desc() if d else c.asc() for c, d in sort_keys(sort)])
 
 
+def places(rows: DataFrame, order: list[tuple[Column, bool]], start: int, stop: int, n: int, in_one_task: int = 100_000) -> DataFrame:
+    """Rows at places ``start`` to ``stop`` - 1 (from 0) of ``n`` in order, with ``position`` from 1.
+
+    Sketched quantiles of the first sort key around the two places, confirmed (or widened) by exact counts below them,
+    leave the one range that holds them; where all its rows are equal in that key, the next numeric key narrows it
+    further. Only the range is sorted.
+    """
+    keyed = rows.withColumns({f"k{i}_": (-c if desc else c) for i, (c, desc) in enumerate(order)})
+    names = [f"k{i}_" for i in range(len(order))]
+    low, high, before, size = start, stop - 1, 0, n
+    for key in names:
+        if size <= in_one_task or dict(keyed.dtypes)[key] == "string":
+            break
+        slack = 0.0005
+        while True:
+            at = [max(0.0, low / size - slack), min(1.0, (high + 1) / size + slack)]
+            ends = F.array(F.min(key), F.max(key)) if slack >= 1 else F.percentile_approx(key, at, 10_000)
+            a, b = keyed.agg(ends.alias("q")).first()["q"]
+            below, upto = keyed.agg(F.count_if(F.col(key) < F.lit(a)), F.count_if(F.col(key) <= F.lit(b))).first()
+            if below <= low and high < upto:
+                break
+            slack *= 16
+        keyed = keyed.filter(F.col(key).between(F.lit(a), F.lit(b)))
+        low, high, before, size = low - below, high - below, before + below, upto - below
+        if a != b:  # the places lie in several values of this key, so the next key does not order them
+            break
+    head = keyed.orderBy(*names).limit(high + 1)
+    placed = head.withColumn("position", (F.row_number().over(W.orderBy(*names)) + before).cast("int"))
+    return placed.filter(F.col("position") > start).drop(*names)
+
+
 def page(groups: DataFrame, number: int, size: int, sort: str = "score") -> DataFrame:
-    """One page with its totals; the page number is clamped to the pages there are."""
-    n = groups.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    pages = F.greatest(F.lit(1), F.ceil(n / size))
-    current = F.greatest(F.lit(1), F.least(pages, F.lit(number)))
-    wanted = max(1, number) * size
-    head = sort_groups(groups, sort).limit(wanted)
-    keys = [c.desc() if d else c.asc() for c, d in sort_keys(sort)]
-    # At most ``number * size`` rows reach this window.
-    placed = head.withColumn("position", F.row_number().over(W.orderBy(*keys)))
-    start = (current - 1) * size
-    return placed.filter((F.col("position") > start) & (F.col("position") <= start + size)).select(
-        "position", "id", "title",
-        current.cast("int").alias("page"), pages.cast("int").alias("total_pages"),
-    )
+    """One page with its totals; the page number is clamped to the pages there are. A deep page sorts its own range."""
+    n = groups.count()
+    pages = max(1, -(-n // size))
+    current = max(1, min(pages, number))
+    found = places(groups, sort_keys(sort), (current - 1) * size, min(n, current * size), n)
+    return found.select("position", "id", "title", F.lit(current).alias("page"), F.lit(pages).alias("total_pages"))
 
 
 def page_of(groups: DataFrame, selected: Column, size: int, sort: str = "score") -> DataFrame:

@@ -455,6 +455,10 @@ FROM (SELECT *, coalesce(roll_detail < dmin, false) AS bad_detail, coalesce(epoc
 
 @query("q_drift", sql("b_drift", "SELECT source_id, contract_version, CAST(stale AS INT) AS stale, status, rolling_samples, low_fields, roll_detail, issues FROM b_drift"))
 def q_drift(spark, sf):
+    return drift(spark, sf)
+
+
+def drift(spark, sf):
     raw = raw_runs(spark, sf)
     sid = F.col("source_id")
     history = run_metrics(spark, sf, raw).join(quality.detail_coverage(raw, KEYS), KEYS).withColumn(
@@ -470,6 +474,18 @@ def q_drift(spark, sf):
     )
 
 
+@query("q_diagnostics", sql("b_drift", "SELECT source_id, contract_version, status, rolling_samples, issues, '2001-11-05T00-00-00.000Z' AS generated_at FROM b_drift"))
+def q_diagnostics(spark, sf):
+    """The drift report written at two times, the older one last; the newest is read from its own partition."""
+    from postmill.operators.settle import new_path
+    from postmill.sources import capture
+
+    path, report = new_path(spark, "diagnostics"), drift(spark, sf)
+    capture.write_report(report, path, "2001-11-05T00:00:00.000Z")
+    capture.write_report(report.limit(3), path, "2001-10-29T00:00:00.000Z")
+    return capture.latest_report(spark, path).select("source_id", "contract_version", "status", "rolling_samples", "issues", "generated_at")
+
+
 # ---- canaries ---------------------------------------------------------------------------
 
 CHECK_COLUMNS = (

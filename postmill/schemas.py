@@ -34,7 +34,8 @@ def _struct(ddl: str) -> str:
 CAPTURE_DDL = (
     "sourceId STRING, sourceName STRING, searchUrl STRING, capturedAt STRING, "
     f"expectedCount STRING, pageUrl STRING, captureFunnel {FUNNEL_DDL}, "
-    f"jobs ARRAY<{_struct(RAW_DDL)}>, _corrupt STRING"
+    # A large capture is recorded in parts: number of the part, place of its first row, rows of all parts.
+    f"part INT, partOffset BIGINT, rowCount BIGINT, jobs ARRAY<{_struct(RAW_DDL)}>, _corrupt STRING"
 )
 
 POSTING = T.StructType(

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from postmill.functions.core import collapse, half_up, nonempty
 from postmill.operators.filters import passing
@@ -45,18 +46,21 @@ def read_captures(spark: SparkSession, path: str, lines: bool = False) -> DataFr
     ).drop("_corrupt")
 
 
-def capture_rows(captures: DataFrame) -> DataFrame:
-    """One row per posting: position kept, capture time and page stamped on."""
+def capture_rows(captures: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """One row per posting: its place in the whole capture, capture time and page stamped on.
+
+    Parts of a large capture are put together by their offsets, so no list holds more than one part. With ``sources``
+    (source_id, source_type) the rows carry their source's type, as a refresh reads them.
+    """
     rows = captures.select(
         F.col("sourceId").alias("source_id"),
         F.col("capturedAt").alias("retrieved_at"),
         F.col("pageUrl").alias("page_url"),
-        "file",
-        F.posexplode("jobs").alias("pos", "job"),
-    )
-    return _snake(rows.select("source_id", "page_url", "file", "pos", "job.*", "retrieved_at")).drop(
-        "retrieved_at_text"
-    )
+        "file", F.coalesce("partOffset", F.lit(0)).alias("_offset"),
+        F.posexplode("jobs").alias("_at", "job"),
+    ).withColumn("pos", (F.col("_offset") + F.col("_at")).cast("int"))
+    flat = _snake(rows.select("source_id", "page_url", "file", "pos", "job.*", "retrieved_at")).drop("retrieved_at_text")
+    return flat if sources is None else flat.join(sources.select("source_id", "source_type"), "source_id", "left")
 
 
 def _count(c: Column) -> Column:
@@ -65,12 +69,12 @@ def _count(c: Column) -> Column:
 
 
 def capture_heads(captures: DataFrame) -> DataFrame:
-    """Per file: what ``quality.capture_summary`` reads, plus the five funnel counts."""
+    """Per capture: what ``quality.capture_summary`` reads, plus the five funnel counts; the first part speaks for all."""
     f = F.col("captureFunnel")
-    return captures.select(
+    return captures.filter(F.coalesce("part", F.lit(0)) == 0).select(
         F.col("sourceId").alias("source_id"),
         F.to_timestamp(F.try_to_timestamp(nonempty(F.trim("capturedAt")))).alias("captured_at"),
-        F.coalesce(F.size("jobs"), F.lit(0)).alias("job_count"),
+        F.coalesce(F.col("rowCount").cast("int"), F.size("jobs"), F.lit(0)).alias("job_count"),
         F.col("expectedCount").alias("expected_count"),
         "broken",
         "payload_error",
@@ -121,18 +125,25 @@ FIELDS = {
 }
 
 
-def capture_payloads(rows: DataFrame, heads: DataFrame, pos: str = "pos") -> DataFrame:
-    """Captures as they are recorded: one row per (source_id, captured_at), payload head and rows in order.
+PART_ROWS = 10_000  # rows of a capture in one record
+
+
+def capture_payloads(rows: DataFrame, heads: DataFrame, pos: str = "pos", part_rows: int = PART_ROWS) -> DataFrame:
+    """Captures as they are recorded: records of (source_id, captured_at) with payload head and rows in order.
 
     ``heads`` has source_id, captured_at, page_url and expected_count; a capture without rows keeps an empty list. A
-    capture is one recorded screen or feed page, so its list is small.
+    capture of more than ``part_rows`` rows becomes several records, each with its part number, the place of its first
+    row and the number of all rows; only as many rows as a part has are ever in one list.
     """
     keys = ["source_id", "captured_at"]
     job = F.struct(*[F.col(c).alias(f) for c, f in FIELDS.items() if c in rows.columns])
-    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), job.alias("j")))).alias("l"))
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(pos)) - 1
+    placed = rows.select(*keys, place.alias("p"), job.alias("j")).withColumn("part", F.expr(f"p div {part_rows}").cast("int"))
+    listed = placed.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(F.struct("p", "j"))).alias("l"))
+    sizes = listed.groupBy(*keys).agg(F.sum(F.size("l")).alias("n"))
     jobs = F.transform("l", lambda x: x["j"])
-    n = F.coalesce(F.size("l"), F.lit(0))
-    joined = heads.join(listed, keys, "left")
+    joined = heads.join(sizes, keys, "left").join(listed, keys, "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
+    several = F.col("n") > part_rows
     return joined.select(
         F.col("source_id").alias("sourceId"),
         F.date_format("captured_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("capturedAt"),
@@ -140,8 +151,9 @@ def capture_payloads(rows: DataFrame, heads: DataFrame, pos: str = "pos") -> Dat
         F.col("expected_count").cast("string").alias("expectedCount"),
         F.struct(
             F.when(F.col("expected_count") > 0, half_up(F.col("expected_count")).cast("string")).alias("availableCount"),
-            n.cast("string").alias("capturedRawCount"),
+            F.col("n").cast("string").alias("capturedRawCount"),
         ).alias("captureFunnel"),
+        F.when(several, F.col("part")).alias("part"), F.when(several, F.col("part").cast("bigint") * part_rows).alias("partOffset"), F.when(several, F.col("n")).alias("rowCount"),
         F.coalesce(jobs, F.array().cast(listed.select(jobs.alias("x")).schema["x"].dataType)).alias("jobs"),
     )
 
@@ -189,11 +201,26 @@ def write_shortlist(top: DataFrame, path: str, as_json: bool = False) -> None:
         top.orderBy("line").select("text").coalesce(1).write.mode("overwrite").text(path)
 
 
-def latest_report(reports: DataFrame, keys: list[str]) -> DataFrame:
-    """Latest diagnostics per key of an append-only report table."""
-    rest = [c for c in reports.columns if c not in keys]
-    top = reports.groupBy(*keys).agg(F.max_by(F.struct(*rest), "generated_at").alias("r"))
-    return top.select(*keys, "r.*")
+REPORTED = "generated_at"
+
+
+def write_report(report: DataFrame, path: str, generated_at: str) -> None:
+    """One diagnostics report as a partition of the history, named by its time (ISO text); written again it replaces itself."""
+    report.write.mode("overwrite").parquet(f"{path}/{REPORTED}={generated_at.replace(':', '-')}")
+
+
+def report_times(spark: SparkSession, path: str) -> list[str]:
+    """Times of the reports there are, ascending, from the names of the partitions alone."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+    return sorted(n.split("=", 1)[1] for n in names if n.startswith(f"{REPORTED}="))
+
+
+def latest_report(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest report with its time; no other partition is opened. None before the first."""
+    times = report_times(spark, path)
+    return spark.read.parquet(f"{path}/{REPORTED}={times[-1]}").withColumn(REPORTED, F.lit(times[-1])) if times else None
 
 
 # ---- accessibility snapshots --------------------------------------------------------------

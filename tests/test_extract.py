@@ -221,6 +221,45 @@ def test_unknown_source_type_fails_that_source_only(rows):
     assert [tuple(r) for r in capture.unsupported([df]).collect()] == [("s", "mystery", 1, "unsupported source type: mystery")]
 
 
+def test_large_captures_are_recorded_in_parts(spark, tmp_path):
+    n = 2500
+    at = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    raw = spark.range(n).select(F.lit("s").alias("source_id"), at.alias("captured_at"), (n - F.col("id")).alias("pos"), F.concat(F.lit("T"), F.col("id").cast("string")).alias("title"))
+    small = spark.createDataFrame([("t", 1, "one"), ("t", 2, "two")], "source_id string, pos long, title string").withColumn("captured_at", at)
+    heads = spark.createDataFrame([("s", "p", None), ("t", "p", 7.0), ("none", "p", None)], "source_id string, page_url string, expected_count double").withColumn("captured_at", at)
+    payloads = capture.capture_payloads(raw.unionByName(small), heads, part_rows=400).cache()
+    assert payloads.agg(F.max(F.size("jobs"))).first()[0] == 400 and payloads.filter("sourceId = 's'").count() == 7
+    capture.write_payloads(payloads, str(tmp_path / "c"))
+    caps = capture.read_captures(spark, str(tmp_path / "c"), lines=True)
+    types = spark.createDataFrame([("s", "indeed_search"), ("t", "google_search")], "source_id string, source_type string")
+    got = {(r.source_id, r.pos): (r.title, r.source_type) for r in capture.capture_rows(caps, types).collect()}
+    assert got == {("s", i): (f"T{n - 1 - i}", "indeed_search") for i in range(n)} | {("t", 0): ("one", "google_search"), ("t", 1): ("two", "google_search")}
+    assert sorted((r.source_id, r.job_count) for r in capture.capture_heads(caps).collect()) == [("none", 0), ("s", n), ("t", 2)]
+
+
+def test_latest_report_opens_one_partition(spark, tmp_path):
+    path = str(tmp_path / "reports")
+    assert capture.latest_report(spark, path) is None
+    one = lambda n: spark.createDataFrame([(n,)], "n int")
+    for time, n in (("2024-01-02T00:00:00Z", 1), ("2024-01-10T00:00:00Z", 2), ("2024-01-03T00:00:00Z", 3), ("2024-01-10T00:00:00Z", 4)):
+        capture.write_report(one(n), path, time)
+    got = capture.latest_report(spark, path)
+    assert [tuple(r) for r in got.collect()] == [(4, "2024-01-10T00-00-00Z")] and all("2024-01-10" in f for f in got.inputFiles())
+    assert len(capture.report_times(spark, path)) == 3
+
+
+def test_fixture_arrays_and_report_sinks(spark, tmp_path):
+    (tmp_path / "jobs.json").write_text(json.dumps([{"title": "A", "externalId": "1"}, {"title": "B"}], indent=1))
+    assert sorted((r.title, r.external_id) for r in capture.read_posting_array(spark, str(tmp_path / "jobs.json")).collect()) == [("A", "1"), ("B", None)]
+    bad = spark.createDataFrame([("s", "reject", "r1"), ("t", "quarantine", "r2")], "source_id string, outcome string, run_id string")
+    capture.write_quarantine(bad, str(tmp_path / "q"))
+    assert spark.read.json(str(tmp_path / "q")).filter("source_id = 's' AND outcome = 'reject'").first().run_id == "r1"
+    top = spark.createDataFrame([(2, "b"), (1, "a")], "line int, text string")
+    capture.write_shortlist(top, str(tmp_path / "md"))
+    capture.write_shortlist(top, str(tmp_path / "json"), as_json=True)
+    assert [r.value for r in spark.read.text(str(tmp_path / "md")).collect()] == ["a", "b"] and spark.read.json(str(tmp_path / "json")).count() == 2
+
+
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "source_id string, n int")
     capture.write_captures(df, str(tmp_path / "c"))

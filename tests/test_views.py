@@ -69,3 +69,19 @@ def test_pages(rows):
     assert [int(r.id) for r in views.page(df, 99, 10).orderBy("position").collect()] == order[20:]
     for i in (0, 7, 22):
         assert views.page_of(df, F.lit(str(i)), 10).first().page == order.index(i) // 10 + 1
+
+
+def test_deep_pages_sort_one_range(spark):
+    n = 5000
+    df = spark.range(n).select(
+        F.col("id").cast("string").alias("id"), F.concat(F.lit("t"), (F.col("id") % 7).cast("string")).alias("title"), (F.col("id") % 3).cast("int").alias("score"),
+        F.timestamp_seconds(F.col("id") % 40 * 86400).alias("posted_at"), F.lit(None).cast("timestamp").alias("updated_at"), (F.col("id") % 11).cast("double").alias("salary_value"),
+    ).repartition(5)
+    for sort in ("score", "date", "salary"):
+        want = [r.id for r in views.sort_groups(df, sort).select("id").collect()]
+        for start in (0, 990, 1660, 2500, 4990):  # within a key, over the edge of one, the last
+            got = views.places(df, views.sort_keys(sort), start, start + 10, n, in_one_task=30).orderBy("position").collect()
+            assert [r.id for r in got] == want[start:start + 10] and [r.position for r in got] == list(range(start + 1, start + 11))
+    assert views.page(df.limit(0), 5, 10).collect() == []
+    plan = views.places(df, views.sort_keys("date"), 2500, 2510, n, in_one_task=30)._jdf.queryExecution().optimizedPlan().toString()
+    assert "GlobalLimit" in plan and int(plan.split("GlobalLimit ")[1].split()[0]) < 200  # rows of one day, not 2510
