@@ -11,7 +11,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from postmill.operators import quality
+from postmill.operators.bucketed import read_store, write_store
 from postmill.operators.run import refresh
+from postmill.operators.settle import settle
 from postmill.operators.skew import first_per_key, top_n_per_key
 from postmill.operators.throttle import DAY, MINUTE, with_policy
 from postmill.params import Thresholds
@@ -169,16 +171,17 @@ def ingest_batches(
 ):
     """Run ``refresh`` for each micro-batch of captured rows; every batch makes one version of the store.
 
-    A version is committed by a row that is written last. A batch that is replayed finds its own number and
+    The store is kept in hash buckets, and a version writes those alone that the batch has changed
+    (``bucketed``); ``read_store`` reads it. A version is committed by a row that is written last. A batch that is replayed finds its own number and
     makes the same version again from the same base; a new checkpoint goes on from the latest version. A run is judged
     on the rows of one batch, so a capture (one row with its array in the stream of captures) is the unit to send.
     """
     def step(batch: DataFrame, number: int) -> None:
         known = {(r["checkpoint"], r["number"]): r["version"] for r in _committed(spark, log).collect()}
         version = known.get((checkpoint, number), max(known.values(), default=-1) + 1)
-        base = spark.read.parquet(f"{store}/v={version - 1}") if version else None
+        base = read_store(spark, store, version - 1) if version else None
         done = refresh(base, applications, batch, as_of, thresholds=thresholds, on_bad_record=on_bad_record)
-        done.postings.write.mode("overwrite").parquet(f"{store}/v={version}")
+        write_store(settle(done.postings, "ingest"), store, version, version - 1 if version else None)
         done.log.write.mode("overwrite").parquet(f"{log}/runs/v={version}")
         done.deleted.write.mode("overwrite").parquet(f"{log}/deleted/v={version}")
         if (checkpoint, number) not in known:

@@ -3,6 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from postmill.operators import quality, throttle
+from postmill.operators.bucketed import manifest, read_store, write_store
 from postmill.operators.run import refresh
 from postmill.plans import bindings as b
 from postmill.plans import queries_quality as qq
@@ -117,13 +118,13 @@ def test_ingest_equals_batch(spark, tmp_path):
     for part in (dated.filter(F.col("_o") <= cut), dated.filter(F.col("_o") > cut)):
         want = refresh(want and want.postings, none, part.drop("_o"), as_of, on_bad_record="drop")
     cols = ["id", "title", "salary_text", "normalized_hash", "posted_at", "source_url", "structured_meta"]
-    last = spark.read.parquet(f"{store}/v=1")
+    last = read_store(spark, store, 1)
     assert last.count() and sorted(map(str, last.select(*cols).collect())) == sorted(map(str, want.postings.select(*cols).collect()))
     # A new checkpoint reads everything again and goes on from the latest version.
     run("other")
     versions = sorted((r["number"], r["version"]) for r in spark.read.parquet(f"{log}/versions").collect())
     assert versions == [(0, 0), (0, 2), (1, 1), (1, 3)]
-    assert spark.read.parquet(f"{log}/runs/v=3").agg(F.sum("new_count")).first()[0] == 0 or spark.read.parquet(f"{store}/v=3").count() == last.count()
+    assert spark.read.parquet(f"{log}/runs/v=3").agg(F.sum("new_count")).first()[0] == 0 or read_store(spark, store, 3).count() == last.count()
 
 
 def test_a_run_recorded_again_replaces_the_earlier_record(spark, tmp_path):
@@ -152,3 +153,24 @@ def test_health_over_batches(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "r/v=1")).select("source_id", "status", "score")
     want = quality.source_health(runs, sources, now).select("source_id", "status", "score")
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_a_new_version_rewrites_only_buckets_that_changed(spark, tmp_path):
+    store = str(tmp_path / "store")
+    row = lambda i, t="x": (f"id{i}", t, [f"m{i % 3}"])
+    make = lambda rows: spark.createDataFrame(rows, "id string, title string, missing array<string>")
+    first = [row(i) for i in range(200)]
+    assert write_store(make(first), store, 0, buckets=16) == 16
+    paths = lambda v: {r["bucket"]: r["path"] for r in manifest(spark, store, v).collect()}
+    second = [row(7, "changed"), *first[:7], *first[8:-1], row(500)]
+    touched = {r["b"] for r in make([first[7], first[-1], row(500)]).select(F.pmod(F.xxhash64("id"), F.lit(16)).alias("b")).collect()}
+    assert write_store(make(second).repartition(3), store, 1, 0, buckets=16) == len(touched) < 16
+    before, after = paths(0), paths(1)
+    assert {b for b in after if after[b] != before.get(b)} == touched
+    assert sorted(map(tuple, read_store(spark, store, 1).collect())) == sorted((a, b, c) for a, b, c in second)
+    # A version that was written but not committed, and then again: the ones before stay as they are.
+    write_store(make(first[:3]), store, 2, 1, buckets=16)
+    write_store(make(first[:5]), store, 2, 1, buckets=16)
+    assert read_store(spark, store, 2).count() == 5 and read_store(spark, store, 1).count() == len(second) and read_store(spark, store, 0).count() == 200
+    write_store(make([]), store, 3, 2, buckets=16)
+    assert read_store(spark, store, 3).count() == 0 and write_store(make(first), store, 4, 1, buckets=16) == len(touched)
