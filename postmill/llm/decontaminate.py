@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postmill.llm.words import own_name
 from postmill.operators.settle import settle
 
 MASKS = ("111010011", "110101101", "101100111")  # one span for all: it is the shortest item that can be found
@@ -93,10 +94,15 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id="doc_id", text="text
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, doc_id="doc_id", text="text", **how) -> DataFrame:
-    """The documents that hold no test item, in the input's columns."""
-    bad = overlaps(docs, items, doc_id=doc_id, text=text, **how).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    """The documents that hold no test item, in the input's columns, whatever their names.
+
+    Null and empty texts stay; a null id is an id like any other; rows that repeat id and text stay or go together, rows
+    of one id and different texts are judged apart. An empty table stays empty; without items all documents stay.
+    """
+    held, hashed = own_name("id"), own_name("hash")
+    bad = overlaps(docs, items, doc_id=doc_id, text=text, **how).select(F.col("doc_id").alias(held), F.col("text_hash").alias(hashed)).distinct()
     bad = settle(bad, "contaminated")
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text)) == F.col("_hash")), "left_anti")
+    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col(held)) & (F.xxhash64(F.col(text)) == F.col(hashed)), "left_anti")
 
 
 def _sql() -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,3 +48,8 @@ def replacing(df: DataFrame, *names: str) -> DataFrame:
     """Input columns without those an operator is about to add under the same name."""
     taken = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+
+
+def own_name(label: str) -> str:
+    """A column name that no input has."""
+    return f"{label}_{uuid.uuid4().hex}"

@@ -42,6 +42,21 @@ def test_stages_one_by_one(spark, tmp_path):
             assert sorted(r["doc_id"] for r in after) == sorted(r["doc_id"] for r in before) and {r["shard"] for r in after} <= set(range(24))
 
 
+def test_document_stages_keep_columns_with_clashing_names(spark):
+    """Columns named like the operators' own, hostile rows, and an empty table through the stages that keep documents."""
+    from tests.llm import helpers as h
+
+    names = {"size": "_id", "score": "_removed", "n_chars": "_hash"}
+    docs = h.hostile(spark, [" ".join(words(60, 5)), " ".join(words(60, 5))]).withColumnsRenamed(names)
+    for stage in (corpus_pipeline.one_of_each, corpus_pipeline.no_test_items):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        kept = [str(r["text"])[:50] for r in out.collect()]
+        for text in ("a", "same text here", "text without an id", "None"):
+            assert text in kept, (stage.__name__, text)
+        assert stage(spark, h.empty(spark).withColumnsRenamed(names), SF).count() == 0
+
+
 @pytest.mark.parametrize("kind", ["long", "string"])
 def test_near_dedup_of_ids_with_several_texts(spark, kind):
     a, b, c, d = (" ".join(words(60, 700 + i)) for i in range(4))
