@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm import decontaminate, minhash, mixing, sharding, toxicity
-from postmill.llm.words import configured, table
+from postmill.llm.words import configured, own_name, table
 from postmill.operators.settle import settle
 
 SHARDS = 24
@@ -38,8 +38,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         first = F.lpad(F.hex(key.cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0") if number else F.concat(key, F.lit("\0"))
         key = F.concat(first, F.lpad(F.hex(text_hash), 16, "0"))
     found = minhash.near_duplicates(docs.select(key.alias("doc_id"), "text"), percent=80)
-    removed = found.filter("NOT kept").select(F.col("doc_id").alias("_removed")).distinct()
-    return docs.join(removed, key == F.col("_removed"), "left_anti")
+    gone = own_name("removed")
+    removed = found.filter("NOT kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(removed, key == F.col(gone), "left_anti")
 
 
 @configured
