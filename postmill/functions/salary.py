@@ -60,3 +60,18 @@ def salary_max(c: Column) -> Column:
     )
     best = F.array_max(F.filter(F.transform(found, amount), lambda x: x > 0))
     return F.coalesce(best, F.lit(0.0))
+
+
+# Salary steps of the search form and their codes.
+SALARY_STEPS = [
+    (40000, "1"), (60000, "2"), (80000, "3"), (100000, "4"), (120000, "5"),
+    (140000, "6"), (160000, "7"), (180000, "8"), (200000, "9"),
+]
+
+
+def salary_bucket(amount: Column) -> Column:
+    """Code of the lowest step that holds the amount, the last one above all; null unless positive."""
+    out = None
+    for top, code in SALARY_STEPS:
+        out = F.when(amount <= top, code) if out is None else out.when(amount <= top, code)
+    return F.when(amount > 0, out.otherwise(SALARY_STEPS[-1][1]))

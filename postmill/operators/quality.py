@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from postmill.functions.core import (
@@ -15,7 +16,7 @@ from postmill.functions.core import (
     text,
 )
 from postmill.functions.url import is_http_url
-from postmill.operators.skew import filter_here, first_per_key, top_n_per_key
+from postmill.operators.skew import SALTS, filter_here, first_per_key, join_one_per_key, order_inputs, top_n_per_key
 from postmill.operators.views import AUTH_TYPES
 from postmill.params import HTTP_SOURCE_TYPES, Thresholds
 
@@ -737,11 +738,17 @@ def access_status(summary: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def source_cap(raw: DataFrame, sources: DataFrame, pos: str = "pos") -> DataFrame:
-    """First ``max_jobs`` rows of each source; the largest limit bounds the first cut."""
-    caps = sources.filter("max_jobs IS NOT NULL").select("source_id", "max_jobs")
-    most = caps.agg(F.max("max_jobs")).first()[0]
-    capped = raw.join(caps, "source_id")
-    head = top_n_per_key(capped, ["source_id"], [F.col(pos)], int(most or 0))
-    kept = head.filter(F.col("rank") <= F.col("max_jobs")).drop("max_jobs", "rank")
-    open_ended = raw.join(caps, "source_id", "left_anti")
-    return kept.unionByName(open_ended)
+    """First ``max_jobs`` rows of each source; a source without a limit keeps all of its rows.
+
+    ``raw`` is read once. Rows are ranked in (source, salt) first, so a large source is dealt out, and at most
+    ``SALTS * max_jobs`` of its rows are ranked together; rows without a limit stay dealt out.
+    """
+    limits = sources.select("source_id", F.col("max_jobs").alias("_cap"))
+    salt = F.pmod(F.xxhash64(*order_inputs(raw)), F.lit(SALTS))
+    free = F.col("_cap").isNull()
+    capped = join_one_per_key(raw, limits, "source_id").withColumn("_salt", salt)
+    first = W.partitionBy("source_id", "_salt").orderBy(pos)
+    last = W.partitionBy("source_id", F.when(free, F.col("_salt"))).orderBy(pos)
+    for w in (first, last):
+        capped = capped.withColumn("_at", F.row_number().over(w)).filter(free | (F.col("_at") <= F.col("_cap"))).drop("_at")
+    return capped.drop("_cap", "_salt")

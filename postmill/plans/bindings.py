@@ -150,6 +150,10 @@ def b_posting(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(
             F.concat_ws("|", F.lower("c_name"), F.lower(title)), 256
         ).alias("normalized_hash"),
+        F.concat(F.lit('{"title":"'), title, F.lit('"}')).alias("structured_meta"),
+        F.when(key % 11 != 0, 100).otherwise(83).cast("bigint").alias("metadata_quality_score"),
+        F.when(key % 11 != 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("salary")))
+        .alias("missing_required_fields"),
         at.alias("created_at"),
         at.alias("updated_at"),
     )

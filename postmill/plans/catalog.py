@@ -7,20 +7,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmill.session import HUGE_METHOD
+from postmill.session import PLANNING
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, Callable[[], str]] = {}
 
 
 def query(name: str, oracle: Callable[[], str] | None = None):
-    """Register ``fn(spark, sf_dir)``; the clock of every query is UTC."""
+    """Register ``fn(spark, sf_dir)``; it plans with the settings of ``session`` in any session."""
 
     def wrap(fn):
         @functools.wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
-            spark.conf.set("spark.sql.codegen.hugeMethodLimit", HUGE_METHOD)
+            for name, value in PLANNING.items():
+                spark.conf.set(name, value)
             return fn(spark, sf_dir)
 
         QUERIES[name] = run

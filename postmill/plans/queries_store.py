@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postmill.functions.core import iso
-from postmill.operators import merge, throttle
+from postmill.operators import merge, run, throttle
 from postmill.operators.identity import backfill_identity
 from postmill.params import REFRESH_LABELS, REFRESH_POLICY, RISK_CLASS
 from postmill.plans import bindings as b
@@ -19,7 +19,7 @@ AS_OF = b.AS_OF_POSTING
 
 # ---- incoming batch -------------------------------------------------------------------------
 
-_COLS = "source_type, source_id, source_url, external_id, title, company, location, posted_at, employment_type, easy_apply, salary_text, description, normalized_hash, created_at, updated_at"
+_COLS = "source_type, source_id, source_url, external_id, title, company, location, posted_at, employment_type, easy_apply, salary_text, description, normalized_hash, structured_meta, metadata_quality_score, missing_required_fields, created_at, updated_at"
 COLS = [c.strip() for c in _COLS.split(",")]
 
 
@@ -35,6 +35,11 @@ def b_incoming(spark, sf):
             .when(m == 2, F.concat(F.lit("re"), F.col("id"))).otherwise(F.col("id")),
             "source_url": F.when(new, F.concat("source_url", F.lit("/new"))).otherwise(F.col("source_url")),
             "salary_text": F.when(m == 1, "$1").otherwise(F.col("salary_text")),
+            # Rows that differ from the stored ones in a computed column alone, and in blanks alone.
+            "structured_meta": F.when(m == 4, "{}").otherwise(F.col("structured_meta")),
+            "metadata_quality_score": F.when(m == 5, 50).otherwise(F.col("metadata_quality_score")),
+            "missing_required_fields": F.when(m == 6, F.array(F.lit("location"), F.lit("salary"))).otherwise(F.col("missing_required_fields")),
+            "title": F.when(m == 7, F.concat(F.lit(" "), "title", F.lit(" "))).otherwise(F.col("title")),
             "updated_at": b.ts(AS_OF),
         }
     )
@@ -47,7 +52,9 @@ def b_incoming(spark, sf):
 
 k.cte(
     "b_incoming", "b_posting",
-    f"""SELECT id, pos, {_COLS} FROM (SELECT * EXCLUDE (id, source_url, salary_text, updated_at), num AS pos,
+    f"""SELECT id, pos, {_COLS} FROM (SELECT * EXCLUDE (id, source_url, salary_text, updated_at, structured_meta, metadata_quality_score, missing_required_fields, title), num AS pos,
+  CASE WHEN num % 10 = 4 THEN '{{}}' ELSE structured_meta END AS structured_meta, CASE WHEN num % 10 = 5 THEN 50 ELSE metadata_quality_score END AS metadata_quality_score,
+  CASE WHEN num % 10 = 6 THEN ['location', 'salary'] ELSE missing_required_fields END AS missing_required_fields, CASE WHEN num % 10 = 7 THEN ' ' || title || ' ' ELSE title END AS title,
   CASE WHEN num % 10 = 9 THEN CAST(num + 1000000000 AS VARCHAR) WHEN num % 10 = 2 THEN 're' || id ELSE id END AS id,
   CASE WHEN num % 10 = 9 THEN source_url || '/new' ELSE source_url END AS source_url, CASE WHEN num % 10 = 1 THEN '$1' ELSE salary_text END AS salary_text,
   CAST('{AS_OF}' AS TIMESTAMP) AS updated_at FROM b_posting WHERE num % 10 < 8 OR num % 10 = 9)
@@ -86,10 +93,16 @@ def q_upsert_counts(spark, sf):
 
 
 _SIG = [c for c in merge.SIGNATURE if c in COLS]
+
+
+def _trimmed(c, t):
+    return f"trim({t}.title)" if c == "title" else f"{t}.{c}"
+
+
 k.cte(
     "b_delta", "b_incoming b_posting",
     f"""SELECT i.id, i.source_id, CASE WHEN p1.id IS NULL AND p2.id IS NULL THEN 'new'
-  WHEN {' AND '.join(f'i.{c} IS NOT DISTINCT FROM CASE WHEN p1.id IS NOT NULL THEN p1.{c} ELSE p2.{c} END' for c in _SIG)} THEN 'unchanged' ELSE 'updated' END AS delta
+  WHEN {' AND '.join(f'{_trimmed(c, "i")} IS NOT DISTINCT FROM CASE WHEN p1.id IS NOT NULL THEN p1.{c} ELSE p2.{c} END' for c in _SIG)} THEN 'unchanged' ELSE 'updated' END AS delta
 FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS rn FROM b_incoming) WHERE rn = 1) i
 LEFT JOIN b_posting p1 ON p1.id = i.id LEFT JOIN b_posting p2 ON p2.source_id = i.source_id AND p2.source_url = i.source_url""",
 )
@@ -292,6 +305,116 @@ def q_run_totals(spark, sf):
     return merge.run_totals(run_log(spark, sf).withColumn("run_id", week))
 
 
+# ---- a whole run ----------------------------------------------------------------------------
+
+# Two refreshes; the weeks between the two dates are captured by both.
+FIRST_UNTIL, SECOND_FROM = "2000-07-03 00:00:00", "2000-05-01 00:00:00"
+RUN_DAYS = {"new": 1500, "viewed": 1800, "skip_for_now": 900, "rejected": 700, "applied": None}
+
+
+def captured(spark, sf):
+    """Raw rows of weekly runs as a refresh reads them. A posting is known by its URL."""
+    rows = qq.raw_runs(spark, sf).withColumns({"external_id": F.lit(None).cast("string"), "retrieved_at": F.col("seen_at")})
+    return rows.select(
+        "source_id", "source_type", "run_id", "pos", "captured_at", "retrieved_at", "external_id", "title", "company", "location",
+        "posted_at", "employment_type", "salary_text", "summary", "description", "url",
+    )
+
+
+def acted_on(postings):
+    """Statuses someone gave to four sevenths of the postings, by id."""
+    n = F.conv(F.substring("id", 1, 6), 16, 10).cast("bigint") % 7
+    return postings.withColumn("_n", n).filter("_n < 4").select(
+        F.col("id").alias("job_id"),
+        F.when(F.col("_n") == 0, "applied").when(F.col("_n") == 1, "rejected").when(F.col("_n") == 2, "skip_for_now").otherwise("viewed").alias("status"),
+        F.concat(F.lit("note "), F.col("_n").cast("string")).alias("notes"), F.col("updated_at").alias("last_action_at"),
+        F.when(F.col("_n") == 0, F.col("updated_at")).alias("submitted_at"),
+    )
+
+
+def two_runs(spark, sf):
+    """The second of two refreshes: the store of the first, with statuses, meets later captures."""
+    raw, as_of, policy = captured(spark, sf), b.ts(b.AS_OF_RAW), merge.retention_policy_rows(spark, RUN_DAYS)
+
+    def one(rows, store, statuses):
+        rows = rows.drop("captured_at")
+        runs = rows.select(*qq.KEYS).distinct().withColumn("expected_count", F.lit(qq.EXPECTED))
+        return run.refresh(store, statuses, rows, as_of, runs, policy, qq.TIGHT)
+
+    nothing = spark.createDataFrame([], "job_id string, status string, notes string, last_action_at timestamp, submitted_at timestamp")
+    first = one(raw.filter(F.col("captured_at") < b.ts(FIRST_UNTIL)), None, nothing).postings
+    return one(raw.filter(F.col("captured_at") >= b.ts(SECOND_FROM)), first, acted_on(first))
+
+
+_TTL = "CASE {} " + " ".join(f"WHEN '{s}' THEN {d if d else 'NULL'}" for s, d in RUN_DAYS.items()) + " END"
+_AGE = f"epoch_us(CAST('{b.AS_OF_RAW}' AS TIMESTAMP)) - epoch_us({{}})"
+_SAME = ["source_url", "title", "company", "location", "posted_at", "employment_type", "salary_text", "description", "hash"]
+k.cte(
+    "b_run_row", "b_raw_run b_outcome",
+    rf"""SELECT *, sha256(source_id || '|' || source_url) AS id,
+  sha256(CASE WHEN source_type = 'linkedin_capture_file' THEN 'linkedin:' || lower(company) || '|' || lower(title) ELSE 'url:' || lower(source_url) END) AS hash
+FROM (SELECT r.source_id, r.source_type, r.run_id, r.captured_at, r.pos, r.seen_at, {k.ws('r.title')} AS title, {k.ws('r.company')} AS company, r.location, r.posted_at, r.employment_type, r.salary_text,
+  {k.ws('r.description')} AS description, regexp_replace(r.url, '[?#].*$', '') AS source_url FROM b_raw_run r JOIN b_outcome o ON o.run_id = r.run_id WHERE o.outcome = 'accept')""",
+)
+k.cte(
+    "b_run_store", "b_run_row",
+    f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos DESC) AS rn FROM b_run_row WHERE captured_at < TIMESTAMP '{FIRST_UNTIL}')
+ WHERE rn = 1 AND {_AGE.format('seen_at')} < {RUN_DAYS['new']} * 86400000000""",
+)
+k.cte(
+    "b_run_status", "b_run_store",
+    """SELECT id AS job_id, CASE n WHEN 0 THEN 'applied' WHEN 1 THEN 'rejected' WHEN 2 THEN 'skip_for_now' ELSE 'viewed' END AS status, 'note ' || n AS notes, seen_at AS at
+ FROM (SELECT *, CAST('0x' || id[1:6] AS BIGINT) % 7 AS n FROM b_run_store) WHERE n < 4""",
+)
+k.cte("b_run_later", "b_run_row", f"SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS first, row_number() OVER (PARTITION BY id ORDER BY pos DESC) AS last FROM b_run_row WHERE captured_at >= TIMESTAMP '{SECOND_FROM}'")
+k.cte(
+    "b_run_delta", "b_run_later b_run_store",
+    f"""SELECT l.id, l.source_id, CASE WHEN s.id IS NULL THEN 'new' WHEN {' AND '.join(f's.{c} IS NOT DISTINCT FROM l.{c}' for c in _SAME)} THEN 'unchanged' ELSE 'updated' END AS delta
+ FROM b_run_later l LEFT JOIN b_run_store s ON s.id = l.id WHERE l.first = 1""",
+)
+k.cte(
+    "b_run_merged", "b_run_later b_run_store",
+    "SELECT coalesce(l.id, s.id) AS id, l.id IS NOT NULL AS seen, " + ", ".join(f"CASE WHEN l.id IS NULL THEN s.{c} ELSE l.{c} END AS {c}" for c in [*_SAME, "source_id", "seen_at"])
+    + " FROM b_run_store s FULL JOIN (SELECT * FROM b_run_later WHERE last = 1) l ON l.id = s.id",
+)
+k.cte(
+    "b_run_all_status", "b_run_merged b_run_status",
+    """SELECT *, false AS inherited FROM b_run_status UNION ALL
+SELECT m.id, r.status, r.notes, r.at, true FROM b_run_merged m JOIN (SELECT hash, s.*, row_number() OVER (PARTITION BY hash ORDER BY s.at DESC, job_id) AS rn FROM b_run_status s JOIN b_run_merged m ON m.id = s.job_id) r
+ ON r.hash = m.hash AND r.rn = 1 WHERE m.id NOT IN (SELECT job_id FROM b_run_status)""",
+)
+k.cte(
+    "b_run_end", "b_run_merged b_run_all_status b_run_status b_run_later",
+    f"""SELECT m.*, a.status, a.notes, CASE WHEN NOT seen AND m.source_id IN (SELECT source_id FROM b_run_later) AND coalesce(s.status, 'new') IN ('new', 'viewed') THEN 'absent'
+  WHEN {_AGE.format('coalesce(a.at, m.seen_at)')} >= {_TTL.format("coalesce(a.status, 'new')")} * 86400000000 THEN 'expired' END AS why
+ FROM b_run_merged m LEFT JOIN b_run_all_status a ON a.job_id = m.id LEFT JOIN b_run_status s ON s.job_id = m.id""",
+)
+
+
+@query(
+    "q_run",
+    sql("b_run_end", f"SELECT id, source_id, source_url, title, salary_text, {k.iso('seen_at')} AS updated_at, status, notes FROM b_run_end WHERE why IS NULL"),
+)
+def q_run(spark, sf):
+    after = two_runs(spark, sf)
+    statuses = after.applications.select(F.col("job_id").alias("id"), "status", "notes")
+    kept = after.postings.withColumn("updated_at", iso(F.col("updated_at"))).join(statuses, "id", "left")
+    return kept.select("id", "source_id", "source_url", "title", "salary_text", "updated_at", "status", "notes")
+
+
+@query(
+    "q_run_effects",
+    sql("b_run_end b_run_delta b_run_later", """SELECT source_id, 'deleted ' || why AS effect, count(*) AS n FROM b_run_end WHERE why IS NOT NULL GROUP BY ALL
+UNION ALL SELECT source_id, delta, count(*) FROM b_run_delta GROUP BY ALL
+UNION ALL SELECT source_id, 'logged ' || max(run_id), count(DISTINCT id) FROM b_run_later GROUP BY 1"""),
+)
+def q_run_effects(spark, sf):
+    after = two_runs(spark, sf)
+    gone = after.deleted.join(after.merged.select("id", "source_id"), "id").select("source_id", F.concat(F.lit("deleted "), "why").alias("effect"))
+    counts = gone.unionByName(after.deltas.select("source_id", F.col("delta").alias("effect"))).groupBy("source_id", "effect").agg(F.count(F.lit(1)).alias("n"))
+    return counts.unionByName(after.log.select("source_id", F.concat(F.lit("logged "), "run_id").alias("effect"), F.col("imported_count").alias("n")))
+
+
 # ---- refresh policy -------------------------------------------------------------------------
 
 _RISK = "CASE source_type " + " ".join(f"WHEN '{t}' THEN '{c}'" for t, c in RISK_CLASS.items()) + " ELSE 'public_standard' END"
@@ -314,9 +437,8 @@ _D = 86400000000
 
 @query("q_refresh_policy", sql("b_policy_safe b_policy_probe", "SELECT event_id, p.risk_class, p.min_interval, p.daily_cap, p.cooldown, s.min_interval AS safe_interval FROM b_policy_probe p JOIN b_policy_safe s USING (event_id)"))
 def q_refresh_policy(spark, sf):
-    e = b.b_refresh(spark, sf)
-    safe = throttle.with_policy(e, "safe").select("event_id", F.col("min_interval").alias("safe_interval"))
-    return throttle.with_policy(e, " Probe").join(safe, "event_id").select(
+    safe = throttle.with_policy(b.b_refresh(spark, sf), "safe").withColumnRenamed("min_interval", "safe_interval")
+    return throttle.with_policy(safe, " Probe").select(
         "event_id", "risk_class", "min_interval", "daily_cap", "cooldown", "safe_interval"
     )
 

@@ -319,26 +319,12 @@ def q_salary(spark, sf):
     )
 
 
-# Salary steps of the search form and their codes.
-SALARY_STEPS = [
-    (40000, "1"), (60000, "2"), (80000, "3"), (100000, "4"), (120000, "5"),
-    (140000, "6"), (160000, "7"), (180000, "8"), (200000, "9"),
-]
-
-
-def salary_bucket(amount):
-    out = None
-    for top, code in SALARY_STEPS:
-        out = F.when(amount <= top, code) if out is None else out.when(amount <= top, code)
-    return F.when(amount > 0, out.otherwise(SALARY_STEPS[-1][1]))
-
-
 @query(
     "q_salary_bucket",
     sql(
         "b_posting",
         "SELECT salary_bucket, count(*) AS n FROM (SELECT CASE WHEN v > 0 THEN CASE "
-        + " ".join(f"WHEN v <= {t} THEN '{c}'" for t, c in SALARY_STEPS)
+        + " ".join(f"WHEN v <= {t} THEN '{c}'" for t, c in salary.SALARY_STEPS)
         + " ELSE '9' END END AS salary_bucket FROM (SELECT TRY_CAST(substring(salary_text, 2) AS BIGINT) AS v FROM b_posting)) GROUP BY 1",
     ),
 )
@@ -346,7 +332,7 @@ def q_salary_bucket(spark, sf):
     amount = salary.salary_max(F.col("salary_text"))
     return (
         b.b_posting(spark, sf)
-        .select(salary_bucket(amount).alias("salary_bucket"))
+        .select(salary.salary_bucket(amount).alias("salary_bucket"))
         .groupBy("salary_bucket")
         .agg(F.count(F.lit(1)).alias("n"))
     )

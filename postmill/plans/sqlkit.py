@@ -100,6 +100,9 @@ JOIN nation ON s_nationkey = n_nationkey""",
   CASE WHEN o_orderkey % 11 <> 0 THEN '$' || CAST(floor(o_totalprice) AS BIGINT) END AS salary_text,
   c_mktsegment || ' ' || o_orderpriority || ' ' || n_name || ' ' || o_orderstatus AS description,
   sha256(lower(c_name) || '|' || lower(c_mktsegment || ' ' || o_orderpriority)) AS normalized_hash,
+  '{{"title":"' || c_mktsegment || ' ' || o_orderpriority || '"}}' AS structured_meta,
+  CASE WHEN o_orderkey % 11 <> 0 THEN 100 ELSE 83 END::BIGINT AS metadata_quality_score,
+  CASE WHEN o_orderkey % 11 <> 0 THEN []::VARCHAR[] ELSE ['salary'] END AS missing_required_fields,
   CAST(o_orderdate AS TIMESTAMP) AS created_at, CAST(o_orderdate AS TIMESTAMP) AS updated_at
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
     ),

@@ -10,18 +10,24 @@ from pyspark.sql import SparkSession
 HUGE_METHOD = 8000
 
 
+# Planning settings the operators rely on, set by the session and by every registered query.
+PLANNING = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.codegen.hugeMethodLimit": str(HUGE_METHOD),
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A hot key is split even when the split costs one more exchange.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
+
 def build_session(app: str = "postmill", master: str | None = None, **conf) -> SparkSession:
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
     settings = {
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.codegen.hugeMethodLimit": str(HUGE_METHOD),
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        # A hot key is split even when the split costs one more exchange.
-        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        **PLANNING,
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **{k.replace("__", "."): str(v) for k, v in conf.items()},
     }
