@@ -1,11 +1,15 @@
 """A whole refresh against its parts, on captured rows of two sources."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
-from postmill.operators.run import refresh
+from postmill.operators import merge
+from postmill.operators.run import gated, refresh
 from postmill.plans import bindings as b
 from postmill.plans import queries_quality as qq
+from postmill.plans import queries_store as qst
 
 SF = "/root/testdata/sf0.001"
 STATUS = "job_id string, status string, notes string, last_action_at timestamp, submitted_at timestamp"
@@ -56,3 +60,77 @@ def test_retention_and_rejected_runs(spark, raw):
     stopped = refresh(first.postings, none, raw, b.ts(b.AS_OF_RAW), runs=broken)
     assert {r["outcome"] for r in stopped.outcomes.collect()} == {"reject"}
     assert ids(stopped.postings) == ids(first.postings) and stopped.log.count() == 0
+
+
+def one_at_a_time(store, statuses, rows, as_of, days):
+    """The store after a run, its statuses, what went and why, and the deltas, with rows taken one by one."""
+    store, statuses = {i: dict(r) for i, r in store.items()}, dict(statuses)
+    before = {i: dict(r) for i, r in store.items()}
+    urls = {(r["source_id"], r["source_url"]): i for i, r in store.items()}
+    before_urls, seen, deltas = dict(urls), set(), {}
+    signature = [c for c in merge.SIGNATURE if c != "structured_meta"]
+    for r in sorted(rows, key=lambda x: x["pos"]):
+        place = (r["source_id"], r["source_url"])
+        if r["id"] not in deltas:
+            old = before.get(r["id"]) or before.get(before_urls.get(place))
+            deltas[r["id"]] = "new" if old is None else "unchanged" if all(old[c] == r[c] for c in signature) else "updated"
+        at = r["id"] if r["id"] in store else urls.get(place)
+        if at is None:
+            at = r["id"]
+            store[at], urls[place] = dict(r), at
+        else:
+            store[at].update({c: r[c] for c in merge.UPDATED})
+        seen.add(at)
+    ran = {r["source_id"] for r in rows}
+    gone = {i: "absent" for i, r in store.items() if i not in seen and r["source_id"] in ran and statuses.get(i, ("new",))[0] in ("new", "viewed")}
+    groups = {}
+    for i, (status, at) in sorted(statuses.items()):
+        h = store[i]["normalized_hash"] if i in store else None
+        if h and (h not in groups or at > groups[h][1]):
+            groups[h] = (status, at)
+    for i, r in store.items():
+        if i not in statuses and r["normalized_hash"] in groups:
+            statuses[i] = groups[r["normalized_hash"]]
+    for i, r in store.items():
+        status, at = statuses.get(i, ("new", None))
+        if status != "applied" and days[status] and as_of - (at or r["updated_at"]) >= datetime.timedelta(days=days[status]):
+            gone.setdefault(i, "expired")
+    return {i: r for i, r in store.items() if i not in gone}, {i: s for i, s in statuses.items() if i not in gone}, gone, deltas
+
+
+def test_two_runs_with_chains_of_ids_equal_rows_one_at_a_time(spark):
+    """Ids come from board ids and URLs, so rows of one URL have several ids and the other way round."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    days = {"new": 1500, "viewed": 1800, "skip_for_now": 900, "rejected": 700, "applied": None}
+    as_of, clock = b.ts(b.AS_OF_RAW), datetime.datetime.fromisoformat(b.AS_OF_RAW)
+    few = F.col("source_id").isin("src0", "src2", "src4") & (F.xxhash64("pos") % 2 == 0)
+    raw = qq.raw_runs(spark, SF).filter(few).withColumn("retrieved_at", F.col("seen_at"))
+    # Few URLs and few ids: each is met in many pairs.
+    n = F.xxhash64("pos", F.lit(1))
+    raw = raw.withColumns({
+        "external_id": F.when(n % 3 != 0, F.concat(F.lit("x"), F.pmod(n, F.lit(60)).cast("string"))),
+        "url": F.concat(F.lit("https://jobs.example.com/p/"), F.pmod(F.xxhash64("pos", F.lit(2)), F.lit(90)).cast("string")),
+    }).drop("description_source")
+    first_rows, later_rows = (raw.filter(c).drop("captured_at") for c in (F.col("captured_at") < b.ts(qst.FIRST_UNTIL), F.col("captured_at") >= b.ts(qst.SECOND_FROM)))
+    policy, none = merge.retention_policy_rows(spark, days), spark.createDataFrame([], STATUS)
+    collected = [[r.asDict() for r in gated(x, as_of, None, None, "reject_source")[1].collect()] for x in (first_rows, later_rows)]
+    assert all(len({r["id"] for r in rows}) > 20 for rows in collected)
+    first = refresh(None, none, first_rows, as_of, policy=policy)
+    store, statuses, gone, deltas = one_at_a_time({}, {}, collected[0], clock, days)
+    check(first, store, statuses, gone, deltas)
+    acted = qst.acted_on(first.postings)
+    known = {r["job_id"]: (r["status"], r["last_action_at"]) for r in acted.collect()}
+    assert len({s for s, _ in known.values()}) == 4
+    second = refresh(first.postings, acted, later_rows, as_of, policy=policy)
+    store, statuses, gone, deltas = one_at_a_time(store, known, collected[1], clock, days)
+    assert set(gone.values()) == {"absent", "expired"} and len(set(deltas.values())) > 1 and len(statuses) > len(known) - len(gone)
+    check(second, store, statuses, gone, deltas)
+
+
+def check(after, store, statuses, gone, deltas):
+    fields = [c for c in merge.UPDATED if c != "structured_meta"]
+    shown = {r["id"]: {c: r[c] for c in [*fields, "source_id", "source_url"]} for r in after.postings.collect()}
+    assert shown == {i: {c: r[c] for c in [*fields, "source_id", "source_url"]} for i, r in store.items()}
+    assert {r["job_id"]: (r["status"], r["last_action_at"]) for r in after.applications.collect()} == statuses
+    assert {r["id"]: r["why"] for r in after.deleted.collect()} == gone
+    assert {r["id"]: r["delta"] for r in after.deltas.collect()} == deltas
