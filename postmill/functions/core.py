@@ -17,6 +17,9 @@ WS_CLASS = r"\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{2
 # The intersection lets printable ASCII fail on one range test. A single blank is left alone.
 _SPACE = rf"[[\x00-\x20\x7F-\x{{FFFF}}]&&[{WS_CLASS}]]"
 WS = rf"{_SPACE}{{2,}}|[{_SPACE}&&[^ ]]"
+# Any other character; and text that is neither blank nor the word unknown. Both are decided at the first letters.
+SOMETHING = f"[^{WS_CLASS}]"
+KNOWN = rf"(?iu)^(?![{WS_CLASS}]*unknown[{WS_CLASS}]*\z)[{WS_CLASS}]*[^{WS_CLASS}]"
 
 # ASCII word boundary for java.util.regex.
 W = "[A-Za-z0-9_]"
@@ -83,9 +86,14 @@ def nonempty(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def is_blank(c: Column) -> Column:
+    """Null or white space alone, as ``text(c) == ""``."""
+    return ~F.coalesce(c.rlike(SOMETHING), F.lit(False))
+
+
 def is_present(c: Column) -> Column:
-    t = lower_text(c)
-    return (t != "") & (t != "unknown")
+    """Neither blank nor "unknown" in any case, as ``lower_text`` would show it."""
+    return F.coalesce(c.rlike(KNOWN), F.lit(False))
 
 
 def join_text(arr: Column, sep: str = ", ") -> Column:

@@ -26,13 +26,15 @@ def with_posted(
     these has no timestamp. The age of a dated text never goes below zero.
     """
     shaped = df.withColumn("_raw", text(raw)).withColumn(
-        "_abs", F.regexp_replace(F.col("_raw"), r"(?i)^posted on\s+", "")
-    ).withColumns(
+        "_low", F.lower("_raw")
+    )
+    ago = F.col("_low").endswith(" ago")
+    posted_on = F.regexp_replace(F.col("_raw"), r"(?i)^posted on\s+", "")
+    shaped = shaped.withColumns(
         {
-            "_low": F.lower("_raw"),
-            "_title": F.initcap("_abs"),
-            "_n": nonempty(F.regexp_extract(F.lower("_raw"), RELATIVE, 1)).try_cast("bigint"),
-            "_unit": F.regexp_extract(F.lower("_raw"), RELATIVE, 2),
+            "_abs": F.when(F.col("_low").startswith("posted on"), posted_on).otherwise(F.col("_raw")),
+            "_n": F.when(ago, nonempty(F.regexp_extract("_low", RELATIVE, 1)).try_cast("bigint")),
+            "_unit": F.when(ago, F.regexp_extract("_low", RELATIVE, 2)).otherwise(""),
         }
     )
     low, n, unit = F.col("_low"), F.col("_n"), F.col("_unit")
@@ -41,7 +43,7 @@ def with_posted(
     per_day = F.when(unit == "year", 365).when(unit == "month", 30).when(unit == "week", 7).otherwise(1).cast("bigint")
     read = F.when(F.col("_abs").rlike(ISO_SHAPE), F.col("_abs").try_cast("timestamp"))
     for shape, fmt in DATE_FORMATS:
-        read = read.when(F.col("_abs").rlike(shape), F.try_to_timestamp("_title", F.lit(fmt)))
+        read = read.when(F.col("_abs").rlike(shape), F.try_to_timestamp(F.initcap("_abs"), F.lit(fmt)))
     # Ages beyond the calendar (before the year 100 or so) keep their days and have no timestamp.
     near = F.when(n * per_day <= 1900 * 365, n).cast("int")
     back = F.make_interval(
@@ -65,7 +67,7 @@ def with_posted(
     age = F.greatest(F.lit(0).cast("bigint"), whole_days(F.col(ts), as_of))
     return out.withColumn(
         days, F.when(F.col(ts).isNotNull(), age).otherwise(per_unit.cast("bigint"))
-    ).drop("_raw", "_abs", "_low", "_title", "_n", "_unit")
+    ).drop("_raw", "_abs", "_low", "_n", "_unit")
 
 
 def whole_days(ts: Column, as_of: Column) -> Column:

@@ -32,14 +32,18 @@ def split_url(t: Column) -> Column:
         t.alias("text"),
         scheme.alias("scheme"),
         F.lower(F.regexp_extract(t, HEAD, 2)).alias("host"),
-        F.regexp_replace(
-            F.concat(scheme, F.lit(":"), F.regexp_extract(t, HEAD, 3)),
-            "^(?:https:443$|http:80$|[a-z]*:)",
-            "",
-        ).alias("port"),
+        # Only a colon behind that of the scheme can start a port.
+        F.when(
+            F.locate(":", t, 7) > 0,
+            F.regexp_replace(
+                F.concat(scheme, F.lit(":"), F.regexp_extract(t, HEAD, 3)),
+                "^(?:https:443$|http:80$|[a-z]*:)",
+                "",
+            ),
+        ).otherwise("").alias("port"),
         F.when(path == "", F.lit("/")).otherwise(path).alias("path"),
-        F.regexp_extract(t, QUERY, 1).alias("query"),
-        F.regexp_extract(t, FRAGMENT, 1).alias("fragment"),
+        F.when(t.contains("?"), F.regexp_extract(t, QUERY, 1)).otherwise("").alias("query"),
+        F.when(t.contains("#"), F.regexp_extract(t, FRAGMENT, 1)).otherwise("").alias("fragment"),
     )
 
 
@@ -74,19 +78,23 @@ def linkedin_path_id(u: Column) -> Column:
 
 
 def with_board_ids(df: DataFrame, u: str = "_u") -> DataFrame:
-    """Stage the ids that LinkedIn, Indeed and Google URLs carry (empty when absent)."""
+    """Stage the ids that LinkedIn, Indeed and Google URLs carry (empty when absent).
+
+    Each is cut out only where the host, and the name of the parameter, allow it.
+    """
     c = F.col(u)
     q, h = c["query"], c["fragment"]
-    by_query = F.regexp_extract(q, r"(?:^|&)(?:currentJobId|jobId)=(\d+)(?:&|$)", 1)
+    indeed, from_google = host_in(c["host"], "indeed.com"), host_in(c["host"], "google.com")
+    by_query = F.when(q.contains("obId="), F.regexp_extract(q, r"(?:^|&)(?:currentJobId|jobId)=(\d+)(?:&|$)", 1))
     staged = df.withColumns(
         {
             f"{u}_path_id": linkedin_path_id(c),
             f"{u}_query_id": by_query,
-            f"{u}_jk": F.regexp_extract(q, r"(?:^|&)(?:jk|vjk)=([^&]+)", 1),
-            f"{u}_docid": text(param(q, "docid")),
-            f"{u}_vhid": F.regexp_extract(param(h, "vhid"), r"(?i)(?:^|/)docid=([^&/]+)", 1),
-            f"{u}_hash": F.regexp_extract(
-                decode_component(h, "%2B"), r"(?i)(?:^|[/?&])docid=([^&/]+)", 1
+            f"{u}_jk": F.when(indeed, F.regexp_extract(q, r"(?:^|&)(?:jk|vjk)=([^&]+)", 1)),
+            f"{u}_docid": F.when(from_google, text(param(q, "docid"))),
+            f"{u}_vhid": F.when(from_google, F.regexp_extract(param(h, "vhid"), r"(?i)(?:^|/)docid=([^&/]+)", 1)),
+            f"{u}_hash": F.when(
+                from_google, F.regexp_extract(decode_component(h, "%2B"), r"(?i)(?:^|[/?&])docid=([^&/]+)", 1)
             ),
         }
     )
@@ -100,9 +108,9 @@ def with_board_ids(df: DataFrame, u: str = "_u") -> DataFrame:
                 c["ok"], first_present(F.col(f"{u}_path_id"), F.col(f"{u}_query_id"))
             ),
             f"{u}_indeed": F.when(
-                host_in(c["host"], "indeed.com"), text(decode_component(F.col(f"{u}_jk")))
+                indeed, text(decode_component(F.col(f"{u}_jk")))
             ),
-            f"{u}_google": F.when(host_in(c["host"], "google.com"), google),
+            f"{u}_google": F.when(from_google, google),
         }
     ).withColumns(
         {f"{u}_{n}": F.coalesce(F.col(f"{u}_{n}"), empty) for n in ("linkedin", "indeed", "google")}

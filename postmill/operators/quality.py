@@ -40,10 +40,11 @@ def capture_metrics(raw: DataFrame, keys: list[str], runs: DataFrame | None = No
     role = F.concat_ws(
         "|", lower_text(F.col("title")), lower_text(F.col("company")), lower_text(F.col("location"))
     )
-    staged = raw.select(
+    # The key travels as 128 bits; role texts are only made for rows without a URL.
+    staged = raw.withColumn("_url", text(F.col("url"))).select(
         *keys,
-        F.coalesce(nonempty(lower_text(F.col("url"))), role).alias("_key"),
-        is_http_url(F.col("url")).alias("_valid"),
+        F.unhex(F.md5(F.coalesce(nonempty(F.lower("_url")), role))).alias("_key"),
+        (F.col("_url").ilike("http%") & is_http_url(F.col("_url"))).alias("_valid"),
         *[is_present(F.col(c)).alias(f"_p_{f}") for f, c in FIELD_COLUMNS.items()],
     )
     flags = ["_valid", *[f"_p_{f}" for f in FIELD_COLUMNS]]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -68,12 +70,18 @@ def cumulative(counts: DataFrame, value: str, n: str = "n", cells: int = 256) ->
 
     ``counts`` has one row per distinct value. Cells are cut at approximate quantiles of the distinct
     values, so an outlier changes no other cell; the running total over cells is the only single-task
-    step and has at most ``cells`` rows, the one inside a cell sees about 1/cells of the distinct values.
+    step and has at most ``cells`` rows, the one inside a cell sees about 1/cells of the distinct values. A value
+    finds its cell among every ``step``-th cut, then among the cuts behind that one.
     """
+    step = max(1, math.isqrt(cells))
     at = [i / cells for i in range(1, cells)] or [0.5]
-    cuts = counts.agg(F.percentile_approx(value, at, 10 * cells).alias("q")).scalar()
-    below = F.size(F.filter("_cuts", lambda c: c <= F.col(value)))
-    celled = counts.withColumn("_cuts", cuts).withColumn("_cell", F.coalesce(below, F.lit(0))).drop("_cuts")
+    found = counts.agg(F.percentile_approx(value, at, 10 * cells).alias("q")).select(
+        F.struct("q", F.filter("q", lambda _, i: (i + 1) % step == 0).alias("coarse")).alias("cuts")
+    ).scalar()
+    upto = lambda cuts: F.coalesce(F.size(F.filter(cuts, lambda c: c <= F.col(value))), F.lit(0))
+    celled = counts.withColumn("_cuts", found).withColumn("_coarse", upto(F.col("_cuts.coarse"))).withColumn(
+        "_cell", F.col("_coarse") * step + upto(F.slice("_cuts.q", F.col("_coarse") * step + 1, step - 1 or 1))
+    ).drop("_cuts", "_coarse")
     per_cell = celled.groupBy("_cell").agg(F.sum(n).alias("_s"))
     before = per_cell.select(
         "_cell",
