@@ -155,3 +155,33 @@ def test_hostile_relative_dates(spark):
     out = dates.with_posted(df, F.col("x"), F.lit("2001-11-05 00:00:00").cast("timestamp"), "ts", "days").collect()
     assert [r["ts"] is None for r in out] == [True] * 4 + [False]
     assert [r["days"] for r in out] == [9999999 * 365, 300000 * 365, 3500000000, None, 3]
+
+
+def test_blank_and_present_equal_normalised_text(spark):
+    from postmill.functions import core
+
+    odd = ["", " ", "un\u212anown", "\u00a0\u3000", "\ufeffunknown\ufeff", "\t\n", " 　", "unknown", " UnKnown ", "unKnown", "unknown x", "x unknown", "unknownx", "\x85", "a\nunknown", "unknown\n\n", "\n unknown", "0", None, "﻿unknown﻿", "un known"]
+    df = spark.createDataFrame([(x,) for x in odd], "x string")
+    t = core.lower_text(F.col("x"))
+    wrong = df.filter((core.is_blank(F.col("x")) != (t == "")) | (core.is_present(F.col("x")) != ((t != "") & (t != "unknown"))))
+    assert wrong.collect() == [] and df.filter(core.is_present(F.col("x"))).count() == 7
+
+
+def test_url_parts_that_hosts_and_marks_decide(spark):
+    from postmill.functions import url
+
+    cases = {
+        "https://A.example.com:8443/x?y=1#z": ("8443", "y=1", "z"), "http://a.example.com:80/x": ("", "", ""),
+        "https://a.example.com:443/x": ("", "", ""), "http://u:p@a.example.com/x#q?r": ("", "", "q?r"), "https://a.example.com/x:9?": ("", "", ""),
+    }
+    df = spark.createDataFrame([(x,) for x in cases], "x string")
+    got = {r["x"]: (r["_u"]["port"], r["_u"]["query"], r["_u"]["fragment"]) for r in url.with_url(df, F.col("x")).collect()}
+    assert got == cases
+    boards = {
+        "https://www.indeed.com/viewjob?vjk=a%20b": ("", "a b", ""), "https://example.com/viewjob?jk=a": ("", "", ""),
+        "https://www.google.com/search?q=x#vhid=%2Fdocid%3DAb1": ("", "", "Ab1"), "https://www.google.com/search?docid=Q": ("", "", "Q"),
+        "https://www.linkedin.com/jobs/search?currentJobId=77": ("77", "", ""), "https://example.com/?x=1&jobId=8#docid=9": ("8", "", ""),
+    }
+    df = spark.createDataFrame([(x,) for x in boards], "x string")
+    staged = url.with_board_ids(url.with_url(df, F.col("x")))
+    assert {r["x"]: (r["_u_linkedin"], r["_u_indeed"], r["_u_google"]) for r in staged.collect()} == boards

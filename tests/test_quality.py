@@ -96,3 +96,24 @@ def test_keep_newest_replaces_rerecorded(rows):
     h = rows([{"k": "s", "c": t(1), "r": t(1), "v": 1}, {"k": "s", "c": t(1), "r": t(2), "v": 2}, {"k": "s", "c": t(3), "r": t(3), "v": 3}, {"k": "s", "c": t(2), "r": t(3), "v": 4}], "k string, c timestamp, r timestamp, v int")
     assert sorted(r.v for r in quality.keep_newest(h, ["k"], 2, "c", "r").collect()) == [3, 4]
     assert sorted(r.v for r in quality.keep_newest(h, ["k"], 9, "c", "r").collect()) == [2, 3, 4]
+
+
+def test_source_cap_reads_once_and_keeps_sources_without_a_limit(spark, rows):
+    data = [{"source_id": "hot", "pos": i} for i in range(500)] + [{"source_id": "free", "pos": i} for i in range(40)] + [{"source_id": None, "pos": 1}]
+    raw = rows(data, "source_id string, pos int")
+    sources = rows([{"source_id": "hot", "max_jobs": 7}, {"source_id": "free"}, {"source_id": "idle", "max_jobs": 3}], "source_id string, max_jobs int")
+    capped = quality.source_cap(raw, sources)
+    got = [(r["source_id"], r["pos"]) for r in capped.collect()]
+    assert sorted(p for s, p in got if s == "hot") == list(range(7))
+    assert sorted(p for s, p in got if s == "free") == list(range(40)) and (None, 1) in got and len(got) == 48
+    assert capped.columns == raw.columns and quality.source_cap(raw.limit(0), sources).count() == 0
+
+
+def test_every_query_plans_with_the_settings_of_the_session(spark):
+    from postmill.plans import queries_quality  # noqa: F401
+    from postmill.plans.catalog import QUERIES
+    from postmill.session import PLANNING
+
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "false")
+    QUERIES["q_source_cap"](spark, "/root/testdata/sf0.001")
+    assert all(spark.conf.get(name).lower() == value.lower() for name, value in PLANNING.items())
