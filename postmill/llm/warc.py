@@ -2,9 +2,10 @@
 
 Records are gzip members of their own, as usual for ``.warc.gz``. A reader plans one partition per
 group of files, parses each record's header first, checks it against the pushed-down predicates, and
-drops blocks that are not wanted: in plain ``.warc`` by a seek, in ``.warc.gz`` they are inflated all the same, and only
-their digest check and their way to Spark are saved. Files go through Arrow's file systems (local, HDFS, S3, GCS), never
-through open(); a file that no manifest names (a lost or repeated attempt) is not part of the archive.
+seeks past blocks that are not wanted. The writer notes each member's length in its gzip header (extra field ``sl``), so
+no more than the first kilobyte or so of an unwanted record is inflated; members of other writers without that
+field are inflated and dropped. Files go through Arrow's file systems (local, HDFS, S3, GCS), never through open();
+a file that no manifest names (a lost or repeated attempt) is not part of the archive.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -41,7 +43,13 @@ WRITE_SCHEMA = "page_id string, url string, payload binary, refers_to string"
 ROLL_BYTES = 256 << 20  # a task begins a new file beyond that
 GROUP_BYTES = 64 << 20  # files read by one partition
 CHUNK = 1 << 20
+STEP = 1 << 14  # packed bytes inflated at a time
+HEAD_STEP = 1 << 10  # bytes inflated at a time while a header is sought
 LEVEL = 4
+# Gzip header with one extra field: kind, time and system, length of the field, its name and size, then both lengths.
+SKIP = "<4s6sH2sHII"
+SKIP_BYTES = struct.calcsize(SKIP)
+GZIP_EXTRA = b"\x1f\x8b\x08\x04"
 SAFE = str.maketrans({"\r": "%0D", "\n": "%0A"})
 
 
@@ -69,26 +77,65 @@ def record(page_id: str | None, url: str | None, payload: bytes, refers_to: str
     return VERSION + "".join(f"{k}: {v}\r\n" for k, v in lines).encode() + b"\r\n" + block + END
 
 
+def member(data: bytes) -> bytes:
+    """One gzip member around ``data``; its extra field ``sl`` holds the lengths of the member and of the data.
+
+    Binary values of Spark end at 2 GB, so both lengths fit their four bytes.
+    """
+    pack = zlib.compressobj(LEVEL, zlib.DEFLATED, -15)
+    body = pack.compress(data) + pack.flush()
+    skip = struct.pack(SKIP, GZIP_EXTRA, b"\0\0\0\0\0\xff", 12, b"sl", 8, SKIP_BYTES + len(body) + 8, len(data))
+    return skip + body + struct.pack("<II", zlib.crc32(data), len(data))
+
+
 class Members:
-    """Bytes of a ``.warc`` or ``.warc.gz`` stream, read on demand; gzip members follow each other."""
+    """Bytes of a ``.warc`` or ``.warc.gz`` stream, read on demand; gzip members follow each other.
+
+    ``inflated`` counts the bytes that came out of gzip members. A member whose header says how long it is
+    is left by a seek as soon as nothing more of it is wanted; others are inflated to their end.
+    """
 
     def __init__(self, stream, packed: bool):
-        self.stream, self.packed, self.raw, self.buffer = stream, packed, b"", b""
-        self.inflate = zlib.decompressobj(31) if packed else None
+        self.stream, self.packed, self.buffer, self.inflated = stream, packed, b"", 0
+        self.raw, self.at = b"", 0  # packed bytes read, and how many of them are used
+        self.inflate, self.ends, self.left = None, None, 0  # open member, its end in the file, its bytes to come
+
+    def ready(self, n: int) -> bool:
+        """At least n packed bytes are at hand."""
+        while len(self.raw) - self.at < n:
+            got = self.stream.read(CHUNK)
+            if not got:
+                return False
+            self.raw, self.at = self.raw[self.at:] + got, 0
+        return True
 
-    def more(self) -> bool:
+    def open_member(self) -> None:
+        self.inflate, self.ends = zlib.decompressobj(31), None
+        if self.ready(SKIP_BYTES):
+            kind, _, _, name, size, length, plain = struct.unpack_from(SKIP, self.raw, self.at)
+            if kind == GZIP_EXTRA and name == b"sl" and size == 8:
+                self.ends = self.stream.tell() - (len(self.raw) - self.at) + length
+                self.left = plain
+
+    def more(self, most: int = CHUNK) -> bool:
+        """Add to the buffer, at most ``most`` bytes of a packed file; False at the end."""
+        if not self.packed:
+            got = self.stream.read(CHUNK)
+            self.buffer += got
+            return bool(got)
         while True:
-            if not self.packed:
-                got = self.stream.read(CHUNK)
-                self.buffer += got
-                return bool(got)
-            self.raw = self.raw or self.stream.read(CHUNK)
-            if not self.raw:
+            if not self.ready(1):
                 return False
-            got = self.inflate.decompress(self.raw)
-            self.raw = self.inflate.unused_data
+            if self.inflate is None:
+                self.open_member()
+            fed = self.raw[self.at:self.at + STEP]
+            got = self.inflate.decompress(fed, most)
+            # At the end of a member both hold the rest.
+            self.at += len(fed) - len(self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail)
+            self.inflated += len(got)
+            self.left -= len(got)
             if self.inflate.eof:
-                self.inflate = zlib.decompressobj(31)
+                self.inflate = None
             if got:
                 self.buffer += got
                 return True
@@ -98,7 +145,7 @@ class Members:
         at = self.buffer.find(mark)
         while at < 0:
             seen = max(0, len(self.buffer) - len(mark) + 1)
-            if not self.more():
+            if not self.more(HEAD_STEP):
                 return None
             at = self.buffer.find(mark, seen)
         out, self.buffer = self.buffer[:at], self.buffer[at + len(mark):]
@@ -118,17 +165,30 @@ class Members:
         return whole[:n]
 
     def skip(self, n: int) -> None:
-        """Pass over n bytes, by a seek where the file is not packed."""
+        """Pass over n bytes: by a seek in plain files and where they reach the end of a member of known length."""
         while n > len(self.buffer):
             n -= len(self.buffer)
             self.buffer = b""
             if not self.packed:
                 self.stream.seek(self.stream.tell() + n)
                 return
-            if not self.more():
+            if self.inflate is not None and self.ends is not None and n >= self.left:
+                n -= self.left
+                self.leave()
+            elif not self.more(min(n, CHUNK)):
                 raise ValueError("a record ends before its Content-Length")
         self.buffer = self.buffer[n:]
 
+    def leave(self) -> None:
+        """Go to the end of the open member."""
+        ahead = self.ends - (self.stream.tell() - (len(self.raw) - self.at))
+        if ahead <= len(self.raw) - self.at:
+            self.at += ahead
+        else:
+            self.stream.seek(self.ends)
+            self.raw, self.at = b"", 0
+        self.inflate = None
+
 
 def _parse(head: bytes) -> dict[str, str]:
     lines = head.decode("utf-8", "replace").split("\r\n")
@@ -227,10 +287,9 @@ class WarcWriter(DataSourceArrowWriter):
                 if out is None:
                     name = f"part-{uuid.uuid4().hex}.warc.gz"
                     out, size = system.open_output_stream(f"{root}/{name}", compression=None), 0
-                pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-                member = pack.compress(record(page_id, url, payload or b"", refers_to, refers_to is not None, self.date)) + pack.flush()
-                out.write(member)
-                size += len(member)
+                packed = member(record(page_id, url, payload or b"", refers_to, refers_to is not None, self.date))
+                out.write(packed)
+                size += len(packed)
                 if size >= ROLL_BYTES:
                     out.close()
                     files.append((name, size))
@@ -308,7 +367,7 @@ def write_warc(
 def read_warc(spark: SparkSession, path: str, payload: bool = True, verify: bool = False) -> DataFrame:
     """Records under ``path``; filters on header columns are pushed into the scan.
 
-    ``payload`` false leaves blocks out (of plain files unread, of gzip files inflated and dropped); ``verify`` compares payloads with their digests (column
+    ``payload`` false leaves blocks out, unread beyond their beginning; ``verify`` compares payloads with their digests (column
     intact). A path without archives gives no rows.
     """
     spark.dataSource.register(WarcSource)

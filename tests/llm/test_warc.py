@@ -1,5 +1,8 @@
 import base64
+import gzip
 import hashlib
+import io
+import random
 import uuid
 
 import pytest
@@ -54,8 +57,6 @@ def test_payloads_and_predicates(spark, path):
 
 
 def test_plain_file_is_skipped_by_seek(tmp_path):
-    import io
-
     records = [warc.record(str(i), f"http://x/{i}", b"y" * 3_000_000, None, False, "2024-01-01T00:00:00Z") for i in range(3)]
     data = warc.Members(io.BytesIO(b"".join(records)), False)
     for _ in records:
@@ -64,6 +65,57 @@ def test_plain_file_is_skipped_by_seek(tmp_path):
     assert data.until(warc.END) is None
 
 
+def payloads(sizes, seed=3):
+    rng = random.Random(seed)
+    return [rng.randbytes(n) if i % 2 else b"line of text\r\n\r\n" * (n // 16) for i, n in enumerate(sizes)]
+
+
+def test_unwanted_blocks_of_gzip_files_are_not_inflated():
+    blocks = payloads([2_000_000, 3_000_000, 0, 40, 900, 5000, 1_500_000] * 3)
+    records = [warc.record(str(i), f"http://x/{i}", b, None, False, "2024-01-01T00:00:00Z") for i, b in enumerate(blocks)]
+    whole = b"".join(map(warc.member, records))
+    assert gzip.decompress(whole) == b"".join(records)  # still plain gzip to others
+    for wanted in ({0, 5, 20}, set(), {1}, set(range(len(blocks)))):
+        data, seen = warc.Members(io.BytesIO(whole), True), 0
+        for i, block in enumerate(blocks):
+            head = warc._parse(data.until(warc.END))
+            n = int(head["content-length"])
+            assert head["x-page-id"] == str(i)
+            if i in wanted:
+                assert data.take(n).partition(warc.END)[2] == block
+                data.skip(len(warc.END))
+                seen += n
+            else:
+                data.skip(n + len(warc.END))
+        assert data.until(warc.END) is None
+        assert seen <= data.inflated <= seen + 2 * warc.HEAD_STEP * len(blocks)
+
+
+def test_gzip_members_of_other_writers_are_read():
+    blocks = payloads([70_000, 1_200_000, 0, 300])
+    records = [warc.record(str(i), None, b, None, False, "2024-01-01T00:00:00Z") for i, b in enumerate(blocks)]
+    # One member per record, two records in one member, and members with and without lengths mixed.
+    for whole in (b"".join(map(gzip.compress, records)), gzip.compress(b"".join(records[:2])) + warc.member(b"".join(records[2:])), warc.member(records[0]) + gzip.compress(b"".join(records[1:]))):
+        for wanted in (set(), {1, 3}, {0, 2}):
+            data = warc.Members(io.BytesIO(whole), True)
+            for i, block in enumerate(blocks):
+                n = int(warc._parse(data.until(warc.END))["content-length"])
+                if i in wanted:
+                    assert data.take(n).partition(warc.END)[2] == block
+                    data.skip(len(warc.END))
+                else:
+                    data.skip(n + len(warc.END))
+            assert data.until(warc.END) is None
+
+
+def test_a_cut_file_is_an_error():
+    whole = warc.member(warc.record("1", None, payloads([0, 50_000])[1], None, False, "2024-01-01T00:00:00Z"))
+    data = warc.Members(io.BytesIO(whole[:9000]), True)
+    n = int(warc._parse(data.until(warc.END))["content-length"])
+    with pytest.raises(ValueError):
+        data.take(n)
+
+
 def test_nothing_written_nothing_read(spark, path):
     warc.write_warc(spark.createDataFrame([], SCHEMA), path)
     assert warc.read_warc(spark, path).count() == 0
