@@ -76,11 +76,6 @@ def lower_text(c: Column) -> Column:
     return F.lower(text(c))
 
 
-def null_if_blank(c: Column) -> Column:
-    t = collapse(c)
-    return F.when(F.length(t) > 0, t)
-
-
 def nonempty(c: Column) -> Column:
     """null for the empty string, otherwise unchanged."""
     return F.nullif(c, F.lit(""))

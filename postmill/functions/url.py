@@ -14,7 +14,7 @@ from postmill.functions.core import first_present, nonempty, text
 
 HTTP = r"(?i)^(https?)://(?:[^/?#@\s]*@)?[^/?#:@\s]+(?::\d*)?(?:[/?#].*)?$"
 HEAD = r"(?i)^(https?)://(?:[^/?#@\s]*@)?([^/?#:@\s]+)(?::(\d*))?"
-PATH = r"(?i)^https?://[^/?#]+([^?#]*)"
+PATH = r"(?i)^https?://[^/?#]+/([^?#]*)"
 QUERY = r"^[^?#]*\?([^#]*)"
 FRAGMENT = r"^[^#]*#(.*)$"
 
@@ -26,7 +26,6 @@ def is_http_url(c: Column) -> Column:
 def split_url(t: Column) -> Column:
     """struct(ok, text, scheme, host, port, path, query, fragment) of normalised text."""
     scheme = F.lower(F.regexp_extract(t, HEAD, 1))
-    path = F.regexp_extract(t, PATH, 1)
     return F.struct(
         F.coalesce(t.rlike(HTTP), F.lit(False)).alias("ok"),
         t.alias("text"),
@@ -41,7 +40,7 @@ def split_url(t: Column) -> Column:
                 "",
             ),
         ).otherwise("").alias("port"),
-        F.when(path == "", F.lit("/")).otherwise(path).alias("path"),
+        F.concat(F.lit("/"), F.regexp_extract(t, PATH, 1)).alias("path"),
         F.when(t.contains("?"), F.regexp_extract(t, QUERY, 1)).otherwise("").alias("query"),
         F.when(t.contains("#"), F.regexp_extract(t, FRAGMENT, 1)).otherwise("").alias("fragment"),
     )

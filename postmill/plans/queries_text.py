@@ -449,9 +449,7 @@ FROM (SELECT pos, list_filter([CASE WHEN location IS NULL THEN 'location' END, C
     ),
 )
 def q_meta_quality(spark, sf):
-    missing = missing_fields(
-        F.col("location"), F.col("salary_text"), F.col("posted_at"), F.col("employment_type")
-    )
+    missing = missing_fields(*[text(F.col(c)) for c in ("location", "salary_text", "posted_at", "employment_type")])
     return b.b_raw(spark, sf).withColumn("m", missing).select(
         "pos", F.array_join("m", ",").alias("missing"), quality_score(F.col("m")).alias("quality")
     )
