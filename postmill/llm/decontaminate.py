@@ -19,6 +19,7 @@ MORE = ("011011011",)  # with it, no two substitutions in a stretch of 13 hide i
 STRETCH = 13  # words of an item laid beside the document; a shorter item is compared whole
 SIMILAR = 80  # percent of equal words
 FEW_SEEDS = 1_000_000  # seeds of test items that are broadcast at most (some 40 MB)
+SLOTS = 1 << 15  # rows of the table of marked seeds (16 MB in all)
 LETTERS = r"[\p{L}\p{N}]+"
 
 
@@ -42,38 +43,81 @@ def piece_of(n: int, percent: int) -> tuple[int, int]:
     return n // pieces, pieces
 
 
+def marked(seeds: DataFrame) -> DataFrame:
+    """A table of fixed size that tells nearly all other seeds from these: 2**27 bits, in SLOTS rows (``slot``, ``bits``) of 64 longs."""
+    at = seeds.select(slot_of(F.col("seed")).alias("slot"), word_of(F.col("seed")).alias("w"), bit_of(F.col("seed")).alias("b"))
+    words = at.groupBy("slot", "w").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("b"))).alias("v"))
+    held = words.groupBy("slot").agg(F.map_from_entries(F.collect_list(F.struct("w", "v"))).alias("m"))
+    return held.select("slot", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast("bigint"))).alias("bits"))
+
+
+def slot_of(seed: Column) -> Column:
+    return F.pmod(seed, F.lit(SLOTS)).cast("int")
+
+
+def word_of(seed: Column) -> Column:
+    return F.shiftrightunsigned(seed, 58).cast("int")
+
+
+def bit_of(seed: Column) -> Column:
+    return F.shiftrightunsigned(seed, 52).bitwiseAND(F.lit(63)).cast("int")
+
+
 def overlaps(docs: DataFrame, items: DataFrame, masks=MASKS, stretch=STRETCH, percent=SIMILAR, doc_id="doc_id", text="text", item_id="item_id", whole=False) -> DataFrame:
     """Verified overlaps: (doc_id, text_hash, item_id), each once. Items and documents shorter than a mask have none.
 
     ``whole`` finds what the masks miss, too: items of up to ``stretch`` words, down to one word, are also sought by
     intact pieces, and stretches of longer items also with the masks of MORE.
+
+    Items of equal words are sought as one. A position of a document is a row of its seed alone; the words of
+    a document come back once, for those with hits. Where the seeds of the items are too many to broadcast, positions
+    that cannot match are dropped by a table of fixed size before the exchange.
     """
     masks = (*masks, *MORE) if whole else masks
-    tests = settle(items.select(F.col(item_id).alias("item_id"), word_hashes(F.col("text")).alias("words")).filter(F.col("item_id").isNotNull()).distinct(), "items")
-    planted = with_seeds(tests, masks).select("seed", "item_id", "at")
+    named = items.select(F.col(item_id).alias("item_id"), word_hashes(F.col("text")).alias("words")).filter(F.col("item_id").isNotNull() & (F.size("words") > 0)).distinct()
+    named = settle(named, "items")
+    tests = settle(named.groupBy("words").agg(F.min("item_id").alias("item")), "item-texts")
+    planted = with_seeds(tests, masks).select("seed", "item", "at", F.size("words").alias("n"))
     lengths = sorted(r["n"] for r in tests.select(F.size("words").alias("n")).filter(F.col("n").between(1, stretch)).distinct().collect()) if whole else []
     for n in lengths:
         size, pieces = piece_of(n, percent)
         starts = F.array(*(F.lit(size * i) for i in range(pieces)))
-        planted = planted.unionByName(with_seeds(tests.filter(F.size("words") == n), ("1" * size,)).filter(F.array_contains(starts, F.col("at"))).select("seed", "item_id", "at"))
+        short = with_seeds(tests.filter(F.size("words") == n), ("1" * size,)).filter(F.array_contains(starts, F.col("at")))
+        planted = planted.unionByName(short.select("seed", "item", "at", F.lit(n).alias("n")))
     seeds = settle(planted.withColumnRenamed("at", "item_at").distinct(), "seeds")
-    small = F.broadcast if seeds.count() <= FEW_SEEDS else (lambda df: df)
+    few = seeds.count() <= FEW_SEEDS
+    small = F.broadcast if few else (lambda df: df)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), word_hashes(F.col(text)).alias("words"))
-    sown = with_seeds(rows, masks)
+    columns = ["doc_id", "text_hash", "at", "seed"]
+    sown = with_seeds(rows, masks).select(columns)
     for size in sorted({piece_of(n, percent)[0] for n in lengths}):
-        sown = sown.unionByName(with_seeds(rows, ("1" * size,)))
-    hits = sown.join(small(seeds), "seed").withColumn("shift", F.col("at") - F.col("item_at"))
-    laid = hits.join(small(tests.select("item_id", F.col("words").alias("item_words"))), "item_id")
-
-    equal = F.transform("item_words", lambda w, i: F.when(F.get("words", i + F.col("shift")) == w, 1).otherwise(0))
+        sown = sown.unionByName(with_seeds(rows, ("1" * size,)).select(columns))
+    if not few:
+        bits = F.broadcast(settle(marked(seeds.select("seed").distinct()), "seed-bits"))
+        hit = F.call_function("getbit", F.get("bits", word_of(F.col("seed"))), bit_of(F.col("seed"))) == 1
+        sown = sown.withColumn("slot", slot_of(F.col("seed"))).join(bits, "slot").filter(hit).select(columns)
+    # Seeds of one overlap lie on one diagonal: it is laid out once.
+    hits = sown.join(small(seeds), "seed").select("doc_id", "text_hash", "item", "n", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    held, hashed = own_name("id"), own_name("hash")
+    per_text = hits.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item", "n", "shift")).alias("hits"))
+    per_text = settle(per_text.select(F.col("doc_id").alias(held), F.col("text_hash").alias(hashed), "hits"), "hits")
+    met = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    met = met.join(per_text, F.col("doc_id").eqNullSafe(F.col(held)) & (F.xxhash64("text") == F.col(hashed)))
+    met = met.select("doc_id", F.col(hashed).alias("text_hash"), "hits", word_hashes(F.col("text")).alias("words"))
+    beside = lambda h: F.transform(F.sequence(F.lit(0), h["n"] - 1), lambda i: F.get("words", i + h["shift"]))
+    laid = met.select("doc_id", "text_hash", F.inline(F.transform("hits", lambda h: F.struct(h["item"].alias("item"), beside(h).alias("beside")))))
+    laid = laid.join(small(tests.select("item", F.col("words").alias("item_words"))), "item")
+
+    equal = F.zip_with("item_words", "beside", lambda w, d: F.when(d == w, 1).otherwise(0))
     length = F.least(F.size("item_words"), F.lit(stretch))
     alike = F.exists(
         F.sequence(F.lit(1), F.size("equal") - F.col("length") + 1),
         lambda s: 100 * F.aggregate(F.slice("equal", s, F.col("length")), F.lit(0), lambda a, x: a + x) >= percent * F.col("length"),
     )
-    # Seeds of one overlap lie on one diagonal: it is laid out once.
-    laid = laid.select("doc_id", "text_hash", "item_id", "shift", equal.alias("equal"), length.alias("length")).distinct()
-    return laid.filter(alike).select("doc_id", "text_hash", "item_id").distinct()
+    laid = laid.select("doc_id", "text_hash", "item", equal.alias("equal"), length.alias("length"))
+    found = laid.filter(alike).select("doc_id", "text_hash", "item").distinct()
+    same = named.join(small(tests), "words").select("item", "item_id")
+    return found.join(small(same), "item").select("doc_id", "text_hash", "item_id")
 
 
 def contamination(docs: DataFrame, items: DataFrame, doc_id="doc_id", text="text", **how) -> DataFrame:

@@ -175,3 +175,33 @@ def test_whole_search_as_the_rule_without_masks(spark):
     for i, (n, wrong, _) in enumerate(texts, 1):
         m = min(n, 13)
         assert got[i] == ([n] if 100 * (m - len(wrong)) >= 80 * m else []), (n, wrong)
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_seeds_too_many_to_broadcast(spark, monkeypatch, whole):
+    monkeypatch.setattr(decontaminate, "FEW_SEEDS", 0)
+    item = " ".join(words(40, 9))
+    long = words(20_000, 10, 4000)
+    long[15_000:15_020] = item.split()[5:25]
+    texts = [" ".join(long), " ".join(words(30, 11)), "before " + item + " after", None, ""]
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+    bench = spark.createDataFrame([(1, item), (2, item), (3, " ".join(words(40, 12))), (4, "")], "item_id long, text string")
+    got = {r["doc_id"]: r["items"] for r in decontaminate.contamination(docs, bench, whole=whole).collect()}
+    assert got == {1: [1, 2], 2: [], 3: [1, 2], 4: [], 5: []}
+    wide = [(s, f"s{s}") for s in (-(1 << 63), -1, 0, 1, 5 << 57, (1 << 63) - 1)]
+    seeds = spark.createDataFrame(wide, "seed long, name string")
+    bits = {r["slot"]: r["bits"] for r in decontaminate.marked(seeds).collect()}
+    where = seeds.select(decontaminate.slot_of(F.col("seed")), decontaminate.word_of(F.col("seed")), decontaminate.bit_of(F.col("seed"))).collect()
+    assert all(bits[slot][w] >> b & 1 for slot, w, b in where)
+
+
+def test_words_do_not_travel_with_positions(spark, monkeypatch, capsys):
+    monkeypatch.setattr(decontaminate, "FEW_SEEDS", 0)
+    docs = spark.createDataFrame(rows_of(["a b c d e f g h i j k"]), SCHEMA)
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j k")], "item_id long, text string")
+    seen, settle = {}, decontaminate.settle
+    monkeypatch.setattr(decontaminate, "settle", lambda df, label: (seen.update({label: df}), settle(df, label))[1])
+    decontaminate.overlaps(docs, bench).collect()
+    seen["hits"].explain()
+    exchanges = [line for line in capsys.readouterr().out.splitlines() if "Exchange" in line]
+    assert exchanges and not any("words" in line for line in exchanges)
