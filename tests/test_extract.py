@@ -282,3 +282,44 @@ def test_inference_marks_survive_enrichment(rows):
     got = extract.enrich(inferred, detail).first()
     assert got["provenance"]["posted_at"] == "inferred_search_filter" and got["posted_at"].startswith("within 7")
     assert got["provenance"]["salary_text"] == "detail" and got["provenance"]["location"] == "card"
+
+
+def _plan(df, capsys):
+    capsys.readouterr()
+    df.explain()
+    return capsys.readouterr().out.splitlines()
+
+
+def test_filters_do_not_cut_pages_again(spark, capsys):
+    spark.conf.set("spark.sql.maxPlanStringLength", 10_000_000)
+    card = '<main><div id="job-card-7"><a data-id="company-title" href="/c">C</a><a href="/job/7" data-id="job-card-title">Some title</a></main>'
+    state = '<script id="__NEXT_DATA__" type="application/json">{"jobs":[{"title":"Some title","jobUrl":"/j/1","companyName":"C"}]}</script>'
+    # A literal would be folded.
+    pages = spark.createDataFrame([(1, "https://x.y/l", card), (2, "https://x.y/l", state), (3, "https://x.y/l", None)], "id long, url string, html string")
+    for found, target in ((extract.cards(pages, ["id"]), "https://x.y/job/7"), (extract.state_postings(pages, ["id"]), "https://x.y/j/1")):
+        filters = [line for line in _plan(found, capsys) if "Filter" in line]
+        assert filters and not any("regexp" in line or "RLIKE" in line for line in filters)
+        assert [(r.title, r.company, r.target) for r in found.collect()] == [("Some title", "C", target)]
+
+
+def test_marks_of_two_keys_are_short(rows, monkeypatch):
+    seen, settle = {}, extract.settle
+    monkeypatch.setattr(extract, "settle", lambda df, label="settled": seen.setdefault(label, settle(df, label)))
+    page = rows([{"s": "a", "pos": i, "external_id": str(i), "title": f"t{i}"} for i in range(3)], "s string, pos int, external_id string, title string, company string, location string")
+    assert extract.first_wins_two_keys(page, ["s"]).count() == 3
+    assert {len(r[c]) for r in seen["two-keys-marks"].collect() for c in "ab"} == {24}
+
+
+def test_recorded_captures_are_compressed(spark, tmp_path):
+    path = str(tmp_path / "c")
+    payloads = spark.createDataFrame([("s", [("t",)])], "sourceId string, jobs array<struct<title: string>>")
+    capture.write_payloads(payloads, path)
+    assert all(f.name.endswith(".json.gz") for f in (tmp_path / "c").iterdir() if f.name.startswith("part-"))
+    assert [r.title for r in capture.capture_rows(capture.read_captures(spark, path, lines=True)).collect()] == ["t"]
+
+
+def test_first_wins_query_moves_what_it_returns(spark, capsys):
+    from postmill.plans import queries_extract
+
+    aggregates = [line for line in _plan(queries_extract.q_first_wins(spark, "/root/testdata/sf0.001"), capsys) if "min_by" in line]
+    assert aggregates and not any("salary_text" in line or "description" in line for line in aggregates)
