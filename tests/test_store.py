@@ -159,3 +159,19 @@ def test_eligibility_order_and_mock(rows):
     forced = throttle.refresh_decision(waiting, F.lit(True), force=True).first()
     assert (forced.served_from, forced.status_reason, forced.status_label) == ("live", "force_refresh", "ready_live")
     assert throttle.refresh_decision(waiting, F.lit(False)).first().status_label == "throttled"
+
+
+def test_delta_exchanges_signatures_alone(rows, capsys):
+    delta = merge.classify_delta(rows([post(1)], DDL), incoming(rows, post(1), post(2)))
+    capsys.readouterr()
+    delta.explain()
+    aggregates = [line for line in capsys.readouterr().out.splitlines() if "min_by" in line]
+    assert aggregates and not any("description" in line or "company" in line for line in aggregates)
+
+
+def test_settled_tables_are_small(spark, tmp_path, monkeypatch):
+    from postmill.operators import settle
+
+    monkeypatch.setattr(settle, "new_path", lambda *_: str(tmp_path / "t"))
+    assert settle.settle(spark.range(10)).count() == 10
+    assert any(f.name.endswith(".zstd.parquet") or ".zstd." in f.name for f in (tmp_path / "t").iterdir())
