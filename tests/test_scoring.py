@@ -165,3 +165,26 @@ def test_criteria_sets_equal_one_set_at_a_time(rows, spark, monkeypatch):
     monkeypatch.setattr(criteria_sets, "SETS_PER_TILE", 4)
     got = {(r.user_id, r["rank"]): (r.id, r.score) for r in criteria_sets.best_for_users(df, users, F.lit(AS_OF), 4).collect()}
     assert got == want
+
+
+def test_postings_that_no_set_tells_apart_meet_no_set(rows, spark, monkeypatch):
+    """Of 240 postings with the same terms only those in front are compared with the sets; results are those of each set alone."""
+    from postmill.operators import criteria_sets
+
+    jobs = [
+        job(id=f"{i:03d}", title=["Senior Cook", "Data Lead"][i % 2], location="Berlin", description="knives", salary_text=f"${60 + i * 37 % 100},000", posted_at=AS_OF - dt.timedelta(days=i * 7 % 40))
+        for i in range(240)
+    ]
+    df = rows(jobs, DDL)
+    sets = [Criteria(title="cook", min_salary=100000.0, date_posted="2w"), Criteria(keywords="data", location="berlin", min_salary=155000.0)]
+    users = spark.createDataFrame([(i, c.title, c.keywords, c.location, c.min_salary, c.date_posted) for i, c in enumerate(sets)], "user_id int, title string, keywords string, location string, min_salary double, date_posted string")
+    want = {}
+    for i, c in enumerate(sets):
+        scored = sorted((-r.score, r.id) for r in scoring.score_criteria(df, c, F.lit(AS_OF)).select("id", "score").collect())
+        want |= {(i, k): (x[1], -x[0]) for k, x in enumerate(scored[:3], 1)}
+    compared, tiles = [], criteria_sets._tiles
+    monkeypatch.setattr(criteria_sets, "_tiles", lambda posts, *a: compared.append(posts.count()) or tiles(posts, *a))
+    for per_joined in (100, 0):  # all in tiles; pairs with common terms first
+        monkeypatch.setattr(criteria_sets, "PER_JOINED", per_joined, raising=False)
+        assert {(r.user_id, r["rank"]): (r.id, r.score) for r in criteria_sets.best_for_users(df, users, F.lit(AS_OF), 3).collect()} == want
+    assert max(compared) < 80
