@@ -199,6 +199,24 @@ def test_snapshot(spark):
     assert r.salary_text == "$120k/yr · 401k benefits" and r.summary == "PM Dismiss PM job"
 
 
+def test_snapshot_is_read_in_place(spark):
+    """Several blocks, one inside another, a repeated screen; lines are neither exchanged nor sorted."""
+    line = lambda n, s: " " * n + "- " + s
+    two = "\n".join([
+        line(0, "text: before"), line(2, 'button "A Dismiss A" [ref=e1] [cursor=pointer]:'), line(4, "text: Lead (Verified job)"), line(4, "text: Lead"), "", line(4, "text: Acme"),
+        line(4, "text: Posted on May 1"), line(4, 'button "B Dismiss B" [ref=e2] [cursor=pointer]:'), line(6, "generic [ref=e3]: Cook"), line(6, "text: Viewed"), line(6, "text: Bistro"), line(6, "text: Rome"),
+        line(6, "text: $5/hr"), line(4, "text: outside"), line(6, "text: Easy Apply"), line(2, 'button "Dismiss C" [ref=e4] [cursor=pointer]:'),
+    ])
+    df = spark.createDataFrame([("f", two), ("f", two), ("g", None), ("h", ""), (None, SNAP)], "file string, text string")
+    s = capture.snapshot_blocks(df)
+    plan = s._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan and plan.count("Exchange") == 1
+    got = {(r.file, r.block): (r.title, r.company, r.location, r.summary, r.salary_text, r.posted_at, r.easy_apply) for r in s.collect()}
+    assert s.count() == 3 and got.pop((None, next(b for f, b in got if f is None)))[:2] == ("Product Manager", "Acme")
+    assert got == {
+        ("f", 1): ("Lead", "Acme", None, "A Dismiss A", None, "May 1", False), ("f", 7): ("Cook", "Bistro", "Rome", "B Dismiss B", "$5/hr", None, False)}
+
+
 def test_capture_files(spark, tmp_path):
     ok = {"sourceId": "a", "capturedAt": "2024-01-02T00:00:00.000Z", "expectedCount": 20, "captureFunnel": {"availableCount": "7.6", "importedCount": -1},
           "pageUrl": "https://p", "jobs": [{"title": "T", "externalId": "1", "extractorProvenance": {"description": "detail"}}, {"title": "U"}]}
