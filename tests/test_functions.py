@@ -185,3 +185,23 @@ def test_url_parts_that_hosts_and_marks_decide(spark):
     df = spark.createDataFrame([(x,) for x in boards], "x string")
     staged = url.with_board_ids(url.with_url(df, F.col("x")))
     assert {r["x"]: (r["_u_linkedin"], r["_u_indeed"], r["_u_google"]) for r in staged.collect()} == boards
+
+
+def test_plain_urls_are_cut_as_by_the_patterns(spark):
+    from postmill.functions import url as u
+
+    plain = ["https://jobs.example.com/p/12?s=3", "HTTP://Host.Example", "https://h/", "https://h?a=b?c/d", "http://h/a//b:80/c?", "https://h?", "https://h/a?x=http://y/z:1&@", "https://h//", "http://h/%20a"]
+    other = ["https://u:p@h/x", "https://h:443/x", "http://h:8080", "https://h/x#f", "https://h#f?x", "posting 12", "", "https://", "https:///x", "https://h/a b", "https://h/\u00e9", "https://h/a\u0085b",
+             "ftp://h/x", "https://h:abc/x", "xhttps://h/x", "https://h@", "https://?q", "  https://h/x  ", None, "https://h/x\n"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(plain + other)], "i int, url string")
+    got = u.with_url(df, F.col("url")).withColumn("want", u.split_url(u.text(F.col("url")))).withColumn("fast", u.text(F.col("url")).rlike(u.PLAIN)).collect()
+    assert [r.url for r in got if r["_u"] != r["want"]] == []
+    assert {r.url for r in got if r.fast} == {*plain, "  https://h/x  ", "https://h/x\n"}
+
+
+def test_column_text_equals_text(spark):
+    from postmill.functions import core
+
+    odd = [None, "", " ", "  ", "a b", " a b ", "a  b", "a\tb", "\n", "a\x0bb", "a\fb", "a\rb", "a\x1fb", "a\x00b", "caf\u00e9  x", "a\u00a0b", "a\u2028", "\ufeffa", "a\u0085b", "\U0001f600 \u3000"]
+    df = spark.createDataFrame([(x,) for x in odd], "c string")
+    assert [r for r in df.select("c", core.column_text("c").alias("got"), core.text(F.col("c")).alias("want")).collect() if r.got != r.want] == []
