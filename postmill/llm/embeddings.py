@@ -1,14 +1,23 @@
-"""Embedding near-duplicates: spherical k-means cells, blocked cosine products inside cells, one kept per group.
+"""Embedding near-duplicates: spherical k-means cells, a sieve of short sketches, blocked cosine products inside cells, one kept per group.
 
 Equal vectors count as one with a weight. A vector's home is the cell of its nearest centre. It also
 visits every cell whose bounding plane lies within half the longest chord of a link, sqrt((1 - cosine) / 2). The two
 of a linked pair are no farther apart than that chord, so at least one of them visits the other's cell, whatever the
-number of dimensions and however the vectors are spread: no link is missed. Each cell compares those at home with all that are there, in square blocks that are tasks of their own, so a cell of any size is split.
+number of dimensions and however the vectors are spread: no link is missed.
+
+Vectors that point in all directions visit nearly all cells, so visits are sieved before a vector is copied. A sketch is
+the vector's part along the directions in which the centres differ most, and the length of the rest: products of two
+sketches are never below the cosine. Rounded to a byte a number they lose at most ``ROUNDED``. Sketches meet in tiles of two regions of
+the cells; a vector goes on to a cell only if a sketch at home there is near enough, and most go nowhere.
+
+Each cell compares those at home with all that are there, in square blocks that are tasks of their own, so a cell of any size is split.
 Out of a block come link counts and the edges of a spanning forest, never its pairs.
 """
 
 from __future__ import annotations
 
+import functools
+import functools
 import math
 from collections.abc import Iterator
 
@@ -27,6 +36,11 @@ ROUNDS = 12
 SLACK = 1e-7  # more than rounding takes off the distance of two centres
 BLOCK = 4096  # vectors on each side of a block
 STRIP = 512  # rows multiplied at once
+SKETCH = 32  # numbers of a sketch, one byte each
+ROUNDED = 2.05 * math.sqrt(SKETCH) / 254  # two sketches, half a step off in every number
+REGIONS = 12  # a sketch is copied once per region
+PER_REGION = 16_384, 2_000_000  # vectors: tables below REGIONS times the first have fewer regions, above the second more
+HELD = 8192  # sketches a task holds before it hands them on
 
 
 def unit(arrays: pa.ListArray) -> np.ndarray:
@@ -89,8 +103,8 @@ def moved(sample: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, np.nda
     return out
 
 
-def _fit(vectors: DataFrame, n: int) -> dict[int, np.ndarray]:
-    """Centres by dimension, by rounds of Lloyd on Spark over a bounded sample; the first of it in hash order are the first centres."""
+def _fit(vectors: DataFrame, n: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Centres by dimension with their shares of the vectors, by rounds of Lloyd on Spark over a bounded sample; the first of it in hash order are the first centres."""
     cells = min(MOST_CELLS, max(1, math.ceil(math.sqrt(n) / 2)))
     h = F.xxhash64("embedding")
     sample = settle(vectors.filter(F.pmod(h, F.lit(n)) < cells * PER_CELL).select("embedding", h.alias("h"), F.size("embedding").alias("size")), "sample")
@@ -106,7 +120,147 @@ def _fit(vectors: DataFrame, n: int) -> dict[int, np.ndarray]:
     centres = {d: unit(rows.filter(pc.equal(rows.column("size"), d)).column("embedding").combine_chunks()) for d in first}
     for _ in range(ROUNDS):
         centres = moved(sample, centres)
-    return centres
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for d, part in _by_size(batches):
+            cells, counts = np.unique((unit(part.column("embedding")) @ centres[d].T).argmax(1), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), d), pa.int32()), pa.array(cells, pa.int32()), pa.array(counts, pa.int64())], names=["size", "cell", "n"])
+
+    held = {d: np.zeros(len(c)) for d, c in centres.items()}
+    for d, c, k in sample.mapInArrow(homes, "size int, cell int, n long").groupBy("size", "cell").agg(F.sum("n")).collect():
+        held[d][c] = k
+    return {d: (c, held[d] / held[d].sum()) for d, c in centres.items()}
+
+
+class Cells:
+    """Cells of one dimension: centres, the directions of sketches, and regions of about equal numbers of vectors."""
+
+    def __init__(self, d: int, fitted: tuple[np.ndarray, np.ndarray] | None, regions: int):
+        self.centres = fitted[0] if fitted else None
+        self.regions = regions
+        self.ends = np.r_[0, np.minimum(np.cumsum(fitted[1]), 1)] if fitted else np.array([0.0, 1.0])
+        axes = np.linalg.svd(self.centres, full_matrices=False)[2] if fitted else np.eye(min(d, SKETCH), d)
+        self.axes = axes[:SKETCH - 1]
+        first, last = self._region(self.ends[:-1]), self._region(self.ends[1:])
+        self.span = [(int(at.min()), int(at.max()) + 1) if len(at) else (0, 0) for at in (np.flatnonzero((first <= r) & (last >= r)) for r in range(regions))]
+
+    def _region(self, at: np.ndarray) -> np.ndarray:
+        return np.minimum((at * self.regions).astype(np.int64), self.regions - 1)
+
+    def region(self, home: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Cells lie side by side on a line, a vector at a scattered place of its cell's stretch; so large cells have several regions."""
+        scattered = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(11)) / 2.0**53
+        return self._region(np.minimum(self.ends[home] + scattered * (self.ends[home + 1] - self.ends[home]), self.ends[home + 1]))
+
+    def sketch(self, x: np.ndarray) -> np.ndarray:
+        part = x @ self.axes.T
+        rest = np.sqrt(np.maximum(0, 1 - (part * part).sum(1)))
+        out = np.zeros((len(x), SKETCH), np.int8)
+        out[:, :part.shape[1]] = np.rint(part * 127)
+        out[:, -1] = np.rint(rest * 127)
+        return out
+
+
+def met(x: np.ndarray, visits: np.ndarray, span: tuple[int, int], y: np.ndarray, home: np.ndarray, least: float, same: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """By cell of ``span``: rows of ``x`` that visit it and rows of ``y`` at home there whose sketches are near; with ``same``, x and y are one table."""
+    order = np.argsort(home, kind="stable")
+    cuts = np.searchsorted(home[order], np.arange(span[0], span[1] + 1))
+    place_of = np.full(len(x), -1)
+    for c in range(*span):
+        there = order[cuts[c - span[0]]:cuts[c - span[0] + 1]]
+        byte, bit = divmod(c - span[0], 8)
+        who = np.flatnonzero(visits[:, byte] >> (7 - bit) & 1) if len(there) else there
+        if not len(who):
+            continue
+        near_x, near_y = np.zeros(len(who), bool), np.zeros(len(there), bool)
+        for t in range(0, len(there), BLOCK):
+            others = there[t:t + BLOCK]
+            b = np.ascontiguousarray(y[others].T)
+            if same:
+                place_of[:] = -1
+                place_of[others] = np.arange(len(others))
+            for s in range(0, len(who), STRIP):
+                rows = who[s:s + STRIP]
+                dots = x[rows] @ b
+                if same:
+                    itself = np.flatnonzero(place_of[rows] >= 0)
+                    dots[itself, place_of[rows[itself]]] = -np.inf
+                if dots.max() >= least:
+                    near = dots >= least
+                    near_x[s:s + STRIP] |= near.any(1)
+                    near_y[t:t + BLOCK] |= near.any(0)
+        if near_x.any():
+            yield c, who[near_x], there[near_y]
+
+
+TILES = "size int, i int, j int, side int, keys binary, homes binary, sketches binary, visits binary"
+
+
+def sieved(distinct: DataFrame, cells: dict[int, Cells], regions: int, reach: float, cosine: float) -> DataFrame:
+    """(key, size, home, cell): the cells a vector visits, its own included, where a sketch of another one is near; no link is lost."""
+    least = (cosine - ROUNDED) * 127 * 127
+    alone = functools.partial(Cells, fitted=None, regions=regions)  # a dimension too rare for the sample is one cell
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int, int, int], list[tuple[bytes, ...]]] = {}
+
+        def hand_on() -> pa.RecordBatch:
+            columns = [pa.array(c, pa.int32()) for c in zip(*held)]
+            blobs = [[b"".join(p) for p in zip(*parts)] for parts in held.values()]
+            return pa.RecordBatch.from_arrays([*columns, *[pa.array(c, pa.binary()) for c in zip(*blobs)]], names=["size", "i", "j", "side", "keys", "homes", "sketches", "visits"])
+
+        rows = 0
+        for d, part in _by_size(batches):
+            own = cells.get(d) or alone(d)
+            x = unit(part.column("embedding"))
+            home, visits = place(x, own.centres, reach)
+            key = part.column("key").to_numpy()
+            sketch, region = own.sketch(x), own.region(home, key)
+            packed = [np.packbits(visits[:, lo:hi], axis=1) for lo, hi in own.span]
+            for r in np.unique(region):
+                at = np.flatnonzero(region == r)
+                common = key[at].tobytes(), home[at].astype(np.int32).tobytes(), sketch[at].tobytes()
+                for other in range(regions):
+                    tile = (d, int(min(r, other)), int(max(r, other)), int(r > other))
+                    held.setdefault(tile, []).append((*common, packed[other][at].tobytes()))
+            rows += len(key)
+            if rows >= HELD:
+                yield hand_on()
+                held.clear()
+                rows = 0
+        if held:
+            yield hand_on()
+
+    def compare(key: tuple, t: pa.Table) -> pa.Table:
+        d, i, j = (k.as_py() for k in key)
+        own = cells.get(d) or alone(d)
+
+        def side(k: int, span: tuple[int, int]) -> tuple[np.ndarray, ...]:
+            part = t.filter(pc.equal(t.column("side"), k))
+            keys, homes, sketches, visits = (b"".join(part.column(c).to_pylist()) for c in ("keys", "homes", "sketches", "visits"))
+            # Products of 32 bytes are below 2^24: single precision adds them without rounding.
+            x = np.frombuffer(sketches, np.int8).reshape(-1, SKETCH).astype(np.float32)
+            return np.frombuffer(keys, np.int64), np.frombuffer(homes, np.int32), x, np.frombuffer(visits, np.uint8).reshape(len(x), -(-(span[1] - span[0]) // 8))
+
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def add(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], span: tuple[int, int], same: bool) -> None:
+            for c, who, there in met(a[2], a[3], span, b[2], b[1], least, same):
+                out.extend((s[0][at], s[1][at], np.full(len(at), c)) for s, at in ((a, who), (b, there)))
+
+        left = side(0, own.span[j])
+        if i == j:
+            add(left, left, own.span[i], True)
+        else:
+            right = side(1, own.span[i])
+            add(left, right, own.span[j], False)
+            add(right, left, own.span[i], False)
+        keys, homes, at = (np.concatenate(c) if out else np.zeros(0) for c in (zip(*out) if out else ((), (), ())))
+        return pa.table({"key": pa.array(keys, pa.int64()), "size": pa.array(np.full(len(keys), d), pa.int32()), "home": pa.array(homes, pa.int32()), "cell": pa.array(at, pa.int32())})
+
+    # A fixed number of partitions: tiles are small but long to compare, and would be put together by their size.
+    tiles = distinct.select("key", "embedding").mapInArrow(sketched, TILES).repartition(2 * regions * (regions + 1), "size", "i", "j")
+    return tiles.groupBy("size", "i", "j").applyInArrow(compare, "key long, size int, home int, cell int")
 
 
 def place(x: np.ndarray, centres: np.ndarray | None, reach: float) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +273,7 @@ def place(x: np.ndarray, centres: np.ndarray | None, reach: float) -> tuple[np.n
     return home, dots.max(1, keepdims=True) - dots <= reach * apart + SLACK
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding", block: int = BLOCK) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding", block: int = BLOCK, per_region: tuple[int, int] = PER_REGION) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Vectors with a cosine of at least ``cosine`` are linked, whatever their labels. Vectors that are null,
@@ -131,20 +285,15 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, vec_id: str = "vec_id
     odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~odd & F.exists("embedding", lambda x: x != 0)
     good = F.coalesce(good, F.lit(False))
-    distinct = settle(rows.filter(good).groupBy("embedding").agg(F.min("vec_id").cast("bigint").alias("id"), F.count("*").alias("copies")), "vectors")
+    equal = rows.filter(good).groupBy("embedding").agg(F.min("vec_id").cast("bigint").alias("id"), F.count("*").alias("copies"))
+    # Different vectors may have one id, so each has a key of its own.
+    distinct = settle(equal.withColumn("key", F.monotonically_increasing_id()), "vectors")
     n = distinct.count()
-    centres = _fit(distinct, n) if n else {}
+    regions = max(1, min(REGIONS, math.ceil(n / per_region[0])), math.ceil(n / per_region[1]))
+    cells = {d: Cells(d, fitted, regions) for d, fitted in (_fit(distinct, n) if n else {}).items()}
     reach = math.sqrt(max(0.0, (1 - cosine) / 2))
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for d, part in _by_size(batches):
-            home, visits = place(unit(part.column("embedding")), centres.get(d), reach)
-            lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(visits.sum(1))].astype(np.int32), pa.array(np.nonzero(visits)[1], pa.int32()))
-            full = pa.array(np.full(len(home), d), pa.int32())
-            yield pa.RecordBatch.from_arrays([*part.columns, full, pa.array(home, pa.int32()), lists], names=[*part.schema.names, "size", "home", "visits"])
-
-    kind = dict(distinct.dtypes)["embedding"]
-    placed = settle(distinct.mapInArrow(assign, f"embedding {kind}, id long, copies long, size int, home int, visits array<int>"), "placed")
+    visits = sieved(distinct, cells, regions, reach, cosine).groupBy("key").agg(F.first("size").alias("size"), F.first("home").alias("home"), F.collect_set("cell").alias("visits"))
+    placed = settle(distinct.join(visits, "key").drop("key"), "placed")
     there = placed.withColumn("cell", F.explode("visits"))
     # One row per cell: its number of blocks, from the number of its vectors.
     blocks = settle(there.groupBy("size", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "cells")

@@ -127,6 +127,36 @@ def test_uneven_vectors_lose_no_link(spark, kind, d):
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {i: (near[i].sum(), want[i]) for i in range(len(x))}
 
 
+def test_vectors_in_all_directions_are_sieved(spark):
+    """Their cells are all near each other: without the sieve each vector is copied to most of them."""
+    r = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(r.normal(size=(6000, 64)))
+    x[:300] = unit(x[300:600] + unit(r.normal(size=(300, 64))) * 0.325)
+    x[600:700] = unit(x[700] + unit(r.normal(size=(100, 64))) * 0.2)
+    near = (x @ x.T >= 0.95) & ~np.eye(len(x), dtype=bool)
+    want = component_map(range(len(x)), list(zip(*np.nonzero(near))))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = embeddings.near_vectors(df, per_region=(1000, 2000), block=64).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {i: (near[i].sum(), want[i]) for i in range(len(x))}
+    distinct = df.withColumnRenamed("vec_id", "key").cache()
+    cells = {64: embeddings.Cells(64, embeddings._fit(distinct, len(x))[64], 6)}
+    visits = embeddings.sieved(distinct, cells, 6, 0.025**0.5, 0.95).distinct().count()
+    assert len(cells[64].centres) > 30 and near.any(1).sum() <= visits < 3000
+
+
+def test_sketches_never_fall_below_the_cosine():
+    for d in (3, 31, 64, 200):
+        x = uneven_vectors("1/i", d, 600)
+        x = np.concatenate([x, -x[:5]])
+        cells = embeddings.Cells(d, (x[:50], np.full(50, 0.02)), 5)
+        s = cells.sketch(x).astype(float) / 127
+        assert ((x @ x.T) - s @ s.T).max() <= embeddings.ROUNDED
+        home = np.arange(len(x)) % 50
+        at = cells.region(home, np.arange(len(x)))
+        assert set(at) == set(range(5)) and all(cells.span[r][0] <= h < cells.span[r][1] for r, h in zip(at, home))
+
+
 def test_hostile_vectors(spark):
     one = [1.0, 2.0, 3.0]
     rows = [(1, one), (2, one), (2, one), (3, [2.0, 4.0, 6.0]), (4, None), (5, []), (6, [0.0, 0.0, 0.0]), (7, [1.0, None, 3.0]), (8, [1.0, float("nan"), 3.0]),
