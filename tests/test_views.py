@@ -58,6 +58,18 @@ def test_group_takes_newest_scalars_and_first_seen_order(rows):
     assert (g.review_target.url, g.review_target.mode) == ("https://x/3", "direct")
     assert got["9"].duplicate_count == 1
     assert [r.id for r in views.group_postings(rows(data, JOIN), include_rejected=False).collect()] == ["h"]
+    for columns in (["normalized_hash", "score", "source_ids"], ["review_target"], ["id", "reasons", "status"]):
+        few = views.group_postings(rows(data, JOIN), columns=columns)
+        assert few.columns == [c for c in views.group_postings(rows(data, JOIN)).columns if c in columns]
+        assert sorted(map(str, few.collect())) == sorted(str(r) for r in views.group_postings(rows(data, JOIN)).select(few.columns).collect())
+
+
+def test_only_columns_asked_for_are_exchanged(rows):
+    data = [member(str(i), i, source_id="ab"[i % 2], reasons=[str(i)], score=i) for i in range(4)]
+    few = views.group_postings(rows(data, JOIN), include_rejected=False, columns=["score", "source_ids"])
+    assert [(r.score, r.source_ids) for r in few.collect()] == [(3, ["b", "a"])]
+    plan = few._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
+    assert not any(c in plan for c in ("title#", "company#", "reasons#", "salary_text#", "source_url#"))
 
 
 def test_pages(rows):
