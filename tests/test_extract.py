@@ -104,6 +104,28 @@ def test_merge_later_wins_but_text_stays(rows):
     assert (r.title, r.location, r.description, r.summary) == ("z", None, "first", "s")
 
 
+def test_outputs_of_the_same_rows_merge_as_frames_do(rows, spark, monkeypatch):
+    ddl = "source_id string, pos int, external_id string, url string, title string, location string, description string"
+    data = [("s", 1, "X", "u", "a", "L", ""), ("s", 2, "x", "v", "b", None, "d2"), ("s", 3, "", "U", "c", "L", None), (None, 4, None, "u", "d", "L", "d4"),
+            ("t", 5, None, None, "e", None, "d5"), ("t", 6, None, None, "f", "M", "d6"), ("t", 7, "", None, None, "M", None)]
+    raw = spark.createDataFrame(data, ddl)
+    none = F.lit(None).cast("string")
+    outputs = [extract.Output(F.lit(True), {"title": F.col("title"), "description": F.col("description"), "summary": none}),
+               extract.Output(F.col("location") == "L", {"title": F.upper("title"), "description": F.lit("late"), "summary": F.concat(F.lit("s"), "title")})]
+    frames = [raw.filter(o.when).withColumns(o.columns).select("source_id", "pos", "external_id", "url", "title", "description", "summary") for o in outputs]
+    got = {}
+    for hot in (extract.HOT, 1):  # with 1, keys of two rows are hot
+        monkeypatch.setattr(extract, "HOT", hot)
+        for name, merged in (("frames", extract.merge_outputs(frames, ["source_id"])), ("rows", extract.merge_outputs(outputs, ["source_id"], raw))):
+            got[name, hot] = sorted(map(str, merged.select("source_id", "external_id", "url", "title", "description", "summary").collect()))
+    assert len(got["rows", 1]) == 4 and all(g == got["frames", extract.HOT] for g in got.values())
+    assert any("title='A', description='d2', summary='sa'" in r for r in got["rows", 1])
+    monkeypatch.undo()
+    plan = extract.merge_outputs(outputs, ["source_id"], raw)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("pos#") > 0 and "Union" not in plan
+    assert extract.merge_outputs(outputs, ["source_id"], raw.limit(0)).count() == 0
+
+
 def test_two_key_first_wins_lets_dropped_rows_block_nothing(rows):
     ddl = "page int, pos int, external_id string, title string, company string, location string"
     data = [("1", "a"), ("1", "b"), ("2", "b"), (None, "a"), (None, "c")]
