@@ -350,6 +350,19 @@ def test_marks_of_two_keys_are_short(rows, monkeypatch):
     assert {len(r[c]) for r in seen["two-keys-marks"].collect() for c in "ab"} == {24}
 
 
+def test_two_keys_fold_equal_marks_and_delete_the_tables_of_rounds(spark, rows, monkeypatch, tmp_path):
+    from postmill.operators import conflicts
+    from postmill.operators import settle as settling
+
+    monkeypatch.setattr(settling, "new_path", lambda _, label="settled": str(tmp_path / f"{label}-{len(list(tmp_path.iterdir()))}"))
+    data = [{"s": "a", "pos": i, "external_id": None if i % 3 == 0 else str(i % 3), "title": f"t{i % 4}"} for i in range(60)]
+    page = rows(data, "s string, pos int, external_id string, title string, company string, location string")
+    assert sorted(r.pos for r in extract.first_wins_two_keys(page, ["s"], in_one_task=1).collect()) == [0, 1, 2, 3]
+    assert sum(spark.read.parquet(str(p)).count() for p in tmp_path.glob("two-keys-marks*")) == 12
+    kept = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+    assert "conflicts-round" not in kept and len([*tmp_path.glob("conflicts-open*")]) == 1 and conflicts.SEQUENTIAL_ROWS == 10_000
+
+
 def test_recorded_captures_are_compressed(spark, tmp_path):
     path = str(tmp_path / "c")
     payloads = spark.createDataFrame([("s", [("t",)])], "sourceId string, jobs array<struct<title: string>>")
