@@ -117,3 +117,25 @@ def test_every_query_plans_with_the_settings_of_the_session(spark):
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "false")
     QUERIES["q_source_cap"](spark, "/root/testdata/sf0.001")
     assert all(spark.conf.get(name).lower() == value.lower() for name, value in PLANNING.items())
+
+
+def test_funnel_counts_every_row_and_imports_only_usable_ones(rows):
+    ddl = "source_id string, drop_reason string, normalized_hash string"
+    data = [("a", None, "h"), ("a", None, "h"), ("a", None, None), ("a", "excluded", "i"), ("z", None, "h"), ("z", "excluded", "j")]
+    filtered = rows([dict(zip(("source_id", "drop_reason", "normalized_hash"), r)) for r in data], ddl)
+    sources = rows([{"source_id": "a", "expected_count": 2}, {"source_id": "b", "expected_count": 5}], "source_id string, expected_count int")
+    got = {r.source_id: (r.captured, r.kept, r.deduped, r.dropped_dedupe, r.expected_count, r.import_status) for r in quality.capture_funnel(filtered, sources).collect()}
+    # No captured row is left out, also where its source is not configured.
+    assert got == {"a": (4, 3, 1, 2, 2, "warning"), "b": (0, 0, 0, 0, 5, "critical"), "z": (2, 1, 1, 0, None, "unknown")}
+    assert sorted(map(tuple, quality.imported_hashes(filtered).collect())) == [("a", "h"), ("z", "h")]
+
+
+def test_funnel_query_imports_nothing_from_records_without_required_fields(spark, monkeypatch, rows):
+    from postmill.plans import bindings, queries_quality
+
+    kinds = {"source_id": "src2", "source_type": "wellfound_search", "external_id": None, "location": "Paris", "summary": None, "employment_type": None, "description": "d"}
+    raw = [kinds | {"pos": str(i), "title": t, "company": c, "url": u} for i, (t, c, u) in enumerate([("T", "C", "https://x.y/1"), (" ", "C", "https://x.y/2"), ("T", None, "https://x.y/3"), ("T", "C", ""), ("U", "C", "https://x.y/1")])]
+    ddl = "source_id string, source_type string, external_id string, location string, summary string, employment_type string, description string, pos string, title string, company string, url string"
+    monkeypatch.setattr(bindings, "b_raw", lambda *_: rows(raw, ddl))
+    row = queries_quality.funnel(spark, "").filter("source_id = 'src2'").first()
+    assert (row.captured, row.kept, row.deduped, row.dropped_dedupe) == (5, 5, 1, 4)
