@@ -1,11 +1,15 @@
 """A whole refresh against its parts, on captured rows of two sources."""
 
 import datetime
+import itertools
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from postmill.operators import merge
+from postmill.operators import run as running
+from postmill.operators import settle as settling
 from postmill.operators.run import gated, refresh
 from postmill.plans import bindings as b
 from postmill.plans import queries_quality as qq
@@ -134,3 +138,50 @@ def check(after, store, statuses, gone, deltas):
     assert {r["job_id"]: (r["status"], r["last_action_at"]) for r in after.applications.collect()} == statuses
     assert {r["id"]: r["why"] for r in after.deleted.collect()} == gone
     assert {r["id"]: r["delta"] for r in after.deltas.collect()} == deltas
+
+
+def test_slices_equal_rows_one_at_a_time_and_leave_only_what_is_read(spark, monkeypatch, tmp_path):
+    """Plain postings go in slices, those with tangled keys or many rows through the general merge."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    number = itertools.count()
+    monkeypatch.setattr(settling, "new_path", lambda _, label="settled": str(tmp_path / f"{label}-{next(number)}"))
+    monkeypatch.setattr(running, "SLICE_ROWS", 150)
+    monkeypatch.setattr(running, "HOT", 9)
+    n, hot = F.col("id"), F.col("id") % 13 == 0
+    raw = spark.range(420).select(
+        F.concat(F.lit("s"), (n % 2).cast("string")).alias("source_id"), F.when(n % 2 == 0, "builtin_search").otherwise("indeed_search").alias("source_type"),
+        F.lit("r").alias("run_id"), F.format_string("%04d", n).alias("pos"), F.when(n % 10 == 0, F.concat(F.lit("x"), (n % 7).cast("string"))).alias("external_id"),
+        F.concat(F.lit("Title "), (n % 31).cast("string")).alias("title"), F.lit("Acme").alias("company"), F.lit("Paris").alias("location"),
+        F.lit("2001-01-01").alias("posted_at"), F.lit("F").alias("employment_type"), F.concat(F.lit("$"), (n % 5 + 1).cast("string"), F.lit("0000")).alias("salary_text"),
+        F.lit(None).cast("string").alias("summary"), F.lit("Words").alias("description"),
+        F.concat(F.lit("https://jobs.example.com/p/"), F.when(hot, F.lit(1)).otherwise(n * 37 % 101).cast("string")).alias("url"),
+        F.timestamp_seconds(F.lit(980000000) + n * 86400).alias("retrieved_at"),
+    )
+    days = {"new": 200, "viewed": 250, "skip_for_now": 60, "rejected": 40, "applied": None}
+    as_of, clock = b.ts(b.AS_OF_RAW), datetime.datetime.fromisoformat(b.AS_OF_RAW)
+    policy, none = merge.retention_policy_rows(spark, days), spark.createDataFrame([], STATUS)
+    parts = [raw.filter("id < 300"), raw.filter("id >= 260")]
+    collected = [[r.asDict() for r in gated(x, as_of, None, None, "reject_source")[1].collect()] for x in parts]
+    assert [len(x) for x in collected] == [300, 160]
+    first = refresh(None, none, parts[0], as_of, policy=policy)
+    store, _, gone, deltas = one_at_a_time({}, {}, collected[0], clock, days)
+    check(first, store, {}, gone, deltas)
+    acted = settling.settle(qst.acted_on(first.postings), "acted")
+    known = {r["job_id"]: (r["status"], r["last_action_at"]) for r in acted.collect()}
+    second = refresh(first.postings, acted, parts[1], as_of, policy=policy, spent=(first.table,))
+    store, statuses, gone, deltas = one_at_a_time(store, known, collected[1], clock, days)
+    assert set(gone.values()) == {"absent", "expired"} and set(deltas.values()) == {"new", "updated", "unchanged"}
+    check(second, store, statuses, gone, deltas)
+    logged = {r["source_id"]: r["imported_count"] for r in second.log.collect()}
+    assert logged == {s: len({r["id"] for r in collected[1] if r["source_id"] == s}) for s in ("s0", "s1")}
+    assert len(second.table.settled_paths) > 2 and not any(Path(p).exists() for p in first.table.settled_paths)
+    labels = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+    assert not labels & {"run-pairs", "run-tangled", "run-knots", "run-old"}
+
+
+def test_packed_text_comes_back(rows):
+    from postmill.functions.core import packed, unpacked
+
+    texts = ["", "ab", "AB", "abc", "0aff", "é", "x1", "00", None, "\x00"]
+    got = rows([{"t": t} for t in texts], "t string").select("t", packed(F.col("t")).alias("p")).select("t", "p", unpacked(F.col("p")).alias("u")).collect()
+    assert all(r.t == r.u for r in got) and len({bytes(r.p) for r in got if r.p is not None}) == 9 and {len(r.p) for r in got if r.t == "0aff"} == {3}
